@@ -1,12 +1,275 @@
-"""Batch model scoring: request building, responders, chained steps."""
+"""Batch model scoring: request building, responders, chained steps.
+
+The model call itself is outside Spark.  Around it everything is a Spark job:
+
+* requests = interviews expanded by the plan steps (a literal array, no join);
+* a *responder* turns requests into responses.  ``replay_responder`` is an
+  equi-join with recorded answers (pure Spark, used by tests and oracles);
+  ``pandas_responder`` calls a user client inside ``mapInPandas``, one client per
+  partition, with an optional per-partition pause;
+* the step loop runs each plan step as ONE distributed batch over all
+  interviews, writes its answers to a table in the shared checkpoint folder
+  (so a re-evaluation never calls the model twice) and drops interviews whose
+  chain broke.
+"""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldwork import schemas as S
+from fieldwork.functions import text as TX
+from fieldwork.operators.numbering import running_total
+from fieldwork.session import scratch_path
+
+KEY = ["project", "interview", "analysis_step"]
 
 
 def plan_frame(spark: SparkSession, plan=S.QUESTION_PLAN) -> DataFrame:
     """The question plan as a DataFrame (a handful of rows; safe to broadcast)."""
     return spark.createDataFrame([dict(p) for p in plan], schema=S.PLAN_SCHEMA)
+
+
+def plan_steps(plan, analysis_type: str) -> list[dict]:
+    """Steps of one analysis type in call order (ascending step)."""
+    return sorted((p for p in plan if p["analysis_type"] == analysis_type), key=lambda p: p["analysis_step"])
+
+
+def _plan_array(steps: list[dict]) -> F.Column:
+    structs = []
+    for call_no, p in enumerate(steps, start=1):
+        structs.append(F.struct(
+            F.lit(p["analysis_type"]).alias("analysis_type"),
+            F.lit(p["analysis_step"]).cast("int").alias("analysis_step"),
+            F.lit(call_no).cast("int").alias("call_no"),
+            F.lit(p["llm_temperature"]).cast("double").alias("llm_temperature"),
+            F.lit(bool(p["uses_previous"])).alias("uses_previous"),
+            F.lit(p["text_template"]).alias("text_template")))
+    return F.array(*structs)
+
+
+def scoring_requests(interviews: DataFrame, plan=S.QUESTION_PLAN, analysis_type: str = "interview",
+                     suffix: str = S.LANGUAGE_SUFFIX, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every interview x every plan step of ``analysis_type``.
+
+    The plan is a literal array exploded per row (its size is fixed by the
+    plan), so there is no join and no shuffle.  Columns: ``project, interview,
+    content, analysis_type, analysis_step, call_no, temperature, uses_previous,
+    template`` (template already carries the language suffix), plus ``keep``.
+    """
+    steps = plan_steps(plan, analysis_type)
+    return (interviews.select(F.col("project"), F.col("interview_id").alias("interview"), "content", *keep,
+                              F.explode(_plan_array(steps)).alias("p"))
+            .select("project", "interview", "content", *keep,
+                    "p.analysis_type", "p.analysis_step", "p.call_no",
+                    TX.default_temperature("p.llm_temperature").alias("temperature"),
+                    "p.uses_previous",
+                    TX.with_language_suffix("p.text_template", suffix).alias("template")))
+
+
+def render_requests(requests: DataFrame, previous: DataFrame | None) -> DataFrame:
+    """Attach ``previous_answers`` (step n-1 of the same interview, where the plan
+    asks for it) and render ``prompt``.  ``previous`` has ``project, interview,
+    analysis_step, content`` of earlier answers."""
+    if previous is not None:
+        prev = previous.select("project", "interview",
+                               (F.col("analysis_step") + 1).alias("analysis_step"),
+                               F.col("content").alias("previous_answers"))
+        requests = requests.join(prev, KEY, "left")
+        requests = requests.withColumn(
+            "previous_answers", F.when(F.col("uses_previous"), F.col("previous_answers")))
+    else:
+        requests = requests.withColumn("previous_answers", F.lit(None).cast("string"))
+    return requests.withColumn("prompt", TX.render_prompt("template", "content", "previous_answers"))
+
+
+# ---------------------------------------------------------------------------
+# Responders
+# ---------------------------------------------------------------------------
+
+def replay_responder(recorded: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Responder that answers from recorded answers ``(project, interview,
+    analysis_step, answer_content, model, input_tokens, output_tokens)`` by an
+    equi-join; a request without a recording fails with an error."""
+    rec = recorded.select(*KEY, F.struct(
+        F.col("answer_content").alias("content"), F.col("model"),
+        F.col("input_tokens").cast("int").alias("input_tokens"),
+        F.col("output_tokens").cast("int").alias("output_tokens"),
+        F.lit(None).cast("string").alias("error")).alias("response"))
+
+    def respond(requests: DataFrame) -> DataFrame:
+        joined = requests.join(rec, requests["project"].eqNullSafe(rec["project"])
+                               & requests["interview"].eqNullSafe(rec["interview"])
+                               & (requests["analysis_step"] == rec["analysis_step"]), "left")
+        joined = joined.select(requests["*"], rec["response"])
+        missing = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in S.RESPONSE_SCHEMA.fields[:-1]],
+                           F.lit("no recorded answer").alias("error"))
+        return joined.withColumn("response", F.coalesce("response", missing))
+
+    return respond
+
+
+def pandas_responder(make_client: Callable[[], Callable[[dict], dict]], min_interval_s: float = 0.0,
+                     partitions: int | None = None,
+                     max_tokens: int = S.MAX_OUTPUT_TOKENS) -> Callable[[DataFrame], DataFrame]:
+    """Responder that calls a user client inside ``mapInPandas``.
+
+    ``make_client()`` runs once per partition and returns ``call(request) ->
+    {content, model, input_tokens, output_tokens}``; ``request`` holds the
+    request row plus ``max_tokens``.  An exception becomes the row's ``error``.
+    ``min_interval_s`` spaces calls inside a partition (the throttle); the
+    number of partitions bounds the number of concurrent clients.
+    """
+
+    def respond(requests: DataFrame) -> DataFrame:
+        out_schema = T.StructType(requests.schema.fields + [T.StructField("response", S.RESPONSE_SCHEMA)])
+        cols = requests.columns
+
+        def run(batches):
+            import pandas as pd
+            call = make_client()
+            last = None
+            for pdf in batches:
+                responses = []
+                for rec in pdf.to_dict("records"):
+                    if min_interval_s and last is not None:
+                        wait = min_interval_s - (time.monotonic() - last)
+                        if wait > 0:
+                            time.sleep(wait)
+                    last = time.monotonic()
+                    try:
+                        r = call({**rec, "max_tokens": max_tokens})
+                        responses.append({"content": r.get("content"), "model": r.get("model"),
+                                          "input_tokens": r.get("input_tokens"),
+                                          "output_tokens": r.get("output_tokens"), "error": None})
+                    except Exception as e:  # the row fails, the batch goes on
+                        responses.append({"content": None, "model": None, "input_tokens": None,
+                                          "output_tokens": None, "error": f"{type(e).__name__}: {e}"})
+                out = pdf[cols].copy()
+                out["response"] = responses
+                yield out
+
+        src = requests.repartition(partitions) if partitions else requests
+        return src.mapInPandas(run, out_schema)
+
+    return respond
+
+
+def batch_score(requests: DataFrame, responder) -> DataFrame:
+    """Responses flattened next to their request keys."""
+    return responder(requests).select(
+        "project", "interview", "analysis_type", "analysis_step",
+        "prompt", "temperature",
+        F.col("response.content").alias("content"), F.col("response.model").alias("model"),
+        F.col("response.input_tokens").alias("input_tokens"),
+        F.col("response.output_tokens").alias("output_tokens"),
+        F.col("response.error").alias("error"))
+
+
+def answer_rows(scored: DataFrame, created: F.Column | None = None) -> DataFrame:
+    """Successful responses as ``llm_answers`` rows (usage metadata projected out
+    of the response).  ``id`` is a hash of the natural key and ``created``; the
+    prompt column keeps the rendered prompt."""
+    created = created if created is not None else F.current_timestamp().cast("timestamp_ntz")
+    ok = scored.where(F.col("error").isNull()).withColumn("created", created)
+    return ok.select(
+        F.xxhash64("project", "interview", "analysis_type", "analysis_step", "created").alias("id"),
+        "project", "interview", "analysis_type", F.col("analysis_step").cast("int").alias("analysis_step"),
+        "created", "model", F.col("input_tokens").cast("int").alias("input_tokens"),
+        F.col("output_tokens").cast("int").alias("output_tokens"),
+        F.col("prompt"), F.lit(None).cast("string").alias("answer_full"),
+        F.coalesce(F.col("content"), F.lit("")).alias("answer_content"),
+        F.lit(None).cast("string").alias("answer_content_clear"))
+
+
+# ---------------------------------------------------------------------------
+# Chained steps
+# ---------------------------------------------------------------------------
+
+def _persist(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared checkpoint folder and read back (cuts lineage; a
+    recomputation reads the table instead of calling the model again)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def chained_steps(interviews: DataFrame, responder, plan=S.QUESTION_PLAN,
+                  analysis_type: str = "interview", persist: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Run the plan step by step over all interviews at once.
+
+    Step *n* sees the answer of step *n-1* of the same interview from this run.
+    A failed request (responder error, or a missing step *n-1* where the plan
+    needs it) ends that interview's remaining steps only: later steps
+    ``left_anti`` the failed interviews.  Returns ``(answers, dead_letters)``;
+    ``answers`` holds ``project, interview, analysis_type, analysis_step, prompt,
+    temperature, content, model, input_tokens, output_tokens``.
+    """
+    requests = scoring_requests(interviews, plan, analysis_type)
+    answers = dead = failed = prev = None
+    for p in plan_steps(plan, analysis_type):
+        req = requests.where(F.col("analysis_step") == p["analysis_step"])
+        if failed is not None:
+            req = req.join(failed, ["project", "interview"], "left_anti")
+        rendered = render_requests(req, prev)
+        if p["uses_previous"]:
+            broken = (rendered.where(F.col("previous_answers").isNull())
+                      .select("project", "interview", "analysis_step",
+                              F.lit("previous step missing").alias("error")))
+            rendered = rendered.where(F.col("previous_answers").isNotNull())
+        else:
+            broken = None
+        scored = batch_score(rendered, responder)
+        if persist:
+            scored = _persist(scored, f"step-{analysis_type}-{p['analysis_step']}")
+        ok = scored.where(F.col("error").isNull()).withColumn("content", F.coalesce("content", F.lit("")))
+        bad = scored.where(F.col("error").isNotNull()).select("project", "interview", "analysis_step", "error")
+        if broken is not None:
+            bad = bad.unionByName(broken)
+        dead = bad if dead is None else dead.unionByName(bad)
+        failed = bad.select("project", "interview") if failed is None else \
+            failed.unionByName(bad.select("project", "interview"))
+        prev = ok.select("project", "interview", "analysis_step", "content")
+        answers = ok if answers is None else answers.unionByName(ok)
+    return answers, dead
+
+
+# ---------------------------------------------------------------------------
+# Project scoring
+# ---------------------------------------------------------------------------
+
+def project_requests(blocks: DataFrame, plan=S.QUESTION_PLAN, budget_chars: int = 2_000_000,
+                     suffix: str = S.LANGUAGE_SUFFIX) -> DataFrame:
+    """One request per project (and plan step) whose input is the project's report.
+
+    A report larger than ``budget_chars`` is not forced into one row: blocks are
+    cut into consecutive chunks by their start offset (``chunk_no = floor(offset
+    / budget) + 1``) and every chunk is one request, so no group is larger than
+    the budget plus one block.  The offsets are skew-safe running totals.
+    ``blocks``: ``project, block_no, text``.
+    """
+    sized = blocks.withColumn("_len", F.length("text").cast("bigint"))
+    cum = running_total(sized, ["project"], ["block_no"], "_len", name="_end")
+    chunked = cum.withColumn("chunk_no", F.floor((F.col("_end") - F.col("_len")) / F.lit(budget_chars)) + 1)
+    chunks = (chunked.groupBy("project", "chunk_no")
+              .agg(F.expr("listagg(text, '') within group (order by block_no)").alias("content"),
+                   F.sum("_len").alias("input_chars")))
+    chunks = chunks.select("project", F.col("chunk_no").alias("interview_id"), "content", "input_chars")
+    reqs = scoring_requests(chunks, plan, "project", suffix, keep=("input_chars",))
+    return (reqs.withColumnRenamed("interview", "chunk_no")
+            .withColumn("interview", F.lit(None).cast("bigint")))
+
+
+def project_score(blocks: DataFrame, responder, plan=S.QUESTION_PLAN, budget_chars: int = 2_000_000) -> DataFrame:
+    reqs = render_requests(project_requests(blocks, plan, budget_chars), None)
+    scored = responder(reqs)
+    return scored.select("project", "chunk_no", "analysis_step", "input_chars",
+                         F.col("response.content").alias("content"), F.col("response.model").alias("model"),
+                         F.col("response.input_tokens").alias("input_tokens"),
+                         F.col("response.output_tokens").alias("output_tokens"),
+                         F.col("response.error").alias("error"))

@@ -160,8 +160,7 @@ def q_label_sections(spark, sf_dir):
 # 2.4 reports
 # ---------------------------------------------------------------------------
 
-_REPORT_SQL = f"""
-with {Q.LATEST_INTERVIEW}, {Q.CONCAT}, {Q.SECTIONS},
+_REPORT_CTES = f"""{Q.LATEST_INTERVIEW}, {Q.CONCAT}, {Q.SECTIONS},
 numbered as (
   select project, interview, row_number() over (partition by project order by interview) as report_no
   from concat_a),
@@ -169,11 +168,13 @@ bodies as (
   select project, interview,
          string_agg(chr(10) || {Q.label('tag')} || chr(10) || {Q.normalise('content')} || chr(10), ''
                     order by ord) as body
-  from sections group by project, interview)
-select n.project, n.interview, n.report_no,
-       {Q.text_lit(S.INTERVIEW_HEADER)} || cast(n.report_no as varchar) || coalesce(b.body, '') as report_block
-from numbered n left join bodies b on b.project = n.project and b.interview = n.interview
-"""
+  from sections group by project, interview),
+report as (
+  select n.project, n.interview, n.report_no,
+         {Q.text_lit(S.INTERVIEW_HEADER)} || cast(n.report_no as varchar) || coalesce(b.body, '') as report_block
+  from numbered n left join bodies b on b.project = n.project and b.interview = n.interview)"""
+
+_REPORT_SQL = f"with {_REPORT_CTES} select project, interview, report_no, report_block from report"
 
 
 @register("interviews_report", _REPORT_SQL)
@@ -205,3 +206,213 @@ left join body b on b.project = f.project
 """)
 def q_project_summary(spark, sf_dir):
     return R.project_summary(_answers(spark, sf_dir), TB.projects_fixture(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# 2.6 scoring (replay responder over the recorded answers)
+# ---------------------------------------------------------------------------
+
+PROJECT_BUDGET_CHARS = 2_000_000
+THROTTLE_INTERVAL_S = 0.001
+
+
+def _interviews(spark, sf_dir):
+    return TB.interviews_fixture(spark, sf_dir)
+
+
+def _stored_previous(latest):
+    return latest.select("project", "interview", "analysis_step", F.col("answer_content").alias("content"))
+
+
+def _rendered(spark, sf_dir):
+    from fieldwork.operators import scoring as SC
+    answers = _answers(spark, sf_dir)
+    latest = L.latest_answers(answers, "interview")
+    reqs = SC.scoring_requests(_interviews(spark, sf_dir))
+    return SC.render_requests(reqs, _stored_previous(latest)), latest
+
+
+_REQ_CTES = f"""{Q.LATEST_INTERVIEW},
+req as (
+  select i.project, i.interview_id as interview, i.content, plan.*
+  from interviews_v i cross join {Q.plan_values('interview')}),
+rendered as (
+  select r.*, case when r.uses_previous then p.answer_content end as previous_answers
+  from req r left join latest p
+    on p.project = r.project and p.interview = r.interview and p.analysis_step = r.analysis_step - 1)"""
+
+
+@register("scoring_requests", f"""
+with {_REQ_CTES}
+select project, interview, analysis_step, call_no, uses_previous, temperature from req
+""")
+def q_scoring_requests(spark, sf_dir):
+    from fieldwork.operators import scoring as SC
+    return (SC.scoring_requests(_interviews(spark, sf_dir))
+            .select("project", "interview", "analysis_step", "call_no", "uses_previous", "temperature"))
+
+
+@register("default_temperature", f"""
+with {_REQ_CTES}
+select project, interview, analysis_step, temperature from req
+""")
+def q_default_temperature(spark, sf_dir):
+    from fieldwork.operators import scoring as SC
+    return SC.scoring_requests(_interviews(spark, sf_dir)).select(
+        "project", "interview", "analysis_step", "temperature")
+
+
+@register("language_suffix", f"""
+with {_REQ_CTES}
+select project, interview, analysis_step, {Q.template_case('interview')} as template from req
+""")
+def q_language_suffix(spark, sf_dir):
+    from fieldwork.operators import scoring as SC
+    return SC.scoring_requests(_interviews(spark, sf_dir)).select(
+        "project", "interview", "analysis_step", "template")
+
+
+@register("plan_order", f"""
+with {_REQ_CTES}
+select project, interview, analysis_step, call_no from req
+""")
+def q_plan_order(spark, sf_dir):
+    from fieldwork.operators import scoring as SC
+    return SC.scoring_requests(_interviews(spark, sf_dir)).select(
+        "project", "interview", "analysis_step", "call_no")
+
+
+@register("render_prompt", f"""
+with {_REQ_CTES}
+select project, interview, analysis_step, {Q.prompt_case('interview', 'content', 'previous_answers')} as prompt
+from rendered
+""")
+def q_render_prompt(spark, sf_dir):
+    rendered, _ = _rendered(spark, sf_dir)
+    return rendered.select("project", "interview", "analysis_step", "prompt")
+
+
+_SCORED_SQL = f"""
+with {_REQ_CTES}
+select r.project, r.interview, r.analysis_step, r.temperature,
+       l.answer_content as content, l.model, l.input_tokens, l.output_tokens,
+       case when l.id is null then 'no recorded answer' end as error
+from rendered r left join latest l
+  on l.project = r.project and l.interview = r.interview and l.analysis_step = r.analysis_step
+"""
+
+
+@register("batch_score", _SCORED_SQL)
+def q_batch_score(spark, sf_dir):
+    from fieldwork.operators import scoring as SC
+    rendered, latest = _rendered(spark, sf_dir)
+    return (SC.batch_score(rendered, SC.replay_responder(latest))
+            .select("project", "interview", "analysis_step", "temperature", "content", "model",
+                    "input_tokens", "output_tokens", "error"))
+
+
+def _echo_client():
+    """Stands in for a model client: answers with the recorded reply carried on the row."""
+    def call(req):
+        if req.get("rec_error"):
+            raise LookupError(req["rec_error"])
+        return {"content": req["rec_content"], "model": req["rec_model"],
+                "input_tokens": req["rec_input_tokens"], "output_tokens": req["rec_output_tokens"]}
+    return call
+
+
+@register("throttle", _SCORED_SQL)
+def q_throttle(spark, sf_dir):
+    from fieldwork.operators import scoring as SC
+    rendered, latest = _rendered(spark, sf_dir)
+    carried = SC.replay_responder(latest)(rendered).select(
+        *rendered.columns,
+        F.col("response.content").alias("rec_content"), F.col("response.model").alias("rec_model"),
+        F.col("response.input_tokens").alias("rec_input_tokens"),
+        F.col("response.output_tokens").alias("rec_output_tokens"),
+        F.col("response.error").alias("rec_error"))
+    responder = SC.pandas_responder(_echo_client, min_interval_s=THROTTLE_INTERVAL_S,
+                                    partitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return (SC.batch_score(carried, responder)
+            .select("project", "interview", "analysis_step", "temperature", "content", "model",
+                    "input_tokens", "output_tokens", F.regexp_replace("error", "^LookupError: ", "").alias("error")))
+
+
+@register("usage_metadata", f"""
+with {_REQ_CTES}
+select r.project, r.interview, 'interview' as analysis_type, r.analysis_step,
+       l.model, l.input_tokens, l.output_tokens, coalesce(l.answer_content, '') as answer_content
+from rendered r join latest l
+  on l.project = r.project and l.interview = r.interview and l.analysis_step = r.analysis_step
+""")
+def q_usage_metadata(spark, sf_dir):
+    from fieldwork.operators import scoring as SC
+    rendered, latest = _rendered(spark, sf_dir)
+    rows = SC.answer_rows(SC.batch_score(rendered, SC.replay_responder(latest)))
+    return rows.select("project", "interview", "analysis_type", "analysis_step", "model",
+                       "input_tokens", "output_tokens", "answer_content")
+
+
+_CHAIN_CTES = f"""{_REQ_CTES},
+have as (
+  select r.project, r.interview, r.analysis_step, l.answer_content, l.model, l.input_tokens,
+         l.output_tokens, l.id is not null as ok
+  from req r left join latest l
+    on l.project = r.project and l.interview = r.interview and l.analysis_step = r.analysis_step),
+first_fail as (
+  select project, interview, min(analysis_step) as failed_step from have where not ok group by project, interview)"""
+
+
+def _chained(spark, sf_dir):
+    from fieldwork.operators import scoring as SC
+    latest = L.latest_answers(_answers(spark, sf_dir), "interview")
+    return SC.chained_steps(_interviews(spark, sf_dir), SC.replay_responder(latest))
+
+
+@register("chained_steps", f"""
+with {_CHAIN_CTES}
+select h.project, h.interview, h.analysis_step, coalesce(h.answer_content, '') as content, h.model,
+       h.input_tokens, h.output_tokens
+from have h left join first_fail f on f.project = h.project and f.interview = h.interview
+where h.ok and (f.failed_step is null or h.analysis_step < f.failed_step)
+""")
+def q_chained_steps(spark, sf_dir):
+    answers, _ = _chained(spark, sf_dir)
+    return answers.select("project", "interview", "analysis_step", "content", "model",
+                          "input_tokens", "output_tokens")
+
+
+@register("failure_isolation", f"""
+with {_CHAIN_CTES}
+select project, interview, failed_step as analysis_step, 'no recorded answer' as error from first_fail
+""")
+def q_failure_isolation(spark, sf_dir):
+    _, dead = _chained(spark, sf_dir)
+    return dead.select("project", "interview", "analysis_step", "error")
+
+
+@register("project_score", f"""
+with {_REPORT_CTES}, {Q.LATEST_PROJECT},
+sized as (
+  select project, report_no, report_block, length(report_block) as len,
+         sum(length(report_block)) over (partition by project order by report_no
+                                         rows between unbounded preceding and current row) as e
+  from report),
+chunks as (
+  select project, cast(floor((e - len) / {PROJECT_BUDGET_CHARS}) + 1 as bigint) as chunk_no,
+         cast(sum(len) as bigint) as input_chars
+  from sized group by 1, 2)
+select c.project, c.chunk_no, 1 as analysis_step, c.input_chars,
+       l.answer_content as content, l.model, l.input_tokens, l.output_tokens,
+       case when l.id is null then 'no recorded answer' end as error
+from chunks c left join latest_p l on l.project = c.project and l.analysis_step = 1
+""")
+def q_project_score(spark, sf_dir):
+    from fieldwork.operators import scoring as SC
+    answers = _answers(spark, sf_dir)
+    blocks = R.interviews_report(answers).select("project", F.col("report_no").alias("block_no"),
+                                                 F.col("report_block").alias("text"))
+    latest_p = L.latest_answers(answers, "project")
+    return (SC.project_score(blocks, SC.replay_responder(latest_p), budget_chars=PROJECT_BUDGET_CHARS)
+            .select("project", "chunk_no", "analysis_step", "input_chars", "content", "model",
+                    "input_tokens", "output_tokens", "error"))

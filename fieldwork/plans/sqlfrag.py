@@ -7,6 +7,8 @@ read by a second, anchored pattern.
 
 from __future__ import annotations
 
+import re
+
 from fieldwork import schemas as S
 
 WS = S.whitespace_class()
@@ -20,8 +22,7 @@ def q(s: str) -> str:
 
 def text_lit(s: str) -> str:
     """SQL expression for a string that may hold line breaks."""
-    pieces = s.split("\n")
-    return " || chr(10) || ".join(q(p) for p in pieces if True) if len(pieces) > 1 else q(s)
+    return " || chr(10) || ".join(q(p) for p in s.split("\n"))
 
 
 def tag_alternation(tags=S.TAGS) -> str:
@@ -81,14 +82,14 @@ from (select {keys}, unnest(ms) as m, generate_subscripts(ms, 1) as ord
 
 LATEST_INTERVIEW = """
 latest as (
-  select id, project, interview, analysis_step, answer_content from (
+  select id, project, interview, analysis_step, answer_content, model, input_tokens, output_tokens from (
     select *, row_number() over (partition by project, interview, analysis_step
                                  order by created desc, id desc) as rn
     from llm_answers_v where analysis_type = 'interview') t where rn = 1)"""
 
 LATEST_PROJECT = """
 latest_p as (
-  select id, project, interview, analysis_step, answer_content from (
+  select id, project, interview, analysis_step, answer_content, model, input_tokens, output_tokens from (
     select *, row_number() over (partition by project, interview, analysis_step
                                  order by created desc, id desc) as rn
     from llm_answers_v where analysis_type = 'project') t where rn = 1)"""
@@ -105,3 +106,38 @@ first_p as (
 
 SECTIONS = f"""
 sections as ({sections_from('concat_a', 'project, interview', 'answers_text')})"""
+
+
+def prompt(template: str, raw: str, prev: str) -> str:
+    """Template pieces and values concatenated (markers split once, in Python)."""
+    parts = re.split(r"\{(raw_interview|previous_answers)\}", template)
+    expr = [text_lit(parts[0])]
+    for i in range(1, len(parts), 2):
+        value = raw if parts[i] == "raw_interview" else prev
+        expr += [f"coalesce({value}, 'None')", text_lit(parts[i + 1])]
+    return " || ".join(expr)
+
+
+def plan_values(analysis_type: str) -> str:
+    """The plan steps of one type as a VALUES table
+    ``(analysis_step, call_no, temperature, uses_previous)``."""
+    steps = sorted((p for p in S.QUESTION_PLAN if p["analysis_type"] == analysis_type),
+                   key=lambda p: p["analysis_step"])
+    rows = ", ".join(
+        f"({p['analysis_step']}, {i}, {p['llm_temperature'] if p['llm_temperature'] is not None else S.DEFAULT_TEMPERATURE}, "
+        f"{'true' if p['uses_previous'] else 'false'})" for i, p in enumerate(steps, start=1))
+    return f"(values {rows}) as plan(analysis_step, call_no, temperature, uses_previous)"
+
+
+def prompt_case(analysis_type: str, raw: str, prev: str, step_col: str = "analysis_step") -> str:
+    steps = [p for p in S.QUESTION_PLAN if p["analysis_type"] == analysis_type]
+    whens = " ".join(
+        f"when {p['analysis_step']} then {prompt(p['text_template'] + S.LANGUAGE_SUFFIX, raw, prev)}" for p in steps)
+    return f"case {step_col} {whens} end"
+
+
+def template_case(analysis_type: str, step_col: str = "analysis_step") -> str:
+    steps = [p for p in S.QUESTION_PLAN if p["analysis_type"] == analysis_type]
+    whens = " ".join(f"when {p['analysis_step']} then {text_lit(p['text_template'] + S.LANGUAGE_SUFFIX)}"
+                     for p in steps)
+    return f"case {step_col} {whens} end"
