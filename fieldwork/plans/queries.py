@@ -191,19 +191,21 @@ def q_last_section_by_tag(spark, sf_dir):
     return R.last_section_by_tag(_answers(spark, sf_dir))
 
 
-@register("project_summary", f"""
-with {Q.LATEST_PROJECT}, {Q.FIRST_PROJECT},
+_SUMMARY_CTES = f"""{Q.LATEST_PROJECT}, {Q.FIRST_PROJECT},
 secs as ({Q.sections_from('first_p', 'project', 'answer_content')}),
 last_tag as (
   select project, tag, arg_max(content, ord) as content from secs group by project, tag),
 body as (
   select project, string_agg(chr(10) || content || chr(10), '' order by {Q.summary_order('tag')}) as body
-  from last_tag where {Q.summary_order('tag')} is not null group by project)
-select f.project, p.project_name,
-       {Q.q(S.SUMMARY_HEADER)} || p.project_name || coalesce(b.body, '') as summary
-from first_p f join projects_v p on p.project_id = f.project
-left join body b on b.project = f.project
-""")
+  from last_tag where {Q.summary_order('tag')} is not null group by project),
+summary_q as (
+  select f.project, p.project_name,
+         {Q.q(S.SUMMARY_HEADER)} || p.project_name || coalesce(b.body, '') as summary
+  from first_p f join projects_v p on p.project_id = f.project
+  left join body b on b.project = f.project)"""
+
+
+@register("project_summary", f"with {_SUMMARY_CTES} select project, project_name, summary from summary_q")
 def q_project_summary(spark, sf_dir):
     return R.project_summary(_answers(spark, sf_dir), TB.projects_fixture(spark, sf_dir))
 
@@ -416,3 +418,153 @@ def q_project_score(spark, sf_dir):
     return (SC.project_score(blocks, SC.replay_responder(latest_p), budget_chars=PROJECT_BUDGET_CHARS)
             .select("project", "chunk_no", "analysis_step", "input_chars", "content", "model",
                     "input_tokens", "output_tokens", "error"))
+
+
+# ---------------------------------------------------------------------------
+# 2.1 sources, sinks, table access / 2.2 lookups
+# ---------------------------------------------------------------------------
+
+LOOKUP_PROJECT = "src3"
+PARAM_SEGMENT = "BUILDING"
+
+
+def _docs_as_files(spark, sf_dir) -> str:
+    from fieldwork.session import scratch_path
+    from fieldwork.sources.files import write_documents_as_files
+    docs = TB.load(spark, sf_dir, "documents").select(
+        F.col("source").alias("project_name"), F.col("doc_id").alias("doc"), "text")
+    root = scratch_path(spark, "raw")
+    write_documents_as_files(docs, root)
+    return root
+
+
+_INGEST_SQL = f"""
+with norm as (
+  select source as project_name, doc_id, {Q.strip_ws("regexp_replace(text, '\\r\\n?', chr(10), 'g')")} as content
+  from documents)
+select project_name, doc_id, content from norm where content <> ''
+"""
+
+
+def _ingested_view(good):
+    return good.select("project_name",
+                       F.regexp_extract("path", r"/doc=([0-9]+)/", 1).cast("bigint").alias("doc_id"),
+                       "content")
+
+
+@register("ingest_text", _INGEST_SQL, fixtures=False)
+def q_ingest_text(spark, sf_dir):
+    from fieldwork.sources.files import ingest_text
+    good, _ = ingest_text(spark, _docs_as_files(spark, sf_dir), layout="hive")
+    return _ingested_view(good)
+
+
+@register("page_text_assembly", """
+select conv_id as doc, string_agg(text, '' order by turn) as text from conversations group by conv_id
+""", fixtures=False)
+def q_page_text_assembly(spark, sf_dir):
+    from fieldwork.sources.files import page_text_assembly
+    pages = TB.load(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc"), F.col("turn").alias("page_no"), "text")
+    return page_text_assembly(pages)
+
+
+@register("param_sql", f"""
+select distinct c_custkey, c_name from customer where c_mktsegment = {Q.q(PARAM_SEGMENT)}
+""", fixtures=False)
+def q_param_sql(spark, sf_dir):
+    from fieldwork.operators.store import param_sql
+    return param_sql(spark, "SELECT DISTINCT c_custkey, c_name FROM {customer} WHERE c_mktsegment = :segment",
+                     {"segment": PARAM_SEGMENT}, customer=TB.load(spark, sf_dir, "customer"))
+
+
+@register("validated_append", f"""
+select conv_id * 100 + turn as id,
+       case when role = 'user' then 'valid' else 'rejected' end as status,
+       case when role = 'system' then 'model required' when role <> 'user' then 'prompt required' end as reason,
+       case when role = 'user' then {Q.strip_ws('text')} end as prompt
+from conversations
+""", fixtures=False)
+def q_validated_append(spark, sf_dir):
+    from fieldwork.operators.store import validate_rows
+    conv = TB.load(spark, sf_dir, "conversations")
+    candidates = conv.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("conv_id") % 7).alias("project"),
+        F.col("conv_id").alias("interview"), F.lit("interview").alias("analysis_type"),
+        (F.col("turn") % 5 + 1).alias("analysis_step"),
+        F.when(F.col("role") != "system", F.col("role")).alias("model"),
+        F.length("text").alias("input_tokens"), (F.length("text") % 97).alias("output_tokens"),
+        F.when(F.col("role") == "user", F.col("text")).otherwise(F.lit(" ")).alias("prompt"))
+    valid, rejects = validate_rows(candidates, "llm_answers")
+    return valid.select("id", F.lit("valid").alias("status"), F.lit(None).cast("string").alias("reason"),
+                        "prompt").unionByName(
+        rejects.select(F.get_json_object("payload", "$.id").cast("bigint").alias("id"),
+                       F.lit("rejected").alias("status"), "reason",
+                       F.lit(None).cast("string").alias("prompt")))
+
+
+@register("register_project", """
+with ex as (select project_id, project_name from projects_v),
+nw as (select distinct source as project_name from documents
+       where source not in (select project_name from ex))
+select project_id, project_name from ex
+union all
+select (select max(project_id) from ex) + row_number() over (order by project_name), project_name from nw
+""")
+def q_register_project(spark, sf_dir):
+    from fieldwork.operators.store import register_projects
+    names = TB.load(spark, sf_dir, "documents").select(F.col("source").alias("project_name"))
+    return register_projects(TB.projects_fixture(spark, sf_dir), names)
+
+
+_REGISTRY_SQL = """
+registry as (
+  select row_number() over (order by project_name) as project_id, project_name
+  from (select distinct source as project_name from documents) t)"""
+
+
+def _registry(spark, sf_dir):
+    from fieldwork.operators.store import number_names
+    return number_names(TB.load(spark, sf_dir, "documents").select(F.col("source").alias("project_name")))
+
+
+@register("resolve_project", f"""
+with {_REGISTRY_SQL}
+select project_name, min(project_id) as project_id from registry
+where project_name = {Q.q(LOOKUP_PROJECT)} group by project_name
+""", fixtures=False)
+def q_resolve_project(spark, sf_dir):
+    from fieldwork.operators.store import resolve_project
+    return resolve_project(_registry(spark, sf_dir), LOOKUP_PROJECT)
+
+
+@register("project_interviews", f"""
+select distinct doc_id as interview_id, text as content from documents where source = {Q.q(LOOKUP_PROJECT)}
+""", fixtures=False)
+def q_project_interviews(spark, sf_dir):
+    from fieldwork.operators.store import project_interviews, resolve_project
+    registry = _registry(spark, sf_dir)
+    interviews = (TB.document_interviews(spark, sf_dir)
+                  .join(registry, "project_name")
+                  .select("interview_id", F.col("project_id").alias("project"), "content"))
+    resolved = resolve_project(registry, LOOKUP_PROJECT).select(F.col("project_id").alias("project"))
+    # the resolved id is at most one row: a semi join keeps the plan free of driver round trips
+    return project_interviews(interviews.join(F.broadcast(resolved), "project", "left_semi"),
+                              F.col("project"))
+
+
+@register("report_sink", f"""
+with {_REPORT_CTES}, {_SUMMARY_CTES},
+blocks as (
+  select p.project_name, 'interviews' as report_type, r.report_block as text
+  from report r join projects_v p on p.project_id = r.project
+  union all
+  select project_name, 'summary' as report_type, summary as text from summary_q)
+select unnest(string_split(text, chr(10))) as value, project_name, report_type from blocks
+""")
+def q_report_sink(spark, sf_dir):
+    from fieldwork.session import scratch_path
+    from fieldwork.sources.sinks import read_reports, write_reports
+    blocks = R.report_blocks(_answers(spark, sf_dir), TB.projects_fixture(spark, sf_dir))
+    path = write_reports(blocks, scratch_path(spark, "reports"))
+    return read_reports(spark, path).select("value", F.col("project_name").cast("string"), "report_type")
