@@ -151,7 +151,7 @@ def clean_text(text) -> Column:
 # Masks applied in this order; each pattern runs on the text left by the ones before.
 PII_PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]"),
-    ("secret", r"[\"'][0-9a-fA-F]{16,}[\"']", "[SECRET]"),
+    ("secret", "[\"'][0-9a-fA-F]{16,}[\"']", "[SECRET]"),
     ("ipv4", r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "[IP]"),
     ("card", r"[0-9]{16}", "[CARD]"),
     ("phone", r"\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}", "[PHONE]"),

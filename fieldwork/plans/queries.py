@@ -568,3 +568,223 @@ def q_report_sink(spark, sf_dir):
     blocks = R.report_blocks(_answers(spark, sf_dir), TB.projects_fixture(spark, sf_dir))
     path = write_reports(blocks, scratch_path(spark, "reports"))
     return read_reports(spark, path).select("value", F.col("project_name").cast("string"), "report_type")
+
+
+# ---------------------------------------------------------------------------
+# 2.8 insight tables (definitions are ours)
+# ---------------------------------------------------------------------------
+
+KEYWORD_K = 5
+ROLLUP_BUDGET_CHARS = 1_000_000
+BLOCK_MAX_CHARS = 500
+
+
+def _sections(spark, sf_dir):
+    return SEC.interview_sections(L.latest_answers(_answers(spark, sf_dir), "interview"))
+
+
+def _items(spark, sf_dir):
+    return SEC.section_items(_sections(spark, sf_dir))
+
+
+_ITEM_CTES = f"{Q.LATEST_INTERVIEW}, {Q.CONCAT}, {Q.SECTIONS}, {Q.ITEMS}"
+
+
+@register("section_items", f"""
+with {_ITEM_CTES}
+select project, interview, ord, tag, item_no, item from items
+""")
+def q_section_items(spark, sf_dir):
+    return _items(spark, sf_dir)
+
+
+@register("keyword_topk", f"""
+with docs as (select source as project, doc_id as interview, text as content from documents),
+tok as (select project, interview, unnest(regexp_extract_all(lower(content), '\\p{{L}}+')) as token from docs),
+tf as (select project, interview, token, count(*) as tf from tok group by project, interview, token),
+df as (select project, token, count(*) as df from tf group by project, token),
+n as (select project, count(*) as n_docs from docs group by project),
+sc as (select tf.project, tf.interview, tf.token, tf.tf, df.df,
+              tf.tf * (ln((n.n_docs + 1) / (df.df + 1)) + 1) as score
+       from tf join df on df.project = tf.project and df.token = tf.token join n on n.project = tf.project),
+r as (select *, row_number() over (partition by project, interview order by score desc, token) as rank from sc)
+select project, interview, cast(rank as integer) as rank, token, tf, df, round(score, 6) as score
+from r where rank <= {KEYWORD_K}
+""", fixtures=False)
+def q_keyword_topk(spark, sf_dir):
+    from fieldwork.operators.insights import keyword_topk
+    docs = TB.load(spark, sf_dir, "documents").select(
+        F.col("source").alias("project"), F.col("doc_id").alias("interview"), F.col("text").alias("content"))
+    return keyword_topk(docs, KEYWORD_K)
+
+
+@register("problem_mentions", f"""
+with {_ITEM_CTES}
+select i.project, i.interview, i.ord, i.item_no, i.item,
+       (length(lower(v.content)) - length(replace(lower(v.content), lower(i.item), ''))) // length(lower(i.item))
+         as mentions
+from items i join interviews_v v on v.project = i.project and v.interview_id = i.interview
+where i.tag = 'problems' and length(i.item) > 0
+""")
+def q_problem_mentions(spark, sf_dir):
+    from fieldwork.operators.insights import problem_mentions
+    return problem_mentions(_items(spark, sf_dir), _interviews(spark, sf_dir))
+
+
+@register("item_connections", f"""
+with {_ITEM_CTES},
+base as (select project, interview, ord, item_no, item from items where tag = 'codes'),
+pairs as (
+  select a.project, a.interview, least(a.item, b.item) as item_a, greatest(a.item, b.item) as item_b
+  from base a join base b on b.project = a.project and b.interview = a.interview and b.ord = a.ord
+                          and b.item_no = a.item_no + 1
+  where a.item <> b.item)
+select project, item_a, item_b, count(distinct interview) as interviews from pairs group by project, item_a, item_b
+""")
+def q_item_connections(spark, sf_dir):
+    from fieldwork.operators.insights import item_connections
+    return item_connections(_items(spark, sf_dir), "codes", 1)
+
+
+@register("item_groups")
+def q_item_groups(spark, sf_dir):
+    from fieldwork.operators.components import item_groups
+    return item_groups(_items(spark, sf_dir), "codes")
+
+
+@register("theme_frequency", f"""
+with {_ITEM_CTES},
+totals as (select project, count(distinct interview) as n from items group by project),
+per as (select project, tag, item, count(*) as occurrences, count(distinct interview) as interviews
+        from items group by project, tag, item)
+select p.project, p.tag, p.item, p.occurrences, p.interviews, round(p.interviews / t.n, 6) as share
+from per p join totals t on t.project = p.project
+""")
+def q_theme_frequency(spark, sf_dir):
+    from fieldwork.operators.insights import theme_frequency
+    return theme_frequency(_items(spark, sf_dir))
+
+
+@register("section_rollup", f"""
+with {Q.LATEST_INTERVIEW}, {Q.CONCAT}, {Q.SECTIONS},
+sized as (
+  select project, tag, interview, ord, {Q.normalise('content')} as processed,
+         length({Q.normalise('content')}) as len
+  from sections),
+cum as (
+  select *, sum(len) over (partition by project, tag order by interview, ord
+                           rows between unbounded preceding and current row) as e
+  from sized)
+select project, tag, cast(floor((e - len) / {ROLLUP_BUDGET_CHARS}) + 1 as bigint) as chunk_no,
+       count(*) as sections, cast(sum(len) as bigint) as chars,
+       string_agg(processed, chr(10) order by interview, ord) as text
+from cum group by 1, 2, 3
+""")
+def q_section_rollup(spark, sf_dir):
+    from fieldwork.operators.insights import section_rollup
+    return section_rollup(_sections(spark, sf_dir), ROLLUP_BUDGET_CHARS)
+
+
+def _clean_sql(x: str) -> str:
+    t = f"regexp_replace({x}, '\\r\\n?', chr(10), 'g')"
+    t = f"regexp_replace({t}, '{T._CONTROL}', '', 'g')"
+    t = f"regexp_replace({t}, '[ \\t]+', ' ', 'g')"
+    t = f"regexp_replace({t}, ' +(\\n|\\z)', '\\1', 'g')"
+    return f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@register("clean_text", f"""
+select doc_id, {_clean_sql('text')} as text from documents
+""", fixtures=False)
+def q_clean_text(spark, sf_dir):
+    from fieldwork.operators.insights import clean_documents
+    return clean_documents(TB.load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _anonymise_sql() -> str:
+    ctes, src, cols = [], "documents", []
+    for i, (kind, pattern, mask) in enumerate(T.PII_PATTERNS):
+        keep = ", ".join(["doc_id"] + cols)
+        ctes.append(f"s{i} as (select {keep}, len(regexp_extract_all(text, {Q.q(pattern)})) as n_{kind}, "
+                    f"regexp_replace(text, {Q.q(pattern)}, {Q.q(mask)}, 'g') as text from {src})")
+        cols.append(f"n_{kind}")
+        src = f"s{i}"
+    return "with " + ",\n".join(ctes) + f"\nselect doc_id, text, {', '.join(cols)} from {src}"
+
+
+@register("anonymise", _anonymise_sql(), fixtures=False)
+def q_anonymise(spark, sf_dir):
+    from fieldwork.operators.insights import anonymise_documents
+    return anonymise_documents(TB.load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("text_blocks", f"""
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line,
+         generate_subscripts(string_split(text, chr(10)), 1) as line_no
+  from documents),
+off as (
+  select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no
+                                                  rows between unbounded preceding and 1 preceding), 0) as o
+  from lines)
+select doc_id, cast(floor(o / {BLOCK_MAX_CHARS}) as bigint) as block_no,
+       string_agg(line, chr(10) order by line_no) as text, count(*) as n_lines
+from off group by 1, 2
+""", fixtures=False)
+def q_text_blocks(spark, sf_dir):
+    from fieldwork.operators.insights import text_blocks
+    return text_blocks(TB.load(spark, sf_dir, "documents").select("doc_id", "text"), max_chars=BLOCK_MAX_CHARS)
+
+
+@register("usage_stats", """
+select project, model, analysis_type, analysis_step,
+       grouping(project, model, analysis_type, analysis_step) as gid,
+       count(*) as calls, cast(sum(input_tokens) as bigint) as input_tokens,
+       cast(sum(output_tokens) as bigint) as output_tokens, round(avg(input_tokens), 6) as avg_input_tokens
+from llm_answers_v group by rollup (project, model, analysis_type, analysis_step)
+""")
+def q_usage_stats(spark, sf_dir):
+    from fieldwork.operators.insights import usage_stats
+    return usage_stats(_answers(spark, sf_dir))
+
+
+def _categories_sql() -> str:
+    cols = []
+    for t in S.TAGS:
+        hit = f"tag = {Q.q(t)}"
+        cols += [f"cast(sum(case when {hit} then 1 else 0 end) as bigint) as {t}_sections",
+                 f"cast(sum(case when {hit} then n_items else 0 end) as bigint) as {t}_items",
+                 f"cast(sum(case when {hit} then length(content) else 0 end) as bigint) as {t}_chars"]
+    return f"""
+with {_ITEM_CTES},
+n as (select project, interview, ord, count(*) as n_items from items group by 1, 2, 3),
+s as (select s.*, coalesce(n.n_items, 0) as n_items from sections s
+      left join n on n.project = s.project and n.interview = s.interview and n.ord = s.ord)
+select project, interview, {", ".join(cols)} from s group by project, interview
+"""
+
+
+@register("answer_categories", _categories_sql())
+def q_answer_categories(spark, sf_dir):
+    from fieldwork.operators.insights import answer_categories
+    secs = _sections(spark, sf_dir)
+    return answer_categories(secs, SEC.section_items(secs))
+
+
+@register("project_trends", """
+with daily as (
+  select event_type as project, cast(ts as date) as day, count(*) as answers,
+         cast(sum(cast(value as decimal(18, 2))) as double) as tokens
+  from events group by 1, 2),
+firsts as (
+  select project, cast(f as date) as day, count(*) as firsts
+  from (select event_type as project, min(ts) as f from events group by user_id, event_type) t
+  group by 1, 2)
+select d.project, strftime(d.day, '%Y-%m-%d') as day, d.answers, d.answers - coalesce(f.firsts, 0) as reruns,
+       d.tokens, d.answers - lag(d.answers) over (partition by d.project order by d.day) as change
+from daily d left join firsts f on f.project = d.project and f.day = d.day
+""", fixtures=False)
+def q_project_trends(spark, sf_dir):
+    from fieldwork.operators.insights import project_trends
+    ev = TB.load(spark, sf_dir, "events")
+    return project_trends(ev, "event_type", ["user_id", "event_type"], "ts", "event_id", "value")

@@ -141,3 +141,11 @@ def template_case(analysis_type: str, step_col: str = "analysis_step") -> str:
     whens = " ".join(f"when {p['analysis_step']} then {text_lit(p['text_template'] + S.LANGUAGE_SUFFIX)}"
                      for p in steps)
     return f"case {step_col} {whens} end"
+
+
+ITEMS = f"""
+items as (
+  select project, interview, ord, tag, item, cast(item_no as integer) as item_no
+  from (select project, interview, ord, tag, unnest({item_lines('content')}) as item,
+               generate_subscripts({item_lines('content')}, 1) as item_no
+        from sections) t)"""
