@@ -177,8 +177,11 @@ def answer_rows(scored: DataFrame, created: F.Column | None = None) -> DataFrame
     prompt column keeps the rendered prompt."""
     created = created if created is not None else F.current_timestamp().cast("timestamp_ntz")
     ok = scored.where(F.col("error").isNull()).withColumn("created", created)
+    id_cols = ["project", "interview", "analysis_type", "analysis_step", "created"]
+    if "chunk_no" in scored.columns:
+        id_cols.append("chunk_no")
     return ok.select(
-        F.xxhash64("project", "interview", "analysis_type", "analysis_step", "created").alias("id"),
+        F.xxhash64(*id_cols).alias("id"),
         "project", "interview", "analysis_type", F.col("analysis_step").cast("int").alias("analysis_step"),
         "created", "model", F.col("input_tokens").cast("int").alias("input_tokens"),
         F.col("output_tokens").cast("int").alias("output_tokens"),

@@ -788,3 +788,85 @@ def q_project_trends(spark, sf_dir):
     from fieldwork.operators.insights import project_trends
     ev = TB.load(spark, sf_dir, "events")
     return project_trends(ev, "event_type", ["user_id", "event_type"], "ts", "event_id", "value")
+
+
+# ---------------------------------------------------------------------------
+# 2.7 the stage-switched job / 2.10 streaming forms
+# ---------------------------------------------------------------------------
+
+def _report_ctes(src: str, p: str) -> str:
+    """Interviews-report CTEs over answers ``src(project, interview, analysis_step, answer_content)``."""
+    return f"""
+{p}concat as (
+  select project, interview, string_agg(answer_content, chr(10) order by analysis_step) as answers_text
+  from {src} group by project, interview),
+{p}sections as ({Q.sections_from(p + 'concat', 'project, interview', 'answers_text')}),
+{p}numbered as (
+  select project, interview, row_number() over (partition by project order by interview) as report_no
+  from {p}concat),
+{p}bodies as (
+  select project, interview,
+         string_agg(chr(10) || {Q.label('tag')} || chr(10) || {Q.normalise('content')} || chr(10), ''
+                    order by ord) as body
+  from {p}sections group by project, interview),
+{p}report as (
+  select n.project, n.interview, n.report_no,
+         {Q.text_lit(S.INTERVIEW_HEADER)} || cast(n.report_no as varchar) || coalesce(b.body, '') as report_block
+  from {p}numbered n left join {p}bodies b on b.project = n.project and b.interview = n.interview)"""
+
+
+@register("stage_flags", f"""
+with {_CHAIN_CTES},
+job as (
+  select h.project, h.interview, h.analysis_step, coalesce(h.answer_content, '') as answer_content
+  from have h left join first_fail f on f.project = h.project and f.interview = h.interview
+  where h.ok and (f.failed_step is null or h.analysis_step < f.failed_step)),
+{_report_ctes('job', 'j_')},
+{_SUMMARY_CTES}
+select r.project, p.project_name, 'interviews' as report_type, r.report_no as block_no, r.report_block as text
+from j_report r join projects_v p on p.project_id = r.project
+union all
+select project, project_name, 'summary', 1, summary from summary_q
+where project in (select project from j_report)
+""")
+def q_stage_flags(spark, sf_dir):
+    from fieldwork.operators import scoring as SC
+    from fieldwork.operators.store import validate_rows
+    from fieldwork.plans.job import Store, run_job
+    from fieldwork.session import scratch_path
+    answers = _answers(spark, sf_dir)
+    store = Store(spark, scratch_path(spark, "store"))
+    store.append(TB.projects_fixture(spark, sf_dir), "projects")
+    store.append(validate_rows(_interviews(spark, sf_dir), "interviews")[0], "interviews")
+    recorded = L.latest_answers(answers, "interview")
+    recorded_p = L.latest_answers(answers, "project")
+    return run_job(spark, store, process_interviews=True, process_project=True,
+                   responder=SC.replay_responder(recorded), project_responder=SC.replay_responder(recorded_p),
+                   project_budget_chars=PROJECT_BUDGET_CHARS)
+
+
+@register("stream_ingest", _INGEST_SQL, fixtures=False)
+def q_stream_ingest(spark, sf_dir):
+    from fieldwork.session import scratch_path
+    from fieldwork.streaming.ingest import read_ingested, stream_ingest
+    root = _docs_as_files(spark, sf_dir)
+    table = scratch_path(spark, "stream-table")
+    stream_ingest(spark, root, table, scratch_path(spark, "stream-ckpt"), layout="hive",
+                  max_files_per_trigger=256)
+    return _ingested_view(read_ingested(spark, table))
+
+
+@register("stream_latest", f"""
+with {Q.LATEST_INTERVIEW}
+select project, interview, analysis_step, id, answer_content from latest
+""")
+def q_stream_latest(spark, sf_dir):
+    from fieldwork.session import scratch_path
+    from fieldwork.streaming.latest import current_view, stream_latest
+    log_dir = scratch_path(spark, "answer-log")
+    log = _answers(spark, sf_dir)
+    # the log arrives as several files in no particular order
+    log.repartition(8).write.parquet(log_dir)
+    out = scratch_path(spark, "latest-updates")
+    stream_latest(spark, log_dir, out, scratch_path(spark, "latest-ckpt"), schema=log.schema)
+    return current_view(spark, out)
