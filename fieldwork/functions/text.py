@@ -148,26 +148,33 @@ def clean_text(text) -> Column:
     return F.regexp_replace(t, r"\n{3,}", "\n\n")
 
 
-# Masks applied in this order; each pattern runs on the text left by the ones before.
+# Masks applied in this order; each pattern runs on the text left by the ones
+# before.  The last field lists characters every match must contain: a text
+# without any of them is skipped (the masks add none of these characters).
 PII_PATTERNS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]"),
-    ("secret", "[\"'][0-9a-fA-F]{16,}[\"']", "[SECRET]"),
-    ("ipv4", r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "[IP]"),
-    ("card", r"[0-9]{16}", "[CARD]"),
-    ("phone", r"\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}", "[PHONE]"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", "@"),
+    ("secret", "[\"'][0-9a-fA-F]{16,}[\"']", "[SECRET]", "\"'"),
+    ("ipv4", r"[0-9]{1,3}(\.[0-9]{1,3}){3}", "[IP]", "0123456789"),
+    ("card", r"[0-9]{16}", "[CARD]", "0123456789"),
+    ("phone", r"\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}", "[PHONE]", "0123456789"),
 )
 
 
-def anonymise(text) -> tuple[Column, dict[str, Column]]:
-    """Masked text plus one count column per kind of personal data."""
+def contains_any(text, chars: str) -> Column:
+    """True when ``text`` holds at least one of ``chars`` (one literal scan per
+    character for short sets, one character-class scan otherwise)."""
     t = _col(text)
-    counts = {}
-    for kind, pattern, mask in PII_PATTERNS:
-        counts[kind] = F.regexp_count(t, F.lit(pattern)).cast("bigint")
-        t = F.regexp_replace(t, pattern, mask)
-    return t, counts
+    if len(chars) <= 2:
+        cond = None
+        for ch in chars:
+            c = F.instr(t, ch) > 0
+            cond = c if cond is None else cond | c
+        return cond
+    cls = "".join("\\" + ch if ch in "\\^-]" else ch for ch in chars)
+    return F.regexp_like(t, F.lit(f"[{cls}]"))
 
 
 def word_tokens(text) -> Column:
-    """Lower-cased runs of letters."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit(r"\p{L}+"), F.lit(0))
+    """Lower-cased runs of letters (``\\p{L}+``), as the pieces between runs of
+    non-letters (a split is cheaper than extracting every match)."""
+    return F.filter(F.split(F.lower(_col(text)), r"\P{L}+", -1), lambda x: x != F.lit(""))

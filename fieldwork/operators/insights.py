@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fieldwork import schemas as S
 from fieldwork.functions import text as T
 from fieldwork.operators.numbering import running_total
+from fieldwork.operators.parallel import spread
 
 
 # ---------------------------------------------------------------------------
@@ -27,6 +28,7 @@ def keyword_topk(docs: DataFrame, k: int = 5) -> DataFrame:
 
     ``docs``: ``(project, interview, content)``.
     """
+    docs = spread(docs.select("project", "interview", "content"))
     tokens = docs.select("project", "interview", F.explode(T.word_tokens("content")).alias("token"))
     tf = tokens.groupBy("project", "interview", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("project", "token").agg(F.count(F.lit(1)).alias("df"))
@@ -126,17 +128,29 @@ def section_rollup(sections: DataFrame, budget_chars: int = 1_000_000) -> DataFr
 # ---------------------------------------------------------------------------
 
 def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn(text, T.clean_text(text))
+    return spread(docs).withColumn(text, T.clean_text(text))
 
 
 def anonymise_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Masks personal data; adds ``n_<kind>`` counts.  One projection per kind so
-    the masked text of one stage feeds the next without recomputation."""
-    out = docs
-    for kind, pattern, mask in T.PII_PATTERNS:
-        out = (out.withColumn(f"n_{kind}", F.regexp_count(text, F.lit(pattern)).cast("bigint"))
-               .withColumn(text, F.regexp_replace(text, pattern, mask)))
-    return out
+    """Masks personal data; adds ``n_<kind>`` counts.
+
+    One projection per kind so the masked text of one stage feeds the next.  A
+    pattern only runs on texts holding one of its trigger characters (checked
+    once per character set on the original text, which is a superset: masks add
+    none of them); elsewhere the count is 0 and the text is unchanged.
+    """
+    guards = {}
+    out = spread(docs)
+    for kind, _, _, chars in T.PII_PATTERNS:
+        if chars not in guards:
+            guards[chars] = f"_g{len(guards)}"
+            out = out.withColumn(guards[chars], T.contains_any(text, chars))
+    for kind, pattern, mask, chars in T.PII_PATTERNS:
+        g = F.col(guards[chars])
+        out = (out.withColumn(f"n_{kind}", F.when(g, F.regexp_count(text, F.lit(pattern))).otherwise(0)
+                              .cast("bigint"))
+               .withColumn(text, F.when(g, F.regexp_replace(text, pattern, mask)).otherwise(F.col(text))))
+    return out.drop(*guards.values())
 
 
 def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", max_chars: int = 500) -> DataFrame:

@@ -703,7 +703,7 @@ def q_clean_text(spark, sf_dir):
 
 def _anonymise_sql() -> str:
     ctes, src, cols = [], "documents", []
-    for i, (kind, pattern, mask) in enumerate(T.PII_PATTERNS):
+    for i, (kind, pattern, mask, _) in enumerate(T.PII_PATTERNS):
         keep = ", ".join(["doc_id"] + cols)
         ctes.append(f"s{i} as (select {keep}, len(regexp_extract_all(text, {Q.q(pattern)})) as n_{kind}, "
                     f"regexp_replace(text, {Q.q(pattern)}, {Q.q(mask)}, 'g') as text from {src})")
