@@ -31,7 +31,10 @@ def keyword_topk(docs: DataFrame, k: int = 5) -> DataFrame:
     docs = spread(docs.select("project", "interview", "content"))
     tokens = docs.select("project", "interview", F.explode(T.word_tokens("content")).alias("token"))
     tf = tokens.groupBy("project", "interview", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("project", "token").agg(F.count(F.lit(1)).alias("df"))
+    # counting ``tf`` (never NULL) rather than rows keeps this branch's input
+    # identical to the joined one, so the tokenising stage runs once and its
+    # exchange is reused
+    df = tf.groupBy("project", "token").agg(F.count("tf").alias("df"))
     n = docs.groupBy("project").agg(F.count(F.lit(1)).alias("n_docs"))
     scored = (tf.join(df, ["project", "token"]).join(n, "project")
               .withColumn("score", F.col("tf") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)))

@@ -26,6 +26,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
+               # small shuffles of long texts stay spread over the cores; large
+               # shuffles are governed by the advisory partition size anyway
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
