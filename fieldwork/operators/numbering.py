@@ -4,7 +4,13 @@
 task.  When one group may hold a third of all rows, that task is the job.  The
 operators here range-partition on ``(g, o)`` instead, so a large group is
 spread over many partitions, number each piece locally, and add per-piece
-offsets from a small table (one row per group and partition).
+offsets from a small table (at most one row per group and partition).
+
+The range-partitioned rows are checkpointed (reliably, to the shared
+checkpoint folder) before they are used twice: range bounds come from a
+sample, and a second evaluation could draw other bounds.  Pass only the
+columns you need; ``sequence_number`` callers with a payload can number the
+keys alone and join the numbers back.
 """
 
 from __future__ import annotations
@@ -12,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldwork.session import ensure_checkpoint_dir
+
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
@@ -28,7 +36,19 @@ def _piece_offsets(pieces: DataFrame, group_cols: list[str], sums: dict[str, str
     w = (Window.partitionBy(*group_cols).orderBy("_pid")
          .rowsBetween(Window.unboundedPreceding, -1))
     cols = [F.coalesce(F.sum(src).over(w), F.lit(0)).alias(dst) for src, dst in sums.items()]
-    return pieces.select(*group_cols, "_pid", *[c for c in pieces.columns if c.startswith("_first")], *cols)
+    extra = [c for c in pieces.columns if c.startswith("_first")]
+    return pieces.select(*group_cols, "_pid", *extra, *cols)
+
+
+def _ranged(df: DataFrame, keys: list[str], n: int, sort: bool) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.repartitionByRange(n, *keys)
+    if sort:
+        out = out.sortWithinPartitions(*keys)
+    out = out.withColumn("_pid", F.spark_partition_id())
+    if sort:
+        out = out.withColumn("_mid", F.monotonically_increasing_id())
+    return out.checkpoint(eager=True)
 
 
 def sequence_number(df: DataFrame, group_cols: list[str], order_cols: list[str],
@@ -42,12 +62,8 @@ def sequence_number(df: DataFrame, group_cols: list[str], order_cols: list[str],
     once it has measured it).  Ties in ``order_cols`` are numbered arbitrarily,
     as with ``row_number``.
     """
-    n = _partitions(df, num_partitions)
     keys = [*group_cols, *order_cols]
-    ranged = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = _ranged(df, keys, _partitions(df, num_partitions), sort=True)
     pieces = ranged.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_n"),
                                                      F.min("_mid").alias("_first_mid"))
     offsets = _piece_offsets(pieces, group_cols, {"_n": "_off_n"})
@@ -64,9 +80,8 @@ def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str], w
     The window runs per (group, range partition) piece, never over a whole group;
     earlier pieces contribute through the offset table.
     """
-    n = _partitions(df, num_partitions)
     keys = [*group_cols, *order_cols]
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    ranged = _ranged(df, keys, _partitions(df, num_partitions), sort=False)
     w = (Window.partitionBy(*group_cols, "_pid").orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumn("_local", F.sum(weight).over(w))

@@ -17,9 +17,10 @@ from fieldwork.operators import sections as SEC
 from fieldwork.operators.numbering import sequence_number
 
 
-def report_numbers(concat: DataFrame) -> DataFrame:
-    """Running number 1..n per project over the interviews that have answers."""
-    return sequence_number(concat, ["project"], ["interview"], name="report_no")
+def report_numbers(keys: DataFrame) -> DataFrame:
+    """Running number 1..n per project over the interviews that have answers:
+    ``(project, interview) -> report_no`` (keys are unique)."""
+    return sequence_number(keys.select("project", "interview"), ["project"], ["interview"], name="report_no")
 
 
 def interviews_report(answers: DataFrame, project: int | None = None) -> DataFrame:
@@ -33,7 +34,10 @@ def interviews_report(answers: DataFrame, project: int | None = None) -> DataFra
     latest = L.latest_answers(answers.select("id", "project", "interview", "analysis_type",
                                              "analysis_step", "created", "answer_content"),
                               "interview", project)
-    numbered = report_numbers(SEC.concat_answers(latest))
+    concat = SEC.concat_answers(latest)
+    # only the keys go through the numbering; the texts stay in the aggregate's
+    # partitioning and the (small) numbers are joined onto them
+    numbered = concat.join(report_numbers(concat), ["project", "interview"])
     return numbered.select(
         "project", "interview", "report_no",
         T.interview_report_block("report_no", T.extract_sections("answers_text")).alias("report_block"))

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from fieldwork import schemas as S
 from fieldwork.functions import text as TX
 from fieldwork.operators.numbering import running_total
-from fieldwork.session import scratch_path
+from fieldwork.session import scratch_path, ship_package
 
 KEY = ["project", "interview", "analysis_step"]
 
@@ -96,17 +96,19 @@ def replay_responder(recorded: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Responder that answers from recorded answers ``(project, interview,
     analysis_step, answer_content, model, input_tokens, output_tokens)`` by an
     equi-join; a request without a recording fails with an error."""
-    rec = recorded.select(*KEY, F.struct(
-        F.col("answer_content").alias("content"), F.col("model"),
-        F.col("input_tokens").cast("int").alias("input_tokens"),
-        F.col("output_tokens").cast("int").alias("output_tokens"),
-        F.lit(None).cast("string").alias("error")).alias("response"))
+    rec = recorded.select(
+        F.col("project").alias("_r_project"), F.col("interview").alias("_r_interview"),
+        F.col("analysis_step").alias("_r_step"),
+        F.struct(F.col("answer_content").alias("content"), F.col("model"),
+                 F.col("input_tokens").cast("int").alias("input_tokens"),
+                 F.col("output_tokens").cast("int").alias("output_tokens"),
+                 F.lit(None).cast("string").alias("error")).alias("response"))
 
     def respond(requests: DataFrame) -> DataFrame:
-        joined = requests.join(rec, requests["project"].eqNullSafe(rec["project"])
-                               & requests["interview"].eqNullSafe(rec["interview"])
-                               & (requests["analysis_step"] == rec["analysis_step"]), "left")
-        joined = joined.select(requests["*"], rec["response"])
+        cond = (F.col("project").eqNullSafe(F.col("_r_project"))
+                & F.col("interview").eqNullSafe(F.col("_r_interview"))
+                & (F.col("analysis_step") == F.col("_r_step")))
+        joined = requests.join(rec, cond, "left").drop("_r_project", "_r_interview", "_r_step")
         missing = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in S.RESPONSE_SCHEMA.fields[:-1]],
                            F.lit("no recorded answer").alias("error"))
         return joined.withColumn("response", F.coalesce("response", missing))
@@ -154,6 +156,7 @@ def pandas_responder(make_client: Callable[[], Callable[[dict], dict]], min_inte
                 out["response"] = responses
                 yield out
 
+        ship_package(requests.sparkSession)
         src = requests.repartition(partitions) if partitions else requests
         return src.mapInPandas(run, out_schema)
 
