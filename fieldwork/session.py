@@ -30,6 +30,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                # shuffles are governed by the advisory partition size anyway
                .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
                .config("spark.sql.session.timeZone", "UTC")
+               # streaming state (one row per key) lives in RocksDB, not on the JVM heap
+               .config("spark.sql.streaming.stateStore.providerClass",
+                       "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
