@@ -5,8 +5,9 @@ letter run of at least ``min_token_len`` letters, found in at least two and at
 most ``max(2, max_share * items)`` of the project's items).  Groups are the
 connected components of that graph.  The graph is kept as item-token edges,
 so linking never enumerates item pairs; labels are found by min-label
-propagation (each round two aggregates over the edges), with every round's
-labels checkpointed to the shared checkpoint folder to cut lineage.
+propagation with pointer jumping (each round two aggregates over the edges
+and one join), with the inputs and every round's labels checkpointed to the
+shared checkpoint folder to cut lineage.
 """
 
 from __future__ import annotations
@@ -32,16 +33,27 @@ def item_token_edges(items: DataFrame, keys: list[str], min_token_len: int = 4,
 
 
 def connected_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 100) -> DataFrame:
-    """``(keys..., item, group_label)``: the smallest item of each component."""
-    labels = nodes.select(*keys, "item", F.col("item").alias("label"))
+    """``(keys..., item, group_label)``: the smallest item of each component.
+
+    Each round moves labels item -> token -> item (two aggregates with map-side
+    partial minima), then lets every item take the label of its label
+    (pointer jumping; labels are always members of the same component, so the
+    fixpoint is still the component's smallest item, reached in fewer rounds).
+    Inputs are checkpointed once; every round's labels are checkpointed too.
+    """
+    edges = edges.checkpoint(eager=True)
+    labels = nodes.select(*keys, "item", F.col("item").alias("label")).checkpoint(eager=True)
     for _ in range(max_rounds):
         by_token = (edges.join(labels, [*keys, "item"])
                     .groupBy(*keys, "token").agg(F.min("label").alias("tlabel")))
         by_item = (edges.join(by_token, [*keys, "token"])
                    .groupBy(*keys, "item").agg(F.min("tlabel").alias("cand")))
-        step = (labels.join(by_item, [*keys, "item"], "left")
-                .select(*keys, "item", F.col("label").alias("prev"),
-                        F.least("label", F.coalesce("cand", "label")).alias("label"))
+        moved = (labels.join(by_item, [*keys, "item"], "left")
+                 .select(*keys, "item", F.col("label").alias("prev"),
+                         F.least("label", F.coalesce("cand", "label")).alias("label")))
+        target = moved.select(*keys, F.col("item").alias("label"), F.col("label").alias("_jump"))
+        step = (moved.join(target, [*keys, "label"], "left")
+                .select(*keys, "item", "prev", F.least("label", F.coalesce("_jump", "label")).alias("label"))
                 .checkpoint(eager=True))
         changed = step.where(F.col("prev") != F.col("label")).count()
         labels = step.drop("prev")

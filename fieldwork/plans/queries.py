@@ -646,10 +646,37 @@ def q_item_connections(spark, sf_dir):
     return item_connections(_items(spark, sf_dir), "codes", 1)
 
 
-@register("item_groups")
+GROUP_MIN_TOKEN_LEN = 4
+GROUP_MAX_SHARE = 0.05
+
+
+@register("item_groups", f"""
+with recursive {_ITEM_CTES},
+nodes as (select distinct project, item from items where tag = 'codes'),
+n as (select project, count(*) as n from nodes group by project),
+e0 as (select distinct project, item, token
+       from (select project, item, unnest(regexp_extract_all(lower(item), '\\p{{L}}+')) as token from nodes) t
+       where length(token) >= {GROUP_MIN_TOKEN_LEN}),
+df as (select project, token, count(*) as df from e0 group by project, token),
+edges as (
+  select e0.project, e0.item, e0.token from e0
+  join df on df.project = e0.project and df.token = e0.token join n on n.project = e0.project
+  where df.df >= 2 and df.df <= greatest(2.0, n.n * {GROUP_MAX_SHARE})),
+cc(project, item, label) using key (project, item) as (
+  select project, item, item from nodes
+  union
+  select e.project, e.item, min(w.label)
+  from cc w
+  join edges e2 on e2.project = w.project and e2.item = w.item
+  join edges e on e.project = e2.project and e.token = e2.token
+  join recurring.cc cur on cur.project = e.project and cur.item = e.item
+  where w.label < cur.label
+  group by e.project, e.item)
+select project, item, label as group_label, count(*) over (partition by project, label) as group_size from cc
+""")
 def q_item_groups(spark, sf_dir):
     from fieldwork.operators.components import item_groups
-    return item_groups(_items(spark, sf_dir), "codes")
+    return item_groups(_items(spark, sf_dir), "codes", GROUP_MIN_TOKEN_LEN, GROUP_MAX_SHARE)
 
 
 @register("theme_frequency", f"""

@@ -163,6 +163,8 @@ def with_fixtures(sql: str) -> str:
             f"interviews_v as ({INTERVIEWS_SQL}),\n"
             f"projects_v as ({PROJECTS_SQL})")
     body = sql.strip()
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {head[5:]},\n{body[15:]}"
     if body[:5].lower() == "with ":
         return f"{head},\n{body[5:]}"
     return f"{head}\n{body}"
