@@ -68,24 +68,43 @@ def ingest_stage(store: Store, raw_root: str, layout: str = "folders", suffix: s
     store.append(bad, "rejects")
 
 
+def _only(df: DataFrame, projects: DataFrame | None, col: str = "project") -> DataFrame:
+    if projects is None:
+        return df
+    return df.join(F.broadcast(projects.select(F.col("project_id").alias(col))), col, "left_semi")
+
+
 def run_job(spark: SparkSession, store: Store, raw_root: str | None = None, *, save_files: bool = False,
             process_interviews: bool = False, process_project: bool = False,
             responder=None, project_responder=None, plan=S.QUESTION_PLAN,
             sink_path: str | None = None, layout: str = "folders",
-            project_budget_chars: int = 2_000_000) -> DataFrame:
+            project_budget_chars: int = 2_000_000, project_names: list[str] | None = None) -> DataFrame:
     """Run the enabled stages; return the report blocks
-    ``(project, project_name, report_type, block_no, text)``."""
+    ``(project, project_name, report_type, block_no, text)``.
+
+    ``project_names`` limits every stage to those projects (the original tool
+    handles one named project per run); by default all projects run at once.
+    The name list is a parameter of the run, so broadcasting its ids is bounded
+    by what the caller passes.
+    """
+    selected = None
     if save_files:
         ingest_stage(store, raw_root, layout)
+    if project_names is not None:
+        selected = (store.read("projects").where(F.col("project_name").isin(list(project_names)))
+                    .groupBy("project_name").agg(F.min("project_id").alias("project_id")))
     if process_interviews:
-        interviews = store.read("interviews")
+        interviews = _only(store.read("interviews"), selected)
         answers, dead = SC.chained_steps(interviews, responder, plan, "interview")
         store.append(SC.answer_rows(answers), "llm_answers")
         store.append(dead.select(F.lit("llm_answers").alias("source"), F.col("error").alias("reason"),
                                  F.to_json(F.struct("project", "interview", "analysis_step")).alias("payload")),
                      "rejects")
     projects = store.read("projects")
-    blocks = R.interviews_report(store.read("llm_answers")).select(
+    if selected is not None:
+        projects = projects.join(selected.select("project_id"), "project_id", "left_semi")
+    answers = _only(store.read("llm_answers"), selected)
+    blocks = R.interviews_report(answers).select(
         "project", F.col("report_no").alias("block_no"), F.col("report_block").alias("text"))
     if process_project:
         blocks = SC._persist(blocks, "report-blocks")
@@ -95,7 +114,55 @@ def run_job(spark: SparkSession, store: Store, raw_root: str | None = None, *, s
                              F.lit("").alias("prompt"), F.lit(None).cast("double").alias("temperature"),
                              "content", "model", "input_tokens", "output_tokens", "error")
         store.append(SC.answer_rows(rows), "llm_answers")
-    out = R.report_blocks(store.read("llm_answers"), projects)
+    out = R.report_blocks(_only(store.read("llm_answers"), selected), projects)
     if sink_path:
         SK.write_reports(out, sink_path)
     return out
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Command line form of the job.
+
+    ``python -m fieldwork.plans.job --store DIR [--raw DIR] [--project NAME ...]
+    [--save-files] [--process-interviews] [--process-project] [--client mod:fn]
+    [--sink DIR] [--min-interval S] [--partitions N]``
+
+    ``--client`` names a factory ``fn() -> call(request) -> {content, model,
+    input_tokens, output_tokens}`` used for the model calls.
+    """
+    import argparse
+    import importlib
+
+    from fieldwork.session import get_session
+
+    ap = argparse.ArgumentParser(prog="fieldwork-job")
+    ap.add_argument("--store", required=True)
+    ap.add_argument("--raw")
+    ap.add_argument("--project", action="append", dest="projects")
+    ap.add_argument("--save-files", action="store_true")
+    ap.add_argument("--process-interviews", action="store_true")
+    ap.add_argument("--process-project", action="store_true")
+    ap.add_argument("--client")
+    ap.add_argument("--sink")
+    ap.add_argument("--layout", default="folders", choices=["folders", "hive"])
+    ap.add_argument("--min-interval", type=float, default=0.0)
+    ap.add_argument("--partitions", type=int)
+    args = ap.parse_args(argv)
+    spark = get_session()
+    responder = None
+    if args.client:
+        mod, fn = args.client.split(":")
+        factory = getattr(importlib.import_module(mod), fn)
+        responder = SC.pandas_responder(factory, min_interval_s=args.min_interval, partitions=args.partitions)
+    elif args.process_interviews or args.process_project:
+        ap.error("--client is required to process interviews or projects")
+    out = run_job(spark, Store(spark, args.store), args.raw, save_files=args.save_files,
+                  process_interviews=args.process_interviews, process_project=args.process_project,
+                  responder=responder, project_responder=responder, sink_path=args.sink,
+                  layout=args.layout, project_names=args.projects)
+    if not args.sink:
+        out.groupBy("project_name", "report_type").count().show(truncate=False)
+
+
+if __name__ == "__main__":
+    main()

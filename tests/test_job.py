@@ -61,3 +61,16 @@ def test_job_stages_and_reruns(spark, tmp_dir):
     blocks = run_job(spark, store, raw, save_files=True, process_interviews=True, responder=responder)
     assert store.read("interviews").count() == 4
     assert len([r for r in blocks.collect() if r["report_type"] == "interviews"]) == 4
+
+
+def test_job_limited_to_named_project(spark, tmp_dir):
+    raw = os.path.join(tmp_dir, "raw")
+    _write(f"{raw}/alpha/i1.txt", "hello")
+    _write(f"{raw}/beta/i2.txt", "other")
+    store = Store(spark, os.path.join(tmp_dir, "store"))
+    responder = SC.pandas_responder(_client_factory(), partitions=1)
+    blocks = run_job(spark, store, raw, save_files=True, process_interviews=True, responder=responder,
+                     project_names=["beta"]).collect()
+    assert {r["project_name"] for r in blocks} == {"beta"}
+    assert store.read("interviews").count() == 2  # ingest covers the folder tree
+    assert store.read("llm_answers").count() == 5  # only beta was scored
