@@ -28,14 +28,14 @@ def keyword_topk(docs: DataFrame, k: int = 5) -> DataFrame:
 
     ``docs``: ``(project, interview, content)``.
     """
-    docs = spread(docs.select("project", "interview", "content"))
-    tokens = docs.select("project", "interview", F.explode(T.word_tokens("content")).alias("token"))
-    tf = tokens.groupBy("project", "interview", "token").agg(F.count(F.lit(1)).alias("tf"))
-    # counting ``tf`` (never NULL) rather than rows keeps this branch's input
-    # identical to the joined one, so the tokenising stage runs once and its
-    # exchange is reused
-    df = tf.groupBy("project", "token").agg(F.count("tf").alias("df"))
     n = docs.groupBy("project").agg(F.count(F.lit(1)).alias("n_docs"))
+    tokens = spread(docs.select("project", "interview", "content")).select(
+        "project", "interview", F.explode(T.word_tokens("content")).alias("token"))
+    tf = tokens.groupBy("project", "interview", "token").agg(F.count(F.lit(1)).alias("tf"))
+    # df counts the (interview, token) rows; it is written as sum(least(tf, 1))
+    # (tf >= 1) so that this branch reads ``tf`` like the joined branch does:
+    # both then share one tokenising stage and its exchange is reused
+    df = tf.groupBy("project", "token").agg(F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
     scored = (tf.join(df, ["project", "token"]).join(n, "project")
               .withColumn("score", F.col("tf") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)))
     w = Window.partitionBy("project", "interview").orderBy(F.col("score").desc(), F.col("token"))
