@@ -126,3 +126,24 @@ def test_anonymise_counts_and_masks(spark):
     assert (r["n_email"], r["n_secret"], r["n_ipv4"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1, 1)
     assert r["text"] == "mail [EMAIL], ip [IP], card [CARD], tel [PHONE], key [SECRET]"
     assert rows[2]["text"] == "nothing here" and rows[2]["n_email"] == 0
+
+
+_MARK = st.sampled_from(["{raw_interview}", "{previous_answers}", "x", " ", "\n", "é", "}", "{raw", "."])
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.lists(_MARK, max_size=8).map("".join),
+                          st.lists(_MARK, max_size=5).map("".join),
+                          st.lists(_MARK, max_size=5).map("".join)), min_size=1, max_size=20))
+def test_render_prompt_matches_single_pass_substitution(spark, cases):
+    def py_render(t, raw, prev):
+        out, i = [], 0
+        pat = re.compile(r"\{(raw_interview|previous_answers)\}")
+        for m in pat.finditer(t):
+            out += [t[i:m.start()], raw if m.group(1) == "raw_interview" else prev]
+            i = m.end()
+        return "".join(out) + t[i:]
+
+    df = spark.createDataFrame(cases, "t string, r string, p string")
+    got = [r[0] for r in df.select(T.render_prompt("t", "r", "p")).collect()]
+    assert got == [py_render(*c) for c in cases]
