@@ -176,9 +176,15 @@ def batch_score(requests: DataFrame, responder) -> DataFrame:
 
 def answer_rows(scored: DataFrame, created: F.Column | None = None) -> DataFrame:
     """Successful responses as ``llm_answers`` rows (usage metadata projected out
-    of the response).  ``id`` is a hash of the natural key and ``created``; the
-    prompt column keeps the rendered prompt."""
+    of the response).  ``id`` is a hash of the natural key and ``created``.
+
+    ``prompt`` holds the plan step and a SHA-256 of the rendered prompt rather
+    than the prompt itself (which repeats the whole interview once per step);
+    ``answer_full`` is the response as JSON.
+    """
     created = created if created is not None else F.current_timestamp().cast("timestamp_ntz")
+    prompt_ref = F.concat(F.col("analysis_type"), F.lit("/"), F.col("analysis_step").cast("string"), F.lit(":"),
+                          F.sha2(F.coalesce(F.col("prompt"), F.lit("")), 256))
     ok = scored.where(F.col("error").isNull()).withColumn("created", created)
     id_cols = ["project", "interview", "analysis_type", "analysis_step", "created"]
     if "chunk_no" in scored.columns:
@@ -188,7 +194,8 @@ def answer_rows(scored: DataFrame, created: F.Column | None = None) -> DataFrame
         "project", "interview", "analysis_type", F.col("analysis_step").cast("int").alias("analysis_step"),
         "created", "model", F.col("input_tokens").cast("int").alias("input_tokens"),
         F.col("output_tokens").cast("int").alias("output_tokens"),
-        F.col("prompt"), F.lit(None).cast("string").alias("answer_full"),
+        prompt_ref.alias("prompt"),
+        F.to_json(F.struct("content", "model", "input_tokens", "output_tokens")).alias("answer_full"),
         F.coalesce(F.col("content"), F.lit("")).alias("answer_content"),
         F.lit(None).cast("string").alias("answer_content_clear"))
 
