@@ -431,8 +431,7 @@ PARAM_SEGMENT = "BUILDING"
 def _docs_as_files(spark, sf_dir) -> str:
     from fieldwork.session import scratch_path
     from fieldwork.sources.files import write_documents_as_files
-    docs = TB.load(spark, sf_dir, "documents").select(
-        F.col("source").alias("project_name"), F.col("doc_id").alias("doc"), "text")
+    docs = TB.load(spark, sf_dir, "documents").select(F.col("source").alias("project_name"), "text")
     root = scratch_path(spark, "raw")
     write_documents_as_files(docs, root)
     return root
@@ -440,16 +439,14 @@ def _docs_as_files(spark, sf_dir) -> str:
 
 _INGEST_SQL = f"""
 with norm as (
-  select source as project_name, doc_id, {Q.strip_ws("regexp_replace(text, '\\r\\n?', chr(10), 'g')")} as content
+  select source as project_name, {Q.strip_ws("regexp_replace(text, '\\r\\n?', chr(10), 'g')")} as content
   from documents)
-select project_name, doc_id, content from norm where content <> ''
+select project_name, content from norm where content <> ''
 """
 
 
 def _ingested_view(good):
-    return good.select("project_name",
-                       F.regexp_extract("path", r"/doc=([0-9]+)/", 1).cast("bigint").alias("doc_id"),
-                       "content")
+    return good.select("project_name", "content")
 
 
 @register("ingest_text", _INGEST_SQL, fixtures=False)
@@ -878,8 +875,7 @@ def q_stream_ingest(spark, sf_dir):
     from fieldwork.streaming.ingest import read_ingested, stream_ingest
     root = _docs_as_files(spark, sf_dir)
     table = scratch_path(spark, "stream-table")
-    stream_ingest(spark, root, table, scratch_path(spark, "stream-ckpt"), layout="hive",
-                  max_files_per_trigger=256)
+    stream_ingest(spark, root, table, scratch_path(spark, "stream-ckpt"), layout="hive")
     return _ingested_view(read_ingested(spark, table))
 
 
@@ -895,5 +891,6 @@ def q_stream_latest(spark, sf_dir):
     # the log arrives as several files in no particular order
     log.repartition(8).write.parquet(log_dir)
     out = scratch_path(spark, "latest-updates")
-    stream_latest(spark, log_dir, out, scratch_path(spark, "latest-ckpt"), schema=log.schema)
+    stream_latest(spark, log_dir, out, scratch_path(spark, "latest-ckpt"), schema=log.schema,
+                  max_files_per_trigger=4, state_partitions=spark.sparkContext.defaultParallelism)
     return current_view(spark, out)

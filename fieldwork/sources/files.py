@@ -61,14 +61,14 @@ def ingest_text(spark: SparkSession, root: str, suffix: str = ".txt",
 
 
 def write_documents_as_files(docs: DataFrame, root: str) -> None:
-    """Lay texts out as one file per document below ``root/project=<name>/doc=<id>/``.
+    """Lay texts out as one file per document below ``root/project=<name>/``.
 
-    Used to derive file inputs from the given tables.  Each file holds the text
-    followed by one line break.
+    Used to derive file inputs from the given tables: ``maxRecordsPerFile=1``
+    makes every row its own file.  Each file holds the text followed by one
+    line break.
     """
-    (docs.select(F.col("project_name").alias("project"), F.col("doc"), "text")
-     .repartition("project", "doc")
-     .write.mode("overwrite").partitionBy("project", "doc").text(root))
+    (docs.select(F.col("project_name").alias("project"), "text")
+     .write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("project").text(root))
 
 
 def page_text_assembly(pages: DataFrame, doc: str = "doc", page_no: str = "page_no",

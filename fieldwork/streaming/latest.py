@@ -26,7 +26,14 @@ def latest_stream(log: DataFrame, analysis_type: str = "interview") -> DataFrame
 
 
 def stream_latest(spark: SparkSession, log_dir: str, out_root: str, checkpoint: str,
-                  schema=S.ANSWERS_SCHEMA, max_files_per_trigger: int = 1, available_now: bool = True):
+                  schema=S.ANSWERS_SCHEMA, max_files_per_trigger: int = 1, available_now: bool = True,
+                  state_partitions: int | None = None):
+    """Run the latest-answer stream over the parquet log in ``log_dir``.
+
+    ``state_partitions`` fixes the number of state-store partitions; a
+    streaming query records it in its checkpoint on the first start, so it is
+    applied only while the query starts (the session setting is restored).
+    """
     src = (spark.readStream.schema(schema)
            .option("maxFilesPerTrigger", str(max_files_per_trigger)).parquet(log_dir))
 
@@ -36,7 +43,14 @@ def stream_latest(spark: SparkSession, log_dir: str, out_root: str, checkpoint:
     writer = (latest_stream(src).writeStream.outputMode("update").foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
-    q = writer.start()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if state_partitions:
+        spark.conf.set(key, str(state_partitions))
+    try:
+        q = writer.start()
+    finally:
+        spark.conf.set(key, before)
     if available_now:
         q.awaitTermination()
     return q
