@@ -124,7 +124,7 @@ def plan_values(analysis_type: str) -> str:
     steps = sorted((p for p in S.QUESTION_PLAN if p["analysis_type"] == analysis_type),
                    key=lambda p: p["analysis_step"])
     rows = ", ".join(
-        f"({p['analysis_step']}, {i}, {p['llm_temperature'] if p['llm_temperature'] is not None else S.DEFAULT_TEMPERATURE}, "
+        f"({p['analysis_step']}, {i}, cast({p['llm_temperature'] if p['llm_temperature'] is not None else S.DEFAULT_TEMPERATURE} as double), "
         f"{'true' if p['uses_previous'] else 'false'})" for i, p in enumerate(steps, start=1))
     return f"(values {rows}) as plan(analysis_step, call_no, temperature, uses_previous)"
 

@@ -2,8 +2,8 @@
 
     python tests/oracle_check.py [/root/testdata/sf0.01] [key ...]
 
-Compares row count, column names and the multiset of rows (columns sorted by
-name, values rendered as text, floats to 9 significant digits).
+Compares row count, column names and types, and the multiset of rows (columns
+sorted by name, values rendered as text, floats to 9 significant digits).
 """
 
 from __future__ import annotations
@@ -51,6 +51,20 @@ def canon(columns, rows):
     return names, out
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+          "boolean": "BOOLEAN", "date": "DATE"}
+
+
+def type_mismatches(spark_schema, duck_columns, duck_types):
+    duck = dict(zip(duck_columns, [str(t) for t in duck_types]))
+    out = {}
+    for f in spark_schema.fields:
+        st = _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+        if st != duck.get(f.name):
+            out[f.name] = (st, duck.get(f.name))
+    return out
+
+
 def duck_conn(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
@@ -69,9 +83,10 @@ def compare(spark, sf_dir, key, fn, sql, con):
     if sql is None:
         return {"key": key, "status": "rows-only", "rows": len(s_rows), "spark_s": round(t_spark, 2)}
     t1 = time.time()
-    res = con.execute(sql)
-    d_cols = [d[0] for d in res.description]
-    d_rows = res.fetchall()
+    rel = con.sql(sql)
+    types_bad = type_mismatches(df.schema, rel.columns, rel.types)
+    d_cols = list(rel.columns)
+    d_rows = rel.fetchall()
     t_duck = time.time() - t1
     sn, sv = canon(s_cols, s_rows)
     dn, dv = canon(d_cols, d_rows)
@@ -85,6 +100,8 @@ def compare(spark, sf_dir, key, fn, sql, con):
         status = "values"
         diff = [(a, b) for a, b in zip(sv, dv) if a != b][:1]
         detail = repr(diff)[:600]
+    elif types_bad:
+        status, detail = "types", repr(types_bad)
     return {"key": key, "status": status, "rows": len(s_rows), "spark_s": round(t_spark, 2),
             "duck_s": round(t_duck, 2), "detail": detail}
 
