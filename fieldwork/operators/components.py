@@ -3,7 +3,9 @@
 Two items of a project are linked when they share a distinctive token (a
 letter run of at least ``min_token_len`` letters, found in at least two and at
 most ``max(2, max_share * items)`` of the project's items).  Groups are the
-connected components of that graph.  The graph is kept as item-token edges,
+connected components of that graph; subtopics are the components of the same
+rule applied inside one group with a stricter share.  The graph is kept as
+item-token edges,
 so linking never enumerates item pairs; labels are found by min-label
 propagation with pointer jumping (each round two aggregates over the edges
 and one join), with the inputs and every round's labels checkpointed to the
@@ -32,8 +34,9 @@ def item_token_edges(items: DataFrame, keys: list[str], min_token_len: int = 4,
     return nodes, edges.join(keep, [*keys, "token"], "left_semi")
 
 
-def connected_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 100) -> DataFrame:
-    """``(keys..., item, group_label)``: the smallest item of each component.
+def connected_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 100,
+                     out: str = "group_label") -> DataFrame:
+    """``(keys..., item, <out>)``: the smallest item of each component.
 
     Each round moves labels item -> token -> item (two aggregates with map-side
     partial minima), then lets every item take the label of its label
@@ -59,14 +62,20 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], max_ro
         labels = step.drop("prev")
         if changed == 0:
             break
-    return labels.withColumnRenamed("label", "group_label")
+    return labels.withColumnRenamed("label", out)
 
 
 def item_groups(items: DataFrame, tag: str = "codes", min_token_len: int = 4, max_share: float = 0.05,
-                max_rounds: int = 100) -> DataFrame:
-    """Per project: every distinct item of ``tag`` with its group and group size."""
+                sub_share: float = 0.02, max_rounds: int = 100) -> DataFrame:
+    """Per project: every distinct item of ``tag`` with its group, the group's
+    size, and its subtopic (the same linking rule applied inside the group,
+    with tokens limited to ``max(2, sub_share * group size)`` items)."""
     keys = ["project"]
     nodes, edges = item_token_edges(items.where(F.col("tag") == tag), keys, min_token_len, max_share)
     labels = connected_labels(nodes, edges, keys, max_rounds)
     sizes = labels.groupBy(*keys, "group_label").agg(F.count(F.lit(1)).alias("group_size"))
-    return labels.join(sizes, [*keys, "group_label"]).select("project", "item", "group_label", "group_size")
+    sub_keys = ["project", "group_label"]
+    sub_nodes, sub_edges = item_token_edges(labels, sub_keys, min_token_len, sub_share)
+    subtopics = connected_labels(sub_nodes, sub_edges, sub_keys, max_rounds, out="subtopic_label")
+    return (labels.join(sizes, [*keys, "group_label"]).join(subtopics, [*sub_keys, "item"])
+            .select("project", "item", "group_label", "group_size", "subtopic_label"))

@@ -645,6 +645,7 @@ def q_item_connections(spark, sf_dir):
 
 GROUP_MIN_TOKEN_LEN = 4
 GROUP_MAX_SHARE = 0.05
+SUBTOPIC_MAX_SHARE = 0.02
 
 
 @register("item_groups", f"""
@@ -668,12 +669,34 @@ cc(project, item, label) using key (project, item) as (
   join edges e on e.project = e2.project and e.token = e2.token
   join recurring.cc cur on cur.project = e.project and cur.item = e.item
   where w.label < cur.label
-  group by e.project, e.item)
-select project, item, label as group_label, count(*) over (partition by project, label) as group_size from cc
+  group by e.project, e.item),
+gn as (select project, label as grp, item from cc),
+gsize as (select project, grp, count(*) as n from gn group by project, grp),
+ge0 as (select gn.project, gn.grp, gn.item, e0.token from gn
+        join e0 on e0.project = gn.project and e0.item = gn.item),
+gdf as (select project, grp, token, count(*) as df from ge0 group by project, grp, token),
+gedges as (
+  select ge0.project, ge0.grp, ge0.item, ge0.token from ge0
+  join gdf on gdf.project = ge0.project and gdf.grp = ge0.grp and gdf.token = ge0.token
+  join gsize on gsize.project = ge0.project and gsize.grp = ge0.grp
+  where gdf.df >= 2 and gdf.df <= greatest(2.0, gsize.n * {SUBTOPIC_MAX_SHARE})),
+sub(project, grp, item, label) using key (project, grp, item) as (
+  select project, grp, item, item from gn
+  union
+  select e.project, e.grp, e.item, min(w.label)
+  from sub w
+  join gedges e2 on e2.project = w.project and e2.grp = w.grp and e2.item = w.item
+  join gedges e on e.project = e2.project and e.grp = e2.grp and e.token = e2.token
+  join recurring.sub cur on cur.project = e.project and cur.grp = e.grp and cur.item = e.item
+  where w.label < cur.label
+  group by e.project, e.grp, e.item)
+select c.project, c.item, c.label as group_label, count(*) over (partition by c.project, c.label) as group_size,
+       s.label as subtopic_label
+from cc c join sub s on s.project = c.project and s.grp = c.label and s.item = c.item
 """)
 def q_item_groups(spark, sf_dir):
     from fieldwork.operators.components import item_groups
-    return item_groups(_items(spark, sf_dir), "codes", GROUP_MIN_TOKEN_LEN, GROUP_MAX_SHARE)
+    return item_groups(_items(spark, sf_dir), "codes", GROUP_MIN_TOKEN_LEN, GROUP_MAX_SHARE, SUBTOPIC_MAX_SHARE)
 
 
 @register("theme_frequency", f"""

@@ -81,7 +81,15 @@ def test_item_groups_match_union_find(spark):
     items = SEC.section_items(SEC.interview_sections(latest)).where(F.col("tag") == "codes")
     pairs = [(r["project"], r["item"]) for r in items.select("project", "item").collect()]
     expected = _brute_groups(pairs)
-    got = {(r["project"], r["item"]): r["group_label"] for r in item_groups(items, "codes").collect()}
+    result = item_groups(items, "codes").collect()
+    got = {(r["project"], r["item"]): r["group_label"] for r in result}
     assert got.keys() == expected.keys()
     # same partition into groups (labels are the smallest member in both)
     assert got == expected
+    # subtopics: the same rule inside each group, with the stricter share
+    sub_expected = _brute_groups([((p, g), i) for (p, i), g in expected.items()], max_share=0.02)
+    assert {((r["project"], r["group_label"]), r["item"]): r["subtopic_label"] for r in result} == sub_expected
+    sizes = {}
+    for (p, _), g in expected.items():
+        sizes[(p, g)] = sizes.get((p, g), 0) + 1
+    assert all(r["group_size"] == sizes[(r["project"], r["group_label"])] for r in result)
