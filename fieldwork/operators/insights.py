@@ -29,7 +29,7 @@ def keyword_topk(docs: DataFrame, k: int = 5) -> DataFrame:
     ``docs``: ``(project, interview, content)``.
     """
     n = docs.groupBy("project").agg(F.count(F.lit(1)).alias("n_docs"))
-    tokens = spread(docs.select("project", "interview", "content")).select(
+    tokens = spread(docs.select("project", "interview", "content"), "project", "interview").select(
         "project", "interview", F.explode(T.word_tokens("content")).alias("token"))
     tf = tokens.groupBy("project", "interview", "token").agg(F.count(F.lit(1)).alias("tf"))
     # df counts the (interview, token) rows; it is written as sum(least(tf, 1))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *by: str) -> DataFrame:
     """Round-robin the rows over all cores when the input has fewer partitions
     than cores (a file with few row groups), before CPU-heavy text work.
 
     Fewer splits than cores means the input is small (each split is at most
     ``spark.sql.files.maxPartitionBytes``), so the extra shuffle is bounded; on
     a large input the scan already yields more splits than cores and this is a
-    no-op.
+    no-op.  With ``by`` columns the rows are hash-partitioned on them, which
+    later aggregates and windows on those keys can reuse without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return df.repartition(cores, *by) if by else df.repartition(cores)
     return df
