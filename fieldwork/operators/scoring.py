@@ -204,7 +204,7 @@ def answer_rows(scored: DataFrame, created: F.Column | None = None) -> DataFrame
 # Chained steps
 # ---------------------------------------------------------------------------
 
-def _persist(df: DataFrame, name: str) -> DataFrame:
+def persist_table(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back (cuts lineage; a
     recomputation reads the table instead of calling the model again)."""
     path = scratch_path(df.sparkSession, name)
@@ -239,7 +239,7 @@ def chained_steps(interviews: DataFrame, responder, plan=S.QUESTION_PLAN,
             broken = None
         scored = batch_score(rendered, responder)
         if persist:
-            scored = _persist(scored, f"step-{analysis_type}-{p['analysis_step']}")
+            scored = persist_table(scored, f"step-{analysis_type}-{p['analysis_step']}")
         ok = scored.where(F.col("error").isNull()).withColumn("content", F.coalesce("content", F.lit("")))
         bad = scored.where(F.col("error").isNotNull()).select("project", "interview", "analysis_step", "error")
         if broken is not None:

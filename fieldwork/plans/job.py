@@ -56,6 +56,8 @@ def ingest_stage(store: Store, raw_root: str, layout: str = "folders", suffix: s
     """Register projects found in the files and append each file once."""
     spark = store.spark
     good, bad = FL.ingest_text(spark, raw_root, suffix, layout)
+    # the files are read and decoded once; registry and interviews both use the staged table
+    good = SC.persist_table(good, "ingest-staged")
     projects = store.read("projects")
     registry = ST.register_projects(projects, good.select("project_name"))
     new_projects = registry.join(projects.select("project_name"), "project_name", "left_anti")
@@ -107,7 +109,7 @@ def run_job(spark: SparkSession, store: Store, raw_root: str | None = None, *, s
     blocks = R.interviews_report(answers).select(
         "project", F.col("report_no").alias("block_no"), F.col("report_block").alias("text"))
     if process_project:
-        blocks = SC._persist(blocks, "report-blocks")
+        blocks = SC.persist_table(blocks, "report-blocks")
         scored = SC.project_score(blocks, project_responder, plan, project_budget_chars)
         rows = scored.select("project", F.lit(None).cast("bigint").alias("interview"),
                              F.lit("project").alias("analysis_type"), "analysis_step", "chunk_no",
