@@ -100,7 +100,8 @@ with {Q.LATEST_INTERVIEW}
 select c.project, c.interview, c.analysis_step, p.id as previous_id, p.answer_content as previous_answer
 from latest c left join latest p
   on p.project = c.project and p.interview = c.interview and p.analysis_step = c.analysis_step - 1
-where c.analysis_step in (2, 4, 5)
+where c.analysis_step in ({", ".join(str(p["analysis_step"]) for p in S.QUESTION_PLAN
+                                 if p["analysis_type"] == "interview" and p["uses_previous"])})
 """)
 def q_previous_answer(spark, sf_dir):
     from fieldwork.operators.scoring import plan_frame
