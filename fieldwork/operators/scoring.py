@@ -117,15 +117,17 @@ def replay_responder(recorded: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 
 def pandas_responder(make_client: Callable[[], Callable[[dict], dict]], min_interval_s: float = 0.0,
-                     partitions: int | None = None,
-                     max_tokens: int = S.MAX_OUTPUT_TOKENS) -> Callable[[DataFrame], DataFrame]:
+                     partitions: int | None = None, max_tokens: int = S.MAX_OUTPUT_TOKENS,
+                     concurrency: int = 1) -> Callable[[DataFrame], DataFrame]:
     """Responder that calls a user client inside ``mapInPandas``.
 
     ``make_client()`` runs once per partition and returns ``call(request) ->
     {content, model, input_tokens, output_tokens}``; ``request`` holds the
     request row plus ``max_tokens``.  An exception becomes the row's ``error``.
-    ``min_interval_s`` spaces calls inside a partition (the throttle); the
-    number of partitions bounds the number of concurrent clients.
+    ``concurrency`` threads share the partition's client (model calls wait on
+    the network, not the CPU); ``min_interval_s`` spaces the start of calls
+    within a partition (the throttle).  The number of partitions times
+    ``concurrency`` bounds the calls in flight.
     """
 
     def respond(requests: DataFrame) -> DataFrame:
@@ -133,28 +135,34 @@ def pandas_responder(make_client: Callable[[], Callable[[dict], dict]], min_inte
         cols = requests.columns
 
         def run(batches):
-            import pandas as pd
+            import threading
+            from concurrent.futures import ThreadPoolExecutor
+
             call = make_client()
-            last = None
-            for pdf in batches:
-                responses = []
-                for rec in pdf.to_dict("records"):
-                    if min_interval_s and last is not None:
-                        wait = min_interval_s - (time.monotonic() - last)
+            gate = threading.Lock()
+            next_start = [0.0]
+
+            def one(rec):
+                if min_interval_s:
+                    with gate:
+                        wait = next_start[0] - time.monotonic()
                         if wait > 0:
                             time.sleep(wait)
-                    last = time.monotonic()
-                    try:
-                        r = call({**rec, "max_tokens": max_tokens})
-                        responses.append({"content": r.get("content"), "model": r.get("model"),
-                                          "input_tokens": r.get("input_tokens"),
-                                          "output_tokens": r.get("output_tokens"), "error": None})
-                    except Exception as e:  # the row fails, the batch goes on
-                        responses.append({"content": None, "model": None, "input_tokens": None,
-                                          "output_tokens": None, "error": f"{type(e).__name__}: {e}"})
-                out = pdf[cols].copy()
-                out["response"] = responses
-                yield out
+                        next_start[0] = time.monotonic() + min_interval_s
+                try:
+                    r = call({**rec, "max_tokens": max_tokens})
+                    return {"content": r.get("content"), "model": r.get("model"),
+                            "input_tokens": r.get("input_tokens"),
+                            "output_tokens": r.get("output_tokens"), "error": None}
+                except Exception as e:  # the row fails, the batch goes on
+                    return {"content": None, "model": None, "input_tokens": None,
+                            "output_tokens": None, "error": f"{type(e).__name__}: {e}"}
+
+            with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+                for pdf in batches:
+                    out = pdf[cols].copy()
+                    out["response"] = list(pool.map(one, pdf.to_dict("records")))  # keeps row order
+                    yield out
 
         ship_package(requests.sparkSession)
         src = requests.repartition(partitions) if partitions else requests

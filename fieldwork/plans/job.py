@@ -149,13 +149,15 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--layout", default="folders", choices=["folders", "hive"])
     ap.add_argument("--min-interval", type=float, default=0.0)
     ap.add_argument("--partitions", type=int)
+    ap.add_argument("--concurrency", type=int, default=1)
     args = ap.parse_args(argv)
     spark = get_session()
     responder = None
     if args.client:
         mod, fn = args.client.split(":")
         factory = getattr(importlib.import_module(mod), fn)
-        responder = SC.pandas_responder(factory, min_interval_s=args.min_interval, partitions=args.partitions)
+        responder = SC.pandas_responder(factory, min_interval_s=args.min_interval, partitions=args.partitions,
+                                        concurrency=args.concurrency)
     elif args.process_interviews or args.process_project:
         ap.error("--client is required to process interviews or projects")
     out = run_job(spark, Store(spark, args.store), args.raw, save_files=args.save_files,

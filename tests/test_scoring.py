@@ -97,3 +97,22 @@ def test_project_requests_chunk_by_budget(spark):
     assert by == [(1, 1, 120), (1, 2, 80), (1, 3, 120), (1, 4, 80), (2, 1, 1)]
     first = [r for r in reqs if r["project"] == 1 and r["chunk_no"] == 1][0]
     assert first["content"] == "x" * 120 and first["analysis_type"] == "project"
+
+
+def test_pandas_responder_concurrency_keeps_rows(spark):
+    def factory():
+        def make_client():
+            def call(req):
+                time.sleep(0.05)
+                return {"content": f"c{req['interview']}/{req['analysis_step']}", "model": "fake",
+                        "input_tokens": 1, "output_tokens": 1}
+            return call
+        return make_client
+
+    reqs = SC.render_requests(SC.scoring_requests(_interviews(spark)), None)
+    t0 = time.monotonic()
+    out = SC.batch_score(reqs, SC.pandas_responder(factory(), partitions=1, concurrency=5)).collect()
+    elapsed = time.monotonic() - t0
+    assert sorted((r["interview"], r["analysis_step"], r["content"]) for r in out) == \
+        sorted((iv, st, f"c{iv}/{st}") for iv in (5, 8) for st in range(1, 6))
+    assert elapsed < 10 * 0.05 + 5  # generous: the calls overlap
