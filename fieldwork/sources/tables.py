@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldwork.operators.parallel import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -46,7 +48,7 @@ def answers_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     Turns 5-7 are second versions of steps 1-3; ``system`` turns also give one
     project-level answer each.
     """
-    conv = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv = spread(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     base = conv.select(
         "conv_id", "turn", "role",
         F.concat(F.lit("- "), F.replace(F.col("text"), F.lit(". "), F.lit(".\n- "))).alias("b"),
