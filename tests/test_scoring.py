@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import functions as F
 
 from fieldwork import schemas as S
 from fieldwork.operators import scoring as SC
