@@ -115,3 +115,28 @@ def test_pandas_responder_concurrency_keeps_rows(spark):
     assert sorted((r["interview"], r["analysis_step"], r["content"]) for r in out) == \
         sorted((iv, st, f"c{iv}/{st}") for iv in (5, 8) for st in range(1, 6))
     assert elapsed < 10 * 0.05 + 5  # generous: the calls overlap
+
+
+def test_project_chunks_match_sql_across_range_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from conftest import SF_SMALL
+    from fieldwork.operators import reports as R
+    from fieldwork.plans import queries as QQ
+    from fieldwork.sources import tables as TB
+    from oracle_check import duck_conn
+
+    budget = 3_000
+    blocks = R.interviews_report(TB.answers_fixture(spark, SF_SMALL)).select(
+        "project", F.col("report_no").alias("block_no"), F.col("report_block").alias("text"))
+    got = sorted((r["project"], r["chunk_no"], r["input_chars"], len(r["content"]))
+                 for r in SC.project_requests(blocks, budget_chars=budget).collect())
+    sql = TB.with_fixtures(f"""with {QQ._REPORT_CTES},
+sized as (select project, report_no, report_block, length(report_block) as len,
+  sum(length(report_block)) over (partition by project order by report_no
+                                  rows between unbounded preceding and current row) as e from report)
+select project, cast(floor((e - len) / {budget}) + 1 as bigint) as chunk_no, sum(len) as input_chars,
+       length(string_agg(report_block, '' order by report_no)) as n
+from sized group by 1, 2""")
+    expected = sorted(tuple(int(x) for x in r) for r in duck_conn(SF_SMALL).sql(sql).fetchall())
+    assert got == expected and max(c for _, c, _, _ in got) > 1
