@@ -94,6 +94,27 @@ def item_connections(items: DataFrame, tag: str = "codes", distance: int = 1) ->
             .agg(F.count_distinct("interview").alias("interviews")))
 
 
+def item_connections_from_sections(sections: DataFrame, tag: str = "codes", distance: int = 1) -> DataFrame:
+    """``item_connections`` computed straight from the sections: each section's
+    items are an array and neighbours within ``distance`` are paired by index
+    inside the row, so there is no join (and the extraction runs once)."""
+    items = T.item_lines("content")
+
+    def pairs_at(d: int) -> F.Column:
+        n = F.size(items) - d
+        idx = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(idx, lambda i: F.struct(F.element_at(items, i).alias("a"),
+                                                   F.element_at(items, i + d).alias("b")))
+
+    all_pairs = F.flatten(F.array(*[pairs_at(d) for d in range(1, distance + 1)]))
+    pairs = (sections.where(F.col("tag") == tag)
+             .select("project", "interview", F.explode(all_pairs).alias("p"))
+             .where(F.col("p.a") != F.col("p.b"))
+             .select("project", "interview", F.least("p.a", "p.b").alias("item_a"),
+                     F.greatest("p.a", "p.b").alias("item_b")))
+    return pairs.groupBy("project", "item_a", "item_b").agg(F.count_distinct("interview").alias("interviews"))
+
+
 # ---------------------------------------------------------------------------
 # P06 theme frequency / P07 section rollup
 # ---------------------------------------------------------------------------

@@ -640,8 +640,8 @@ pairs as (
 select project, item_a, item_b, count(distinct interview) as interviews from pairs group by project, item_a, item_b
 """)
 def q_item_connections(spark, sf_dir):
-    from fieldwork.operators.insights import item_connections
-    return item_connections(_items(spark, sf_dir), "codes", 1)
+    from fieldwork.operators.insights import item_connections_from_sections
+    return item_connections_from_sections(_sections(spark, sf_dir), "codes", 1)
 
 
 GROUP_MIN_TOKEN_LEN = 4
