@@ -93,3 +93,14 @@ def test_item_groups_match_union_find(spark):
     for (p, _), g in expected.items():
         sizes[(p, g)] = sizes.get((p, g), 0) + 1
     assert all(r["group_size"] == sizes[(r["project"], r["group_label"])] for r in result)
+
+
+def test_item_connections_array_pairs_equal_row_join(spark):
+    from fieldwork.operators.insights import item_connections, item_connections_from_sections
+    latest = L.latest_answers(TB.answers_fixture(spark, SF_SMALL))
+    secs = SEC.interview_sections(latest)
+    items = SEC.section_items(secs)
+    for d in (1, 2):
+        a = sorted(tuple(r) for r in item_connections(items, "codes", d).collect())
+        b = sorted(tuple(r) for r in item_connections_from_sections(secs, "codes", d).collect())
+        assert a == b and len(a) > 0
