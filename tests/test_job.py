@@ -74,3 +74,15 @@ def test_job_limited_to_named_project(spark, tmp_dir):
     assert {r["project_name"] for r in blocks} == {"beta"}
     assert store.read("interviews").count() == 2  # ingest covers the folder tree
     assert store.read("llm_answers").count() == 5  # only beta was scored
+
+
+def test_job_command_line_ingest(spark, tmp_dir, capsys):
+    from fieldwork.plans.job import main
+    raw = os.path.join(tmp_dir, "raw")
+    _write(f"{raw}/alpha/i1.txt", "hello")
+    _write(f"{raw}/beta/i2.txt", "other")
+    store_dir = os.path.join(tmp_dir, "store")
+    main(["--store", store_dir, "--raw", raw, "--save-files"])
+    store = Store(spark, store_dir)
+    assert store.read("interviews").count() == 2
+    assert sorted(r["project_name"] for r in store.read("projects").collect()) == ["alpha", "beta"]
