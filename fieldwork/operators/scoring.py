@@ -95,7 +95,9 @@ def render_requests(requests: DataFrame, previous: DataFrame | None) -> DataFram
 def replay_responder(recorded: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Responder that answers from recorded answers ``(project, interview,
     analysis_step, answer_content, model, input_tokens, output_tokens)`` by an
-    equi-join; a request without a recording fails with an error."""
+    equi-join (null-safe on ``interview``, which is NULL for project answers);
+    a request without a recording fails with an error.  Recordings must have
+    one row per key: pass the latest answers, not the whole log."""
     rec = recorded.select(
         F.col("project").alias("_r_project"), F.col("interview").alias("_r_interview"),
         F.col("analysis_step").alias("_r_step"),
