@@ -147,3 +147,20 @@ def test_render_prompt_matches_single_pass_substitution(spark, cases):
     df = spark.createDataFrame(cases, "t string, r string, p string")
     got = [r[0] for r in df.select(T.render_prompt("t", "r", "p")).collect()]
     assert got == [py_render(*c) for c in cases]
+
+
+def py_clean(t: str) -> str:
+    t = re.sub(r"\r\n?", "\n", t)
+    t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", t)
+    t = re.sub(r"[ \t]+", " ", t)
+    t = re.sub(r" +(\n|\Z)", r"\1", t)
+    return re.sub(r"\n{3,}", "\n\n", t)
+
+
+_CLEAN = st.sampled_from(["a", "é", " ", "\t", "\n", "\r", "\r\n", "\x00", "\x07", "\x0b", "\x1f", "\x7f", "\xa0", "."])
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(_CLEAN, max_size=30).map("".join), min_size=1, max_size=30))
+def test_clean_text_matches_python(spark, texts):
+    assert _one(spark, T.clean_text, texts) == [py_clean(t) for t in texts]
