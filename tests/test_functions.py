@@ -164,3 +164,27 @@ _CLEAN = st.sampled_from(["a", "é", " ", "\t", "\n", "\r", "\r\n", "\x00", "\x0
 @given(st.lists(st.lists(_CLEAN, max_size=30).map("".join), min_size=1, max_size=30))
 def test_clean_text_matches_python(spark, texts):
     assert _one(spark, T.clean_text, texts) == [py_clean(t) for t in texts]
+
+
+def py_anonymise(t: str):
+    counts = {}
+    for kind, pattern, mask, _ in T.PII_PATTERNS:
+        counts[kind] = len(re.findall(pattern, t))
+        t = re.sub(pattern, mask, t)
+    return t, counts
+
+
+_PII = st.sampled_from(["a", "b", "f", "0", "1", "5", "9", "@", ".", "'", '"', "+", "(", ")", "-", " ", "x.y", "@m.io",
+                        "1234", "255.", "(555) ", "0123456789abcdef"])
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(_PII, max_size=25).map("".join), min_size=1, max_size=30))
+def test_anonymise_matches_python(spark, texts):
+    from fieldwork.operators.insights import anonymise_documents
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in anonymise_documents(df).collect()}
+    for i, t in enumerate(texts):
+        masked, counts = py_anonymise(t)
+        assert got[i]["text"] == masked
+        assert {k: got[i][f"n_{k}"] for k in counts} == counts
