@@ -128,8 +128,9 @@ def pandas_responder(make_client: Callable[[], Callable[[dict], dict]], min_inte
     request row plus ``max_tokens``.  An exception becomes the row's ``error``.
     ``concurrency`` threads share the partition's client (model calls wait on
     the network, not the CPU); ``min_interval_s`` spaces the start of calls
-    within a partition (the throttle).  The number of partitions times
-    ``concurrency`` bounds the calls in flight.
+    within a partition (the throttle; ``schemas.PAUSE_SECONDS`` with one
+    partition and one thread reproduces the original serial pacing).  The
+    number of partitions times ``concurrency`` bounds the calls in flight.
     """
 
     def respond(requests: DataFrame) -> DataFrame:
