@@ -35,6 +35,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+@register("op2_lm_score")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldwork.llm.lm_score import score
+    docs = read_table(spark, sf_dir, "documents")
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return score(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+
+
+@register("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldwork.llm.lang_id import predict, train
+    docs = read_table(spark, sf_dir, "documents")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    model = train(docs.where(~held))
+    return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @register("op4_substring_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldwork.llm.phrase_dedup import remove_repeats
@@ -95,6 +112,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc.doc_id").alias("doc_id"), *[F.col("p")[c].alias(f"p_{name}") for c, name in enumerate(CHAIN)], "rejected")
 
 
+@register("op9_nearest")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldwork.llm.ann import nearest
+    return nearest(read_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 @register("op10_decontamination", r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents where doc_id is not null),

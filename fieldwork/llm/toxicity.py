@@ -6,9 +6,9 @@ new documents.  Categories are derived from the label table, in chain order: ``u
 quality), ``toxic``, ``toxic_prose`` (toxic and not of low quality).
 
 Features: hashes of the words' beginnings (4 to 10 bytes) and of whole words, A-Z lower-cased, that differ
-most between the classes by the G test; a feature's value is the logarithm of its rate per word.
+most between the classes by the G test; each gives two values: its presence and the logarithm of its rate per word.
 Training uses at most ``MAX_ROWS`` labelled documents (those whose hashed doc_id is smallest), gathered as sparse rows of
-at most ``MAX_FEATURES`` values in one task, so its size is bounded whatever the input; scoring runs
+at most ``2 * MAX_FEATURES`` values in one task, so its size is bounded whatever the input; scoring runs
 over all rows and whole texts with the model (some hundred KB) in every task.
 
 The threshold is the one with the best F1 of ``toxic`` on out-of-fold predictions.
@@ -33,7 +33,7 @@ from fieldwork.llm.common import _BYTE, _LOWER, _R, longs, mix, on_workers, powe
 
 CHAIN = ("unsafe", "toxic", "toxic_prose")
 MAX_ROWS = 16_000
-MAX_FEATURES = 1024
+MAX_FEATURES = 768
 FOLDS = 5
 HEADS = (4, 5, 6, 7, 8, 10)
 MIN_SUPPORT = 5
@@ -123,7 +123,7 @@ def select_features(sample: DataFrame, max_features: int) -> np.ndarray:
 
 
 def feature_rows(col: pa.Array, features: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(first_row, end_row, row, feature index, value)``: distinct features of each row."""
+    """``(first_row, end_row, row, input, value)``: the model's inputs of each row, by row."""
     seen = np.zeros(1 << 20, bool)
     seen[longs(features >> np.uint64(44))] = True
     for i, j, n_words, row, feat in _doc_features(col):
@@ -133,7 +133,11 @@ def feature_rows(col: pa.Array, features: np.ndarray) -> Iterator[tuple[int, int
         hit = features[at] == feat if len(features) else np.zeros(0, bool)
         key, count = np.unique(row[hit] * (len(features) + 1) + at[hit], return_counts=True)
         row, at = np.divmod(key, len(features) + 1)
-        yield i, j, row, at, np.log1p(100.0 * count / n_words[row])
+        rate = np.log1p(100.0 * count / n_words[row])
+        row, at = np.concatenate([row, row]), np.concatenate([2 * at, 2 * at + 1])  # presence and rate
+        value = np.concatenate([np.ones(len(rate)), rate])
+        order = np.argsort(row, kind="stable")
+        yield i, j, row[order], at[order], value[order]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, l2: float = 3.0, steps: int = 80) -> np.ndarray:
@@ -211,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
         tables = [b for b in batches if b.num_rows]
         if tables:
             t = pa.Table.from_batches(tables).sort_by("doc_id")
-            x = np.zeros((t.num_rows, len(features)), np.float32)
+            x = np.zeros((t.num_rows, 2 * len(features)), np.float32)
             for r, (at, value) in enumerate(zip(t.column("at").to_pylist(), t.column("value").to_pylist())):
                 x[r, at] = value
             model = fit_chain(x, np.array(t.column("y").to_pylist()), t.column("fold").to_numpy())
@@ -231,7 +235,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         features, weights = m["features"], m["weights"]
-        nf = len(features)
+        nf = 2 * len(features)
         for batch in batches:
             doc = batch.column(0)
             for i, j, row, at, value in feature_rows(doc.field(text_at).cast(pa.string()), features):
