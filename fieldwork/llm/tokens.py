@@ -3,12 +3,14 @@
 Texts are cut only before a space that follows a non-blank, where both vocabularies' patterns always have a
 token border: a token starts with at most one space, and a run of white space gives its last space to the word
 after it.  Equal pieces of a slice are found by hashing all pieces with numpy (two hashes); the library encodes each
-distinct piece once per worker, and a table from piece to ids, bounded in size, serves repeats.
-``tests/llm`` compares with encoding whole texts.
+distinct piece once per worker, and a table from piece to ids, bounded in size, serves repeats.  Pieces that
+are one Latin word, with full stops or commas behind it, go straight to the library's BPE model, as normalising and
+splitting them changes nothing.  ``tests/llm`` compares with encoding whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 
 from fieldwork.llm.common import _BYTE, _R, mix, powers, text_slices
 
-CACHE_PIECES = 800_000   # pieces kept per worker; the table is emptied when full
+CACHE_PIECES = 2_000_000   # pieces kept per worker; the table is emptied when full
 CACHE_BYTES = 48         # longer pieces are not kept
 SLICE_BYTES = 4 << 20
 _BLANK = np.zeros(256, bool)
@@ -50,6 +52,28 @@ def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet as a translation of Latin-1 code points: printable bytes are themselves, the others follow from 256."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _plain_kind(lib) -> str | None:
+    """How the vocabulary treats a plain word: ``spaced`` (the space before it belongs to it), ``word`` (it does not), or unknown."""
+    conf = json.loads(lib.to_str())
+    pre, norm = conf["pre_tokenizer"] or {}, conf["normalizer"] or {}
+    if conf["model"]["type"] != "BPE" or conf["model"].get("dropout"):
+        return None
+    if not norm and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
+        return "spaced"
+    steps, norms = pre.get("pretokenizers", []), [x["type"] for x in norm.get("normalizers", [])]
+    if norms == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["use_regex"] \
+            and not steps[1]["add_prefix_space"] and steps[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
+        return "word"
+    return None
+
+
 class Encoder:
     """One vocabulary file and its table of pieces."""
 
@@ -58,7 +82,35 @@ class Encoder:
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(tokenizer_path(name_or_path))
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.model, self.kind, self.letters = self.lib.model, _plain_kind(self.lib), _byte_letters()
+        self.tails: dict[str, list[int]] = {}
+
+    def _plain(self, piece: bytes) -> bytes | None:
+        """The ids of a piece that is one Latin word and full stops or commas; None for others."""
+        text = piece.decode()
+        word = text[1:] if text[0] == " " else text
+        core = word.rstrip(".,")
+        if not core.isalpha():
+            return None
+        plain = core.isascii()
+        if not plain and max(core) > "\u024f":  # below, all letters are in normal form
+            return None
+        if self.kind == "word":
+            if not core.islower():
+                return None
+        elif text[0] == " ":
+            core, word, plain = " " + core, text, False
+        letters = core if plain else core.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        if len(core) < len(word):
+            tail = word[len(core):]
+            if tail not in self.tails:
+                self.tails[tail] = [t.id for t in self.model.tokenize(tail)] if len(tail) < 9 else None
+            if self.tails[tail] is None:
+                return None
+            ids += self.tails[tail]
+        return np.array(ids, np.uint32).tobytes()
 
     def _distinct(self, raw: list[bytes]) -> list[bytes]:
         """The ids of each piece as bytes (uint32)."""
@@ -66,14 +118,22 @@ class Encoder:
         if len(cache) > CACHE_PIECES:
             cache.clear()
         todo = [p for p in raw if p not in cache]
+        long = [p for p in todo if len(p) > CACHE_BYTES]
+        if self.kind:
+            hard = []
+            for p in todo:
+                if (ids := self._plain(p)) is None:
+                    hard.append(p)
+                else:
+                    cache[p] = ids
+            todo = hard
         for i in range(0, len(todo), 4096):
             part = todo[i:i + 4096]
             for p, e in zip(part, self.lib.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
                 cache[p] = np.array(e.ids, np.uint32).tobytes()
         out = [cache[p] for p in raw]
-        for p in todo:
-            if len(p) > CACHE_BYTES:
-                del cache[p]
+        for p in long:
+            del cache[p]
         return out
 
     def encode_slice(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
