@@ -11,7 +11,8 @@ also starts in a document with a smaller doc_id, judged on the input.  The resul
 4. ``repeats``: passages are dealt to shards by phrase.  Each shard compiles Aho-Corasick automata of its phrases (pyahocorasick), a
    bounded number of rows at a time, and streams the passages of all documents through them in doc_id order: the automaton
    locates the phrase, and a window seen before in a smaller document is a repeat.  Between batches a shard keeps only the
-   windows of the phrase it is in.
+   windows of the phrase it is in.  A phrase of more than ``HOT`` documents has no shard: once the automata have located it, its
+   windows are rows of their own, the smallest document of each window is a pre-aggregated minimum, and a join that can be split marks the rest.
 5. ``remove_repeats`` cuts the covered words out of each text.
 
 Defined results: null text: no words, nothing removed, kept text empty (null stays null where the
@@ -35,6 +36,7 @@ from fieldwork.llm.common import list_array, longs, mix, on_workers, own_runs, r
 
 WINDOW = 50
 PHRASE = 16
+HOT = 2_000  # documents; a phrase of more is dealt out by window instead of by phrase
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -82,15 +84,17 @@ def phrase_index(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h long, n_words long, digest binary, phrases array<long>")
 
 
-def recurring_phrases(first_docs: DataFrame) -> DataFrame:
-    """``(doc_id, h, recurring)``: phrases of each document that also occur in another one."""
+def recurring_phrases(first_docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """``(doc_id, h, recurring, hot)``: phrases of each document that also occur in another one, those of very many apart."""
     occ = first_docs.select("doc_id", "h", F.explode("phrases").alias("phrase"))
-    again = occ.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    return (occ.join(again.select("phrase"), "phrase").groupBy("doc_id", "h")
-            .agg(F.collect_list("phrase").alias("recurring")))
+    again = occ.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")) \
+        .where("lo < hi").select("phrase", (F.col("n") > hot).alias("is_hot"))
+    return (occ.join(again, "phrase").groupBy("doc_id", "h")
+            .agg(F.collect_list(F.when(~F.col("is_hot"), F.col("phrase"))).alias("recurring"),
+                 F.collect_list(F.when(F.col("is_hot"), F.col("phrase"))).alias("hot")))
 
 
-def passages(docs: DataFrame, recurring: DataFrame, window: int, phrase: int) -> DataFrame:
+def passages(docs: DataFrame, phrases: str, window: int, phrase: int) -> DataFrame:
     """``(phrase, doc_id, h, start, lead, passage)``: ``start`` is the passage's first word in the document, ``lead`` the
     phrase's first word in the passage."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +126,8 @@ def passages(docs: DataFrame, recurring: DataFrame, window: int, phrase: int) ->
                         out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))],
                         names=["phrase", "doc_id", "h", "start", "lead", "passage"])
 
-    joined = docs.join(recurring, ["doc_id", "h"]).select("doc_id", "h", "text", "recurring")
-    return joined.mapInArrow(run, "phrase long, doc_id long, h long, start long, lead long, passage string")
+    rows = docs.where(F.size(phrases) > 0).select("doc_id", "h", "text", phrases)
+    return rows.mapInArrow(run, "phrase long, doc_id long, h long, start long, lead long, passage string")
 
 
 def _located(rows: pa.RecordBatch, phrase: int) -> np.ndarray:
@@ -196,6 +200,27 @@ def repeats(found: DataFrame, window: int, phrase: int) -> DataFrame:
             .mapInArrow(_repeats(window, phrase), "doc_id long, h long, lo long, hi long"))
 
 
+def hot_repeats(found: DataFrame, window: int, phrase: int) -> DataFrame:
+    """``repeats`` of the phrases of very many documents, dealt out by window."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 1000):
+                batch = big.slice(at, 1000)
+                batch = batch.filter(pa.array(_located(batch, phrase)))
+                for i, j, words, first, _ in text_words(batch.column(5), False):
+                    ok = np.flatnonzero(own_runs(first, len(words), window))
+                    of = np.searchsorted(first, ok, side="right") - 1
+                    row = pa.array(of + i)
+                    start = batch.column(3).take(row).to_numpy() + ok - first[of]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(longs(run_hashes(words, window)[ok])), batch.column(1).take(row), batch.column(2).take(row), pa.array(start)],
+                        names=["w", "doc_id", "h", "lo"])
+
+    rows = found.mapInArrow(run, "w long, doc_id long, h long, lo long")
+    owner = rows.groupBy("w").agg(F.min("doc_id").alias("owner"))
+    return rows.join(owner, "w").where("owner < doc_id").select("doc_id", "h", "lo", (F.col("lo") + window).alias("hi"))
+
+
 def _cut(verbatim: bool):
     """Columns: 0 text, 1 whole, 2 ranges, the rest passes through."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +256,7 @@ def _cut(verbatim: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, verbatim: bool = False,
+def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, verbatim: bool = False, hot: int = HOT,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(text, n_words, n_removed, rest)``: the kept text, counts, and a struct of the other input columns.
 
@@ -245,8 +270,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     firsts = long_enough.join(classes, "digest").where((F.col("doc_id") == F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))) \
         .dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "phrases")
     firsts = written(firsts, "first-docs")
-    found = passages(keyed.where("doc_id is not null"), recurring_phrases(firsts), window, phrase)
-    ranges = (repeats(found, window, phrase).distinct().groupBy("doc_id", "h")
+    held = keyed.where("doc_id is not null").join(recurring_phrases(firsts, hot), ["doc_id", "h"])
+    ranges = (repeats(passages(held, "recurring", window, phrase), window, phrase)
+              .unionByName(hot_repeats(passages(held, "hot", window, phrase), window, phrase)).distinct().groupBy("doc_id", "h")
               .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     # a document whose words equal a smaller document's loses everything, others what their class's first lost
     verdict = (long_enough.select("doc_id", "h", "digest").distinct().join(classes, "digest")
