@@ -7,12 +7,13 @@ its class of (transitively) linked documents.  The result is exact:
 1. ``shingle_counts``: all shingles are counted into a table of fixed size.  It only orders the
    columns of the matrix (rare first); any order gives the same links.
 2. ``signatures``: one row per document: size, digest of the set, and its rarest ``n - ceil(t n) + l(n)`` shingles with
-   ``l(n) = 1 + 3 n // 100``.  Two documents with similarity >= t share at least ``l`` (of the smaller) of those.
+   ``l(n) = 1 + 5 n // 100``.  Two documents with similarity >= t share at least ``l`` (of the smaller) of those.
    Equal sets collapse to their smallest document before anything else, map-side.
 3. ``candidate_groups``: the columns of the incidence matrix are read as a stream, rows in order of set size.  A column of at most
-   ``SMALL`` rows gives its pairs within the size bound ``t |y| <= |x|``, and pairs with fewer than ``l`` overlaps are
-   discarded.  A longer column lists no pairs: it chains its rows, and a run ends where sizes stop fitting.  A linked
-   pair either shares a long column or has ``l`` overlaps in small ones, so it lies in one group.
+   ``SMALL`` rows gives its pairs within the size bound ``t |y| <= |x|``, whose overlaps are added up.  A longer column lists no pairs; each of its
+   rows has that one more overlap that a pair may have unseen.  Pairs whose overlaps, seen and unseen, are below
+   ``l`` are discarded.  Rows with ``l`` unseen overlaps or more (members of large groups) are chained along their long columns, a
+   chain ending where sizes stop fitting.  So every linked pair lies in one group.
 4. ``linked_rows``: per group the product itself, in blocks of bounded size: overlap
    counts of a row block against the columns of a second block are accumulated by matrix
    products of 0/1 matrices over the n-grams that two rows share, pairs outside the size bounds are
@@ -91,7 +92,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, order: np.ndarray) -
                     sizes.append(n)
                     digests.append(set_digest(s))
                     if n:
-                        p = min(n, n - -(-num * n // den) + 1 + 3 * n // 100)
+                        p = min(n, n - -(-num * n // den) + _least_shared(n))
                         rank = ranks.value[longs(s >> np.uint64(64 - COUNT_BITS))].astype(np.uint64)
                         key = (rank << np.uint64(58)) | (s >> np.uint64(6))
                         rare.append(longs(s[np.argpartition(key, p - 1)[:p]] if p < n else s))
@@ -104,65 +105,75 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, order: np.ndarray) -
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, rare array<long>")
 
 
+def _least_shared(n):
+    """How many of their rare shingles a linked pair shares whose smaller set has ``n``."""
+    return 1 + 5 * n // 100
+
+
 def _columns(num: int, den: int):
-    """Rows sorted by (token, size): overlaps of pairs in small columns, chains of long ones.
+    """Rows sorted by (token, size): the pairs of small columns, the rows of long ones.
 
-    Yields ``(a, b, shared, need)``; ``need`` is 0 for a chain's link.  Between batches only the unfinished column is kept: its rows
-    while it is small, then its run's first and last row."""
+    Yields ``(a, b, shared, need)`` for pairs, and ``(row, token, -1, size)`` for a row of a long column.  Between batches only the
+    unfinished column is kept while it is small."""
     def pairs(tok, size, doc):
         out = []
         for k in range(1, SMALL):
             same = np.flatnonzero((tok[k:] == tok[:-k]) & (den * size[:-k] >= num * size[k:])) if len(tok) > k else tok[:0]
             if len(same):
                 x, y = doc[same], doc[same + k]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y), 1 + 3 * size[same] // 100], 1))
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y), _least_shared(size[same])], 1))
         return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 3   # rows of the unfinished column
-        long = None                          # (token, last size, run's first row) of an unfinished long column
+        long = None                          # token of an unfinished long column
         for batch in _then_end(batches):
             end = batch is None
             new = [np.zeros(0, np.int64)] * 3 if end else [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
             tok, size, doc = (np.concatenate([k, x]) for k, x in zip(kept, new))
+            kept = [np.zeros(0, np.int64)] * 3
             if not len(tok):
                 continue
             head = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
             length = np.diff(np.append(head, len(tok)))
-            if not end and length[-1] <= SMALL and not (long and long[0] == tok[-1]):
+            if not end and length[-1] <= SMALL and tok[-1] != long:
                 kept = [x[head[-1]:] for x in (tok, size, doc)]
                 tok, size, doc = (x[:head[-1]] for x in (tok, size, doc))
                 head, length = head[:-1], length[:-1]
-            else:
-                kept = [np.zeros(0, np.int64)] * 3
-            if not len(tok):
-                continue
-            many = np.repeat(length > SMALL, length)
-            if long and long[0] == tok[0]:
-                many[:length[0]] = True
+                if not len(tok):
+                    continue
+            many = np.repeat(length > SMALL, length) | (tok == long if long is not None else False)
             rows = pairs(tok[~many], size[~many], doc[~many])
-            out = []
+            out = [np.column_stack([doc[many], tok[many], np.full(int(many.sum()), -1), size[many]])]
             if len(rows):
                 rows, n = np.unique(rows, axis=0, return_counts=True)
                 out.append(np.column_stack([rows[:, :2], n, rows[:, 2]]))
-            if many.any():
-                t, n, d = tok[many], size[many], doc[many]
-                fresh = np.ones(len(t), bool)
-                fresh[0] = not long or long[0] != t[0] or den * long[1] < num * n[0]
-                fresh[1:] = (t[1:] != t[:-1]) | (den * n[:-1] < num * n[1:])
-                at = np.maximum.accumulate(np.where(fresh, np.arange(len(t)), -1))
-                hubs = np.where(at >= 0, d[np.maximum(at, 0)], long[2] if long else 0)
-                links = np.stack([np.minimum(hubs, d), np.maximum(hubs, d)], 1)[hubs != d]
-                links = np.unique(links, axis=0)
-                out.append(np.column_stack([links, np.zeros((len(links), 2), np.int64)]))
-                long = (t[-1], n[-1], hubs[-1]) if many[-1] else None
-            else:
-                long = None
-            if out and len(rows := np.concatenate(out)):
+            long = tok[-1] if many[-1] else None
+            if len(rows := np.concatenate(out)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=["a", "b", "shared", "need"])
     return run
 
 
+def _chain(num: int, den: int):
+    """Rows sorted by (token, size): link each row to the first of its run; a run ends where sizes stop fitting."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # (token, size, first row of the run) of the last row seen
+        for batch in batches:
+            tok, size, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            if not len(tok):
+                continue
+            new = np.empty(len(tok), bool)
+            new[0] = last is None or tok[0] != last[0] or den * last[1] < num * size[0]
+            new[1:] = (tok[1:] != tok[:-1]) | (den * size[:-1] < num * size[1:])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(tok)), -1))
+            hubs = np.where(at >= 0, doc[np.maximum(at, 0)], last[2] if last else 0)
+            last = (tok[-1], size[-1], hubs[-1])
+            if (keep := hubs != doc).any():
+                links = np.unique(np.stack([hubs[keep], doc[keep]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in links.T], names=["a", "b"])
+    return run
+
+
 def _then_end(batches: Iterator) -> Iterator:
     yield from batches
     yield None
@@ -173,11 +184,19 @@ def candidate_groups(reps: DataFrame, num: int, den: int) -> DataFrame:
 
     One shuffle of (shingle, size, row); each column streams through sorted."""
     post = reps.select(F.explode("rare").alias("token"), F.col("n").alias("n"), F.col("rep").alias("rep"))
-    pairs = (post.repartition("token").sortWithinPartitions("token", "n", "rep")
-             .mapInArrow(_columns(num, den), "a long, b long, shared long, need long"))
-    kept = (pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("least"), F.max("need").alias("need"))
-            .where((F.col("least") == 0) | (F.col("shared") >= F.col("need"))))
-    return connected_components(kept)
+    seen = written(post.repartition("token").sortWithinPartitions("token", "n", "rep")
+                   .mapInArrow(_columns(num, den), "a long, b long, shared long, need long"), "columns")
+    longs = seen.where("shared < 0").select(F.col("a").alias("rep"), F.col("b").alias("token"), F.col("need").alias("n"))
+    unseen = longs.groupBy("rep").agg(F.count(F.lit(1)).alias("g"))
+    pairs = seen.where("shared > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    ga, gb = (unseen.select(F.col("rep").alias(c), F.col("g").alias(f"g{c}")) for c in "ab")
+    pairs = pairs.join(ga, "a", "left").join(gb, "b", "left").where(
+        F.col("shared") + F.least(F.coalesce("ga", F.lit(0)), F.coalesce("gb", F.lit(0))) >= F.col("need")).select("a", "b")
+    # the smallest partner of a row of n shingles has ceil(t n); with fewer unseen overlaps than such a pair needs, no chain is needed
+    least = 1 + F.floor(5 * F.floor(F.col("n") * num / F.lit(den)) / 100)
+    members = longs.join(unseen, "rep").where(F.col("g") >= least).select("token", "n", "rep")
+    chains = members.repartition("token").sortWithinPartitions("token", "n", "rep").mapInArrow(_chain(num, den), "a long, b long")
+    return connected_components(pairs.unionByName(chains))
 
 
 def _components_of(docs: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], up: dict) -> list[tuple[int, int]]:
