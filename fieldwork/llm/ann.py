@@ -9,7 +9,8 @@ Vectors are normalised; nearness is the cosine, in double precision on the origi
 3. Every entry is indexed: it goes to the posting lists of its nearest centroid and of the others within ``closure`` times that distance
    (boundary vectors are replicated, at most ``replicas`` lists).
 4. Centroids are searched through an in-memory graph of their nearest neighbours, best first from a few entry points; a
-   query probes the lists whose distance is within ``ratio`` times the nearest one's, ``probes`` at most.
+   query probes the lists whose distance is within ``ratio`` times the nearest one's, ``probes`` at most, and in any case
+   as many as hold ``k + 1`` entries (all lists of a small table).
 5. Probes join the posting lists by list (long lists are dealt to salted pieces), each piece gives its nearest, and the best
    ``k`` of a query's pieces remain.
 
@@ -153,6 +154,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
 
     posts = written(index.select("ids", "v").mapInArrow(assign, "list_no long, ids array<long>, v array<double>"), "ann-lists")
     pieces = posts.groupBy("list_no").agg(F.ceil(F.count(F.lit(1)) / F.lit(PIECE)).cast("int").alias("pieces"))
+    sizes = np.zeros(len(c), np.int64)
+    for r in posts.groupBy("list_no").count().collect():  # one row a list
+        sizes[r["list_no"]] = r["count"]
     posts = posts.join(pieces, "list_no").withColumn("piece", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("pieces")).cast("int"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +167,17 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
                 x = _unit(np.array(part.column(1).to_pylist()))
                 row, lists = [], []
                 for r in range(len(x)):
-                    found, sims = search_graph(x[r], cents, graph, probes)
+                    if len(cents) > probes:
+                        found, sims = search_graph(x[r], cents, graph, probes)
+                    else:
+                        found = np.argsort(-(cents @ x[r]), kind="stable")
+                        sims = cents[found] @ x[r]
                     dist = _distance(sims)
-                    found = found[dist <= ratio * dist[0] + 1e-12]
+                    held = np.cumsum(sizes[found]) - sizes[found]  # entries, with replicas, in the nearer lists
+                    near = (dist <= ratio * dist[0] + 1e-12) | (held < replicas * (k + 1))
+                    if held[-1] + sizes[found[-1]] < replicas * (k + 1) and len(found) < len(cents):
+                        found, near = np.arange(len(cents)), np.ones(len(cents), bool)
+                    found = found[near]
                     row += [r] * len(found)
                     lists += found.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), *[part.column(i).take(pa.array(row, pa.int64())) for i in range(2)]],
