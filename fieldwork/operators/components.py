@@ -34,7 +34,7 @@ def item_token_edges(items: DataFrame, keys: list[str], min_token_len: int = 4,
     return nodes, edges.join(keep, [*keys, "token"], "left_semi")
 
 
-def connected_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 100,
+def connected_labels(nodes: DataFrame, edges: DataFrame, keys: list[str],
                      out: str = "group_label") -> DataFrame:
     """``(keys..., item, <out>)``: the smallest item of each component.
 
@@ -46,7 +46,7 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], max_ro
     """
     edges = edges.checkpoint(eager=True)
     labels = nodes.select(*keys, "item", F.col("item").alias("label")).checkpoint(eager=True)
-    for _ in range(max_rounds):
+    while True:  # to the fixpoint, however many rounds that takes
         by_token = (edges.join(labels, [*keys, "item"])
                     .groupBy(*keys, "token").agg(F.min("label").alias("tlabel")))
         by_item = (edges.join(by_token, [*keys, "token"])
@@ -66,16 +66,16 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, keys: list[str], max_ro
 
 
 def item_groups(items: DataFrame, tag: str = "codes", min_token_len: int = 4, max_share: float = 0.05,
-                sub_share: float = 0.02, max_rounds: int = 100) -> DataFrame:
+                sub_share: float = 0.02) -> DataFrame:
     """Per project: every distinct item of ``tag`` with its group, the group's
     size, and its subtopic (the same linking rule applied inside the group,
     with tokens limited to ``max(2, sub_share * group size)`` items)."""
     keys = ["project"]
     nodes, edges = item_token_edges(items.where(F.col("tag") == tag), keys, min_token_len, max_share)
-    labels = connected_labels(nodes, edges, keys, max_rounds)
+    labels = connected_labels(nodes, edges, keys)
     sizes = labels.groupBy(*keys, "group_label").agg(F.count(F.lit(1)).alias("group_size"))
     sub_keys = ["project", "group_label"]
     sub_nodes, sub_edges = item_token_edges(labels, sub_keys, min_token_len, sub_share)
-    subtopics = connected_labels(sub_nodes, sub_edges, sub_keys, max_rounds, out="subtopic_label")
+    subtopics = connected_labels(sub_nodes, sub_edges, sub_keys, out="subtopic_label")
     return (labels.join(sizes, [*keys, "group_label"]).join(subtopics, [*sub_keys, "item"])
             .select("project", "item", "group_label", "group_size", "subtopic_label"))

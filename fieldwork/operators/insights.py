@@ -96,18 +96,16 @@ def item_connections(items: DataFrame, tag: str = "codes", distance: int = 1) ->
 
 def item_connections_from_sections(sections: DataFrame, tag: str = "codes", distance: int = 1) -> DataFrame:
     """``item_connections`` computed straight from the sections: each section's
-    items are an array and neighbours within ``distance`` are paired by index
-    inside the row, so there is no join (and the extraction runs once)."""
-    items = T.item_lines("content")
+    items are an array, which is zipped with itself moved by one to ``distance``
+    places inside the row: no join, and work linear in the items."""
+    items = F.col("_items")
 
     def pairs_at(d: int) -> F.Column:
-        n = F.size(items) - d
-        idx = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(idx, lambda i: F.struct(F.element_at(items, i).alias("a"),
-                                                   F.element_at(items, i + d).alias("b")))
+        n = F.greatest(F.size(items) - d, F.lit(0))
+        return F.arrays_zip(F.slice(items, F.lit(1), n).alias("a"), F.slice(items, F.lit(1 + d), n).alias("b"))
 
     all_pairs = F.flatten(F.array(*[pairs_at(d) for d in range(1, distance + 1)]))
-    pairs = (sections.where(F.col("tag") == tag)
+    pairs = (sections.where(F.col("tag") == tag).withColumn("_items", T.item_lines("content"))
              .select("project", "interview", F.explode(all_pairs).alias("p"))
              .where(F.col("p.a") != F.col("p.b"))
              .select("project", "interview", F.least("p.a", "p.b").alias("item_a"),
@@ -205,15 +203,13 @@ def usage_stats(answers: DataFrame) -> DataFrame:
                  F.round(F.avg("input_tokens"), 6).alias("avg_input_tokens")))
 
 
-def answer_categories(sections: DataFrame, items: DataFrame, tags=S.TAGS) -> DataFrame:
+def answer_categories(sections: DataFrame, tags=S.TAGS) -> DataFrame:
     """Matrix interview x tag: sections, items and characters per tag (0 where absent).
 
     Written as conditional sums in one aggregate (one shuffle with map-side
     partial aggregation) instead of ``pivot``, which would aggregate twice.
     """
-    n_items = items.groupBy("project", "interview", "ord").agg(F.count(F.lit(1)).alias("_items"))
-    s = (sections.join(n_items, ["project", "interview", "ord"], "left")
-         .withColumn("_items", F.coalesce("_items", F.lit(0)))
+    s = (sections.withColumn("_items", F.size(T.item_lines("content")))
          .withColumn("_chars", F.length("content")))
     aggs = []
     for t in tags:

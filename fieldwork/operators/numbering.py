@@ -21,12 +21,6 @@ from pyspark.sql import functions as F
 from fieldwork.session import ensure_checkpoint_dir
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _piece_offsets(pieces: DataFrame, group_cols: list[str], sums: dict[str, str]) -> DataFrame:
     """Exclusive prefix sums over the pieces of each group, in partition order.
 
@@ -40,9 +34,9 @@ def _piece_offsets(pieces: DataFrame, group_cols: list[str], sums: dict[str, str
     return pieces.select(*group_cols, "_pid", *extra, *cols)
 
 
-def _ranged(df: DataFrame, keys: list[str], n: int, sort: bool) -> DataFrame:
+def _ranged(df: DataFrame, keys: list[str], n: int | None, sort: bool) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.repartitionByRange(n, *keys)
+    out = df.repartitionByRange(*([n] if n else []), *keys)  # without a number, sized by the input at run time
     if sort:
         out = out.sortWithinPartitions(*keys)
     out = out.withColumn("_pid", F.spark_partition_id())
@@ -63,7 +57,7 @@ def sequence_number(df: DataFrame, group_cols: list[str], order_cols: list[str],
     as with ``row_number``.
     """
     keys = [*group_cols, *order_cols]
-    ranged = _ranged(df, keys, _partitions(df, num_partitions), sort=True)
+    ranged = _ranged(df, keys, num_partitions, sort=True)
     pieces = ranged.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_n"),
                                                      F.min("_mid").alias("_first_mid"))
     offsets = _piece_offsets(pieces, group_cols, {"_n": "_off_n"})
@@ -81,7 +75,7 @@ def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str], w
     earlier pieces contribute through the offset table.
     """
     keys = [*group_cols, *order_cols]
-    ranged = _ranged(df, keys, _partitions(df, num_partitions), sort=False)
+    ranged = _ranged(df, keys, num_partitions, sort=False)
     w = (Window.partitionBy(*group_cols, "_pid").orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumn("_local", F.sum(weight).over(w))

@@ -289,11 +289,59 @@ def project_requests(blocks: DataFrame, plan=S.QUESTION_PLAN, budget_chars: int
             .withColumn("interview", F.lit(None).cast("bigint")))
 
 
-def project_score(blocks: DataFrame, responder, plan=S.QUESTION_PLAN, budget_chars: int = 2_000_000) -> DataFrame:
-    reqs = render_requests(project_requests(blocks, plan, budget_chars), None)
-    scored = responder(reqs)
-    return scored.select("project", "chunk_no", "analysis_step", "input_chars",
+def _score_chunks(requests: DataFrame, responder) -> DataFrame:
+    scored = responder(requests)
+    return scored.select("project", "chunk_no", "analysis_step", "input_chars", "temperature",
+                         F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("prompt_hash"),
                          F.col("response.content").alias("content"), F.col("response.model").alias("model"),
                          F.col("response.input_tokens").alias("input_tokens"),
                          F.col("response.output_tokens").alias("output_tokens"),
                          F.col("response.error").alias("error"))
+
+
+def combine_chunks(scored: DataFrame) -> DataFrame:
+    """One answer per project and step from its chunks' answers, at every number of chunks.
+
+    Contents are joined by line breaks in chunk order, tokens are added up; if a
+    chunk failed, the answer fails with the first such chunk's error, so no part of a project is lost silently."""
+    return scored.groupBy("project", "analysis_step").agg(
+        F.expr("listagg(content, chr(10)) within group (order by chunk_no)").alias("content"),
+        F.max("model").alias("model"), F.sum("input_tokens").cast("int").alias("input_tokens"),
+        F.sum("output_tokens").cast("int").alias("output_tokens"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("chunk_no"))).alias("error"),
+        F.first("temperature").alias("temperature"),
+        F.sha2(F.expr("listagg(prompt_hash, '') within group (order by chunk_no)"), 256).alias("prompt"))
+
+
+def project_score(blocks: DataFrame, responder, plan=S.QUESTION_PLAN, budget_chars: int = 2_000_000) -> DataFrame:
+    """The chunks' responses of every plan step, steps in order.
+
+    Step *n* gets the whole (combined) answer of step *n-1* of its project where the plan asks for it; a
+    project whose step *n-1* failed is answered with an error.  With several steps each step's responses are
+    written to the shared folder before the next one reads them."""
+    steps = plan_steps(plan, "project")
+    requests = project_requests(blocks, plan, budget_chars)
+    if len(steps) > 1:
+        requests = persist_table(requests, "project-requests")
+    prev = out = None
+    for p in steps:
+        req = requests.where(F.col("analysis_step") == p["analysis_step"])
+        if prev is not None and p["uses_previous"]:
+            req = req.join(prev, "project", "left")
+        else:
+            req = req.withColumn("previous_answers", F.lit(None).cast("string")).withColumn("_ok", F.lit(True))
+        req = req.withColumn("prompt", TX.render_prompt("template", "content", "previous_answers"))
+        broken = req.where(~F.coalesce("_ok", F.lit(False)))
+        scored = _score_chunks(req.where(F.coalesce("_ok", F.lit(False))).drop("_ok"), responder)
+        if prev is not None and p["uses_previous"]:
+            scored = scored.unionByName(broken.select(
+                "project", "chunk_no", "analysis_step", "input_chars", "temperature",
+                F.sha2(F.coalesce("prompt", F.lit("")), 256).alias("prompt_hash"),
+                F.lit("previous step missing").alias("error")), allowMissingColumns=True)
+        if len(steps) > 1:
+            scored = persist_table(scored, f"project-step-{p['analysis_step']}")
+            whole = combine_chunks(scored)
+            prev = whole.select("project", F.coalesce("content", F.lit("")).alias("previous_answers"),
+                                F.col("error").isNull().alias("_ok"))
+        out = scored if out is None else out.unionByName(scored)
+    return out

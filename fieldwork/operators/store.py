@@ -37,19 +37,23 @@ TABLE_RULES = {
 }
 
 
-def validate_rows(rows: DataFrame, table_name: str) -> tuple[DataFrame, DataFrame]:
+def validate_rows(rows: DataFrame, table_name: str, projects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Split candidate rows for ``table_name`` into valid rows (cast to the table
     schema, strings stripped, defaults filled) and rejects with a reason.
 
-    Columns missing from ``rows`` count as NULL.  One bad row never stops the
-    others; rejects stay visible.
+    Columns missing from ``rows`` count as NULL; a value that cannot be cast is a
+    reject ("<column> invalid").  A missing key (the table's first column) is
+    assigned: a hash of the row.  With ``projects`` given, a row whose project is not registered is
+    rejected.  One bad row never stops the others; rejects keep the row as it came.
     """
     rules = TABLE_RULES[table_name]
     schema: T.StructType = rules["schema"]
-    cols = []
+    cols, reason = [], None
     for f in schema.fields:
-        c = F.col(f.name) if f.name in rows.columns else F.lit(None)
-        c = c.cast(f.dataType)
+        raw = F.col(f.name) if f.name in rows.columns else F.lit(None)
+        c = raw.try_cast(f.dataType)
+        bad = raw.isNotNull() & c.isNull()
+        reason = F.when(bad, F.lit(f"{f.name} invalid")) if reason is None else reason.when(bad, F.lit(f"{f.name} invalid"))
         if isinstance(f.dataType, T.StringType):
             c = F.btrim(c, F.lit(_WS_CHARS))
             if f.name in rules["optional_str"]:
@@ -57,25 +61,32 @@ def validate_rows(rows: DataFrame, table_name: str) -> tuple[DataFrame, DataFram
         if f.name == "created":
             c = F.coalesce(c, F.current_timestamp().cast("timestamp_ntz"))
         cols.append(c.alias(f.name))
-    staged = rows.select(*cols)
-    reason = None
+    key = schema.fields[0]
+    if isinstance(key.dataType, T.LongType):
+        cols[0] = F.coalesce(cols[0], F.xxhash64(*[F.col(c) for c in rows.columns])).alias(key.name)
+    raw_row = F.to_json(F.struct(*[F.col(c) for c in rows.columns])).alias("_raw")
+    staged = rows.select(*cols, raw_row, reason.alias("_reason"))
+    reason = F.when(F.col("_reason").isNotNull(), F.col("_reason"))
     for name in rules["required"]:
         bad = F.col(name).isNull()
         if isinstance(schema[name].dataType, T.StringType):
             bad = bad | (F.col(name) == "")
-        reason = (F.when(bad, F.lit(f"{name} required")) if reason is None
-                  else reason.when(bad, F.lit(f"{name} required")))
+        reason = reason.when(bad, F.lit(f"{name} required"))
+    if projects is not None and "project" in schema.names:
+        known = projects.select(F.col("project_id").alias("project")).distinct().withColumn("_known", F.lit(True))
+        staged = staged.join(known, "project", "left")
+        reason = reason.when(F.col("_known").isNull(), F.lit("project unknown"))
     staged = staged.withColumn("_reason", reason)
-    valid = staged.where(F.col("_reason").isNull()).drop("_reason")
+    valid = staged.where(F.col("_reason").isNull()).select(*schema.names)
     rejects = staged.where(F.col("_reason").isNotNull()).select(
         F.lit(table_name).alias("source"), F.col("_reason").alias("reason"),
-        F.to_json(F.struct(*[c for c in staged.columns if c != "_reason"])).alias("payload"))
+        F.col("_raw").alias("payload"))
     return valid, rejects
 
 
-def validated_append(rows: DataFrame, table_name: str, path: str) -> DataFrame:
+def validated_append(rows: DataFrame, table_name: str, path: str, projects: DataFrame | None = None) -> DataFrame:
     """Append the valid rows to the table at ``path``; return the rejects."""
-    valid, rejects = validate_rows(rows, table_name)
+    valid, rejects = validate_rows(rows, table_name, projects)
     valid.write.mode("append").parquet(path)
     return rejects
 
@@ -112,13 +123,7 @@ def resolve_project(projects: DataFrame, name: str) -> DataFrame:
             .groupBy("project_name").agg(F.min("project_id").alias("project_id")))
 
 
-def project_interviews(interviews: DataFrame, project_id, assume_unique: bool = True) -> DataFrame:
-    """``SELECT DISTINCT interview_id, content … WHERE project = :id``.
-
-    Interview ids are keys of the table (hash of the natural key at ingest), so
-    the DISTINCT is a no-op and is skipped by default: a distinct over whole
-    texts would shuffle every text once more.
-    """
+def project_interviews(interviews: DataFrame, project_id) -> DataFrame:
+    """``SELECT DISTINCT interview_id, content … WHERE project = :id``."""
     pid = project_id if isinstance(project_id, F.Column) else F.lit(project_id)
-    out = interviews.where(F.col("project") == pid).select("interview_id", "content")
-    return out if assume_unique else out.dropDuplicates(["interview_id", "content"])
+    return interviews.where(F.col("project") == pid).select("interview_id", "content").distinct()

@@ -55,9 +55,8 @@ class Store:
 def ingest_stage(store: Store, raw_root: str, layout: str = "folders", suffix: str = ".txt") -> None:
     """Register projects found in the files and append each file once."""
     spark = store.spark
-    good, bad = FL.ingest_text(spark, raw_root, suffix, layout)
-    # the files are read and decoded once; registry and interviews both use the staged table
-    good = SC.persist_table(good, "ingest-staged")
+    # the files are read and decoded once; registry, interviews and rejects use the staged table
+    good, bad = FL.split_staged(SC.persist_table(FL.stage_files(FL.read_text_files(spark, raw_root, suffix, layout)), "ingest-staged"))
     projects = store.read("projects")
     registry = ST.register_projects(projects, good.select("project_name"))
     new_projects = registry.join(projects.select("project_name"), "project_name", "left_anti")
@@ -67,7 +66,8 @@ def ingest_stage(store: Store, raw_root: str, layout: str = "folders", suffix: s
              .join(store.read("interviews").select("interview_id"), "interview_id", "left_anti")
              .select("interview_id", "project", F.lit(None).cast("timestamp_ntz").alias("date"), "content"))
     store.append_valid(fresh, "interviews")
-    store.append(bad, "rejects")
+    known = store.read("rejects").select("source", "reason", "payload")
+    store.append(bad.join(known, ["source", "reason", "payload"], "left_anti"), "rejects")
 
 
 def _only(df: DataFrame, projects: DataFrame | None, col: str = "project") -> DataFrame:
@@ -111,11 +111,13 @@ def run_job(spark: SparkSession, store: Store, raw_root: str | None = None, *, s
     if process_project:
         blocks = SC.persist_table(blocks, "report-blocks")
         scored = SC.project_score(blocks, project_responder, plan, project_budget_chars)
-        rows = scored.select("project", F.lit(None).cast("bigint").alias("interview"),
-                             F.lit("project").alias("analysis_type"), "analysis_step", "chunk_no",
-                             F.lit("").alias("prompt"), F.lit(None).cast("double").alias("temperature"),
-                             "content", "model", "input_tokens", "output_tokens", "error")
+        rows = SC.persist_table(SC.combine_chunks(scored), "project-answers").select(
+            "project", F.lit(None).cast("bigint").alias("interview"), F.lit("project").alias("analysis_type"),
+            "analysis_step", "prompt", "temperature", "content", "model", "input_tokens", "output_tokens", "error")
         store.append(SC.answer_rows(rows), "llm_answers")
+        store.append(rows.where("error is not null").select(
+            F.lit("llm_answers").alias("source"), F.col("error").alias("reason"),
+            F.to_json(F.struct("project", "analysis_step")).alias("payload")), "rejects")
     out = R.report_blocks(_only(store.read("llm_answers"), selected), projects)
     if sink_path:
         SK.write_reports(out, sink_path)

@@ -816,7 +816,7 @@ select project, interview, {", ".join(cols)} from s group by project, interview
 def q_answer_categories(spark, sf_dir):
     from fieldwork.operators.insights import answer_categories
     secs = _sections(spark, sf_dir)
-    return answer_categories(secs, SEC.section_items(secs))
+    return answer_categories(secs)
 
 
 @register("project_trends", """

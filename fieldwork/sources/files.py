@@ -24,14 +24,19 @@ def read_text_files(spark: SparkSession, root: str, suffix: str = ".txt", layout
     reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}")
     if layout == "hive":
         df = reader.option("recursiveFileLookup", "true").load(root)
-        project = F.regexp_extract("path", r"/project=([^/]+)/", 1)
-        project = F.url_decode(project)
+        project = folder_value("path", "project")
     else:
         df = reader.load(f"{root.rstrip('/')}/*/")
         project = F.element_at(F.split("path", "/"), -2)
     return df.select("path", project.alias("project_name"), F.col("content").alias("raw"))
 
 
+def folder_value(path: str, name: str) -> F.Column:
+    """The decoded value of a ``name=value`` folder; a plus sign stays a plus sign."""
+    raw = F.regexp_extract(path, rf"/{name}=([^/]+)/", 1)
+    return F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+
+
 def normalise_file_text(raw) -> F.Column:
     """UTF-8 text with ``\\r\\n`` and ``\\r`` turned into ``\\n`` and outer whitespace
     stripped; ``NULL`` when the bytes are not valid UTF-8."""
@@ -43,10 +48,19 @@ def normalise_file_text(raw) -> F.Column:
 def split_ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid interviews ``(interview_id, project_name, path, content)`` and
     rejects ``(source, reason, payload)``; one bad file never stops the others."""
+    return split_staged(stage_files(files))
+
+
+def stage_files(files: DataFrame) -> DataFrame:
+    """``(path, project_name, content, reason)``; ``reason`` is null for a valid file."""
     staged = files.select("path", "project_name", normalise_file_text("raw").alias("content"))
     reason = (F.when(F.col("content").isNull(), F.lit("invalid utf-8"))
               .when(F.col("content") == "", F.lit("empty content")))
-    staged = staged.withColumn("reason", reason)
+    return staged.withColumn("reason", reason)
+
+
+def split_staged(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The valid interviews and the rejects of staged files."""
     good = (staged.where(F.col("reason").isNull())
             .select(F.xxhash64("project_name", "path").alias("interview_id"), "project_name", "path", "content"))
     bad = staged.where(F.col("reason").isNotNull()).select(

@@ -15,10 +15,9 @@ def write_reports(blocks: DataFrame, path: str, num_partitions: int | None = Non
     order (each block followed by one line break).  No task ever holds a whole
     report.
     """
-    n = num_partitions or int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["project_name", "report_type", "block_no"]
     (blocks.select(*keys, "text")
-     .repartitionByRange(n, *keys)
+     .repartitionByRange(*([num_partitions] if num_partitions else []), *keys)
      .sortWithinPartitions(*keys)
      .drop("block_no")
      .write.mode("overwrite").partitionBy("project_name", "report_type").text(path))
@@ -26,5 +25,5 @@ def write_reports(blocks: DataFrame, path: str, num_partitions: int | None = Non
 
 
 def read_reports(spark, path: str) -> DataFrame:
-    """Lines of the written reports: ``(value, project_name, report_type)``."""
-    return spark.read.text(path)
+    """Lines of the written reports: ``(value, project_name, report_type)``; names stay strings."""
+    return spark.read.schema("value string, project_name string, report_type string").text(path)

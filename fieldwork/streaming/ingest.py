@@ -31,7 +31,7 @@ def stream_ingest(spark: SparkSession, raw_root: str, table_root: str, checkpoin
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     src = reader.load(raw_root)
     if layout == "hive":
-        project = F.url_decode(F.regexp_extract("path", r"/project=([^/]+)/", 1))
+        project = FL.folder_value("path", "project")
     else:
         project = F.element_at(F.split("path", "/"), -2)
     files = src.select("path", project.alias("project_name"), F.col("content").alias("raw"))

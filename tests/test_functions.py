@@ -12,17 +12,41 @@ from pyspark.sql import functions as F
 from fieldwork import schemas as S
 from fieldwork.functions import text as T
 
-# Written afresh from the definitions: Python's str.strip / re semantics.
-_PY_TAGS = "|".join(S.TAGS)
-_PY_PATTERN = re.compile(rf"<({_PY_TAGS})>\s*(.*?)\s*</\1>", re.DOTALL)
+def _trim(chars: list[str], drop) -> list[str]:
+    first, last = 0, len(chars)
+    while first < last and drop(chars[first]):
+        first += 1
+    while last > first and drop(chars[last - 1]):
+        last -= 1
+    return chars[first:last]
 
 
 def py_normalise(text: str) -> str:
-    return " ".join(line.strip("- ").strip() + "." for line in text.split("\n") if line.strip())
+    """Line by line: blank lines go; dashes and blanks, then white space, are trimmed; a full stop ends each."""
+    out = ""
+    for line in text.split("\n"):
+        chars = list(line)
+        if all(c.isspace() for c in chars):
+            continue
+        chars = _trim(_trim(chars, lambda c: c in "- "), str.isspace)
+        out += (" " if out else "") + "".join(chars) + "."
+    return out
 
 
 def py_sections(text: str):
-    return _PY_PATTERN.findall(text)
+    """A scanner: the next opening tag that has a closing tag after it; the first such closing tag ends the section."""
+    found, at = [], 0
+    while (at := text.find("<", at)) >= 0:
+        for tag in S.TAGS:
+            begin = at + len(tag) + 2
+            if text[at:begin] == f"<{tag}>" and (end := text.find(f"</{tag}>", begin)) >= 0:
+                body = _trim(list(text[begin:end]), str.isspace)
+                found.append((tag, "".join(body)))
+                at = end + len(tag) + 3
+                break
+        else:
+            at += 1
+    return found
 
 
 def _one(spark, col_fn, values, schema="v string"):
