@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from fieldwork.llm.common import _BYTE, _R, mix, powers, text_slices
 
-CACHE_PIECES = 2_000_000   # pieces kept per worker; the table is emptied when full
+CACHE_PIECES = 450_000   # pieces of a generation; a worker keeps two and drops the older when one is full
 CACHE_BYTES = 48         # longer pieces are not kept
 SLICE_BYTES = 4 << 20
 _BLANK = np.zeros(256, bool)
@@ -83,6 +83,7 @@ class Encoder:
         self.lib = Tokenizer.from_file(tokenizer_path(name_or_path))
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.model, self.kind, self.letters = self.lib.model, _plain_kind(self.lib), _byte_letters()
         self.tails: dict[str, list[int]] = {}
 
@@ -114,10 +115,15 @@ class Encoder:
 
     def _distinct(self, raw: list[bytes]) -> list[bytes]:
         """The ids of each piece as bytes (uint32)."""
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
+        if len(self.cache) > CACHE_PIECES:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
         todo = [p for p in raw if p not in cache]
+        if old:
+            for p in todo:
+                if p in old:
+                    cache[p] = old[p]
+            todo = [p for p in todo if p not in cache]
         long = [p for p in todo if len(p) > CACHE_BYTES]
         if self.kind:
             hard = []

@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from fieldwork.llm.common import _BYTE, _LOWER, _R, longs, mix, on_workers, powers, text_slices, word_spans, written
 
 CHAIN = ("unsafe", "toxic", "toxic_prose")
-MAX_ROWS = 16_000
-MAX_FEATURES = 768
+MAX_ROWS = 12_000
+MAX_FEATURES = 512
 FOLDS = 5
 HEADS = (4, 5, 6, 7, 8, 10)
 MIN_SUPPORT = 5
