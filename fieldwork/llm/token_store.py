@@ -171,12 +171,12 @@ def write_store(docs: DataFrame, path: str, vocab: str = BYTE_VOCAB, end_id: int
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """``(file_no, row_no, doc_id, start, n_tokens, payload)``; ``start`` counts the ids of all documents before.
 
-    Only the sizes of the files (one row each) are added up outside their own file."""
+    Only the sizes of the files are added up outside their own file; that table, one row a file, is broadcast."""
     rows = spark.read.parquet(path)
     sizes = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
     before = sizes.select("file_no", F.coalesce(F.sum("n").over(
         Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return (rows.join(before, "file_no").withColumn("start", F.col("before") + F.col("file_start"))
+    return (rows.join(F.broadcast(before), "file_no").withColumn("start", F.col("before") + F.col("file_start"))
             .select("file_no", "row_no", "doc_id", "start", "n_tokens", "payload"))
 
 
