@@ -19,9 +19,9 @@ import pyarrow as pa
 
 from fieldwork.llm.common import _BYTE, _R, mix, powers, text_slices
 
-CACHE_PIECES = 450_000   # pieces of a generation; a worker keeps two and drops the older when one is full
+CACHE_PIECES = 200_000   # pieces of a generation; a worker keeps two and drops the older when one is full
 CACHE_BYTES = 48         # longer pieces are not kept
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _ENCODERS: dict[str, "Encoder"] = {}

@@ -33,7 +33,7 @@ from fieldwork.llm.common import _BYTE, _LOWER, _R, longs, mix, on_workers, powe
 
 CHAIN = ("unsafe", "toxic", "toxic_prose")
 MAX_ROWS = 12_000
-MAX_FEATURES = 512
+MAX_FEATURES = 768
 FOLDS = 5
 HEADS = (4, 5, 6, 7, 8, 10)
 MIN_SUPPORT = 5
@@ -140,23 +140,24 @@ def feature_rows(col: pa.Array, features: np.ndarray) -> Iterator[tuple[int, int
         yield i, j, row[order], at[order], value[order]
 
 
-def _fit(x: np.ndarray, y: np.ndarray, l2: float = 3.0, steps: int = 80) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, l2: float = 3.0, steps: int = 120) -> np.ndarray:
     """L2-regularised logistic regression by accelerated gradient descent; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     v = np.ones(x.shape[1], np.float32)
     for _ in range(8):  # largest eigenvalue of x'x
         v = x.T @ (x @ v)
         top = float(np.linalg.norm(v))
         v /= top or 1.0
-    step = 1.0 / (top / 4 + l2)
-    reg = np.full(x.shape[1], l2, np.float32)
-    reg[-1] = 0
-    w, old, rate = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), float(y.mean())
+    step = 1.0 / ((top + len(x)) / 4 + l2)  # the bias column adds its length at most
+    rate = float(y.mean())
+    w, old = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
     w[-1] = old[-1] = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
+    grad = np.empty_like(w)
     for t in range(steps):
-        z = w + (w - old) * (t / (t + 3))
-        grad = x.T @ (1 / (1 + np.exp(-np.clip(x @ z, -30, 30))) - y) + reg * z
-        old, w = w, z - step * grad.astype(np.float32)
+        z = w + (w - old) * np.float32(t / (t + 3))
+        miss = _prob(x, z) - y
+        grad[:-1] = x.T @ miss + np.float32(l2) * z[:-1]
+        grad[-1] = miss.sum()
+        old, w = w, z - np.float32(step) * grad
     return w
 
 
@@ -165,10 +166,11 @@ def _prob(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> dict:
-    """Weights of each link and the rejecting threshold of ``toxic``."""
-    weights, threshold, early = [], 2.0, np.zeros((len(x), 0), np.float32)
+    """Weights of each link and the rejecting threshold of ``toxic``.  ``x`` has a spare last column for each category,
+    which takes that category's out-of-fold probabilities."""
+    weights, threshold, base = [], 2.0, x.shape[1] - y.shape[1]
     for c in range(y.shape[1]):
-        xc, yc = np.hstack([x, early]), y[:, c].astype(np.float32)
+        xc, yc = x[:, :base + c], y[:, c].astype(np.float32)
         if yc.min() == yc.max():
             w = np.zeros(xc.shape[1] + 1, np.float32)
             w[-1] = 30.0 if yc.max() else -30.0
@@ -188,7 +190,7 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> dict:
                 nxt = oof[order[k + 1]] if k + 1 < len(x) else 0.0
                 threshold = float((low + nxt) / 2)
         weights.append(w)
-        early = np.hstack([early, oof[:, None].astype(np.float32)])
+        x[:, base + c] = oof
     return {"weights": weights, "threshold": threshold}
 
 
@@ -215,10 +217,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
         tables = [b for b in batches if b.num_rows]
         if tables:
             t = pa.Table.from_batches(tables).sort_by("doc_id")
-            x = np.zeros((t.num_rows, 2 * len(features)), np.float32)
-            for r, (at, value) in enumerate(zip(t.column("at").to_pylist(), t.column("value").to_pylist())):
-                x[r, at] = value
-            model = fit_chain(x, np.array(t.column("y").to_pylist()), t.column("fold").to_numpy())
+            x = np.zeros((t.num_rows, 2 * len(features) + len(CHAIN)), np.float32)
+            at, value = t.column("at").combine_chunks(), t.column("value").combine_chunks()
+            row = np.repeat(np.arange(t.num_rows), at.value_lengths().to_numpy())
+            x[row, at.flatten().to_numpy()] = value.flatten().to_numpy()
+            y, fold = np.array(t.column("y").to_pylist()), t.column("fold").to_numpy()
+            del t, at, value, row, tables
+            model = fit_chain(x, y, fold)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     rows = sample.select("doc_id", "text", "y", "fold").mapInArrow(
