@@ -1,15 +1,17 @@
-"""Groups of related items: connected components of the item-token graph.
-
-Two items of a project are linked when they share a distinctive token (a
-letter run of at least ``min_token_len`` letters, found in at least two and at
-most ``max(2, max_share * items)`` of the project's items).  Groups are the
-connected components of that graph; subtopics are the components of the same
-rule applied inside one group with a stricter share.  The graph is kept as
-item-token edges,
-so linking never enumerates item pairs; labels are found by min-label
-propagation with pointer jumping (each round two aggregates over the edges
-and one join), with the inputs and every round's labels checkpointed to the
-shared checkpoint folder to cut lineage.
+"""Groups of related items: components of a sparse similarity graph.
+
+Items are compared by their sets of words (letter runs).  A min-hash signature
+of each set gives a fixed number of band keys; every item is a candidate of the
+smallest item that shares a band key with it, so there are at most
+``len(BANDS)`` candidates an item, at every size, and never a pair of two
+others of a bucket.  A candidate becomes a link if the Jaccard similarity of the
+two word sets reaches the threshold.  Groups are the connected components of
+the links, subtopics the components of the links of a higher threshold (so each
+lies inside one group).  An item without words is a group of its own.
+
+Components are found by min-label propagation with pointer jumping, with the
+links and every round's labels checkpointed to the shared checkpoint folder to
+cut lineage.
 """
 
 from __future__ import annotations
@@ -19,32 +21,49 @@ from pyspark.sql import functions as F
 
 from fieldwork.functions import text as T
 
+#: min-hash ``i`` of a word set is the smallest ``i``-th group of eight hex digits of its words' SHA-256.
+N_HASHES = 8
+#: The min-hashes of each band: single ones, pairs and fours.
+BANDS = tuple(tuple(range(i, i + n)) for n in (1, 2, 4) for i in range(0, N_HASHES, n))
+
+
+def item_words(item) -> F.Column:
+    return F.array_distinct(T.word_tokens(item))
+
+
+def _min_hash(digests: str, i: int) -> F.Column:
+    return F.array_min(F.transform(digests, lambda d: F.substring(d, 1 + 8 * i, 8))).alias(f"_h{i}")
+
+
+def candidate_links(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., item, token)``: each item with the smallest items of its buckets."""
+    digests = nodes.select(*keys, "item", F.transform(item_words("item"), lambda w: F.sha2(w, 256)).alias("_d"))
+    signed = digests.where(F.size("_d") > 0).select(*keys, "item", *[_min_hash("_d", i) for i in range(N_HASHES)])
+    bands = signed.select(*keys, "item", F.explode(F.array(*[
+        F.concat(F.lit(f"{no}:"), *[F.col(f"_h{i}") for i in band]) for no, band in enumerate(BANDS)])).alias("_band"))
+    smallest = bands.groupBy(*keys, "_band").agg(F.min("item").alias("token"))
+    return (bands.join(smallest, [*keys, "_band"]).where(F.col("item") != F.col("token"))
+            .select(*keys, "item", "token").distinct())
+
 
-def item_token_edges(items: DataFrame, keys: list[str], min_token_len: int = 4,
-                     max_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)``: distinct items per ``keys`` and their distinctive tokens."""
-    nodes = items.select(*keys, "item").distinct()
-    edges = (nodes.select(*keys, "item", F.explode(F.array_distinct(T.word_tokens("item"))).alias("token"))
-             .where(F.length("token") >= min_token_len))
-    n = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    df = edges.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("_df"))
-    keep = (df.join(n, keys)
-            .where((F.col("_df") >= 2) & (F.col("_df") <= F.greatest(F.lit(2.0), F.col("_n") * max_share)))
-            .select(*keys, "token"))
-    return nodes, edges.join(keep, [*keys, "token"], "left_semi")
+def similar_links(candidates: DataFrame, percent: int) -> DataFrame:
+    """The candidates whose word sets have a Jaccard similarity of at least ``percent`` / 100."""
+    a, b = item_words("item"), item_words("token")
+    return candidates.where(F.size(F.array_intersect(a, b)) * 100 >= F.size(F.array_union(a, b)) * percent)
 
 
-def connected_labels(nodes: DataFrame, edges: DataFrame, keys: list[str],
+def connected_labels(nodes: DataFrame, links: DataFrame, keys: list[str],
                      out: str = "group_label") -> DataFrame:
-    """``(keys..., item, <out>)``: the smallest item of each component.
+    """``(keys..., item, <out>)``: the smallest item of each component of the links.
 
-    Each round moves labels item -> token -> item (two aggregates with map-side
-    partial minima), then lets every item take the label of its label
+    Each linked-to item is a hub of its links.  Each round moves labels item -> hub -> item
+    (two aggregates with map-side partial minima), then lets every item take the label of its label
     (pointer jumping; labels are always members of the same component, so the
     fixpoint is still the component's smallest item, reached in fewer rounds).
     Inputs are checkpointed once; every round's labels are checkpointed too.
     """
-    edges = edges.checkpoint(eager=True)
+    hubs = links.select(*keys, F.col("token").alias("item"), "token").distinct()
+    edges = links.select(*keys, "item", "token").unionByName(hubs).checkpoint(eager=True)
     labels = nodes.select(*keys, "item", F.col("item").alias("label")).checkpoint(eager=True)
     while True:  # to the fixpoint, however many rounds that takes
         by_token = (edges.join(labels, [*keys, "item"])
@@ -65,17 +84,13 @@ def connected_labels(nodes: DataFrame, edges: DataFrame, keys: list[str],
     return labels.withColumnRenamed("label", out)
 
 
-def item_groups(items: DataFrame, tag: str = "codes", min_token_len: int = 4, max_share: float = 0.05,
-                sub_share: float = 0.02) -> DataFrame:
-    """Per project: every distinct item of ``tag`` with its group, the group's
-    size, and its subtopic (the same linking rule applied inside the group,
-    with tokens limited to ``max(2, sub_share * group size)`` items)."""
+def item_groups(items: DataFrame, tag: str = "codes", percent: int = 50, sub_percent: int = 80) -> DataFrame:
+    """Per project: every distinct item of ``tag`` with its group, the group's size, and its subtopic."""
     keys = ["project"]
-    nodes, edges = item_token_edges(items.where(F.col("tag") == tag), keys, min_token_len, max_share)
-    labels = connected_labels(nodes, edges, keys)
+    nodes = items.where(F.col("tag") == tag).select(*keys, "item").distinct().checkpoint(eager=True)
+    links = similar_links(candidate_links(nodes, keys), percent).checkpoint(eager=True)
+    labels = connected_labels(nodes, links, keys)
     sizes = labels.groupBy(*keys, "group_label").agg(F.count(F.lit(1)).alias("group_size"))
-    sub_keys = ["project", "group_label"]
-    sub_nodes, sub_edges = item_token_edges(labels, sub_keys, min_token_len, sub_share)
-    subtopics = connected_labels(sub_nodes, sub_edges, sub_keys, out="subtopic_label")
-    return (labels.join(sizes, [*keys, "group_label"]).join(subtopics, [*sub_keys, "item"])
+    subtopics = connected_labels(nodes, similar_links(links, sub_percent), keys, out="subtopic_label")
+    return (labels.join(sizes, [*keys, "group_label"]).join(subtopics, [*keys, "item"])
             .select("project", "item", "group_label", "group_size", "subtopic_label"))

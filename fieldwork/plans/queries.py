@@ -644,60 +644,56 @@ def q_item_connections(spark, sf_dir):
     return item_connections_from_sections(_sections(spark, sf_dir), "codes", 1)
 
 
-GROUP_MIN_TOKEN_LEN = 4
-GROUP_MAX_SHARE = 0.05
-SUBTOPIC_MAX_SHARE = 0.02
+GROUP_PERCENT = 50
+SUBTOPIC_PERCENT = 80
+_BANDS = ([f"'{i}:' || h{i}" for i in range(8)] + [f"'{8 + i}:' || h{2 * i} || h{2 * i + 1}" for i in range(4)]
+          + [f"'{12 + i}:' || h{4 * i} || h{4 * i + 1} || h{4 * i + 2} || h{4 * i + 3}" for i in range(2)])
 
 
-@register("item_groups", f"""
-with recursive {_ITEM_CTES},
-nodes as (select distinct project, item from items where tag = 'codes'),
-n as (select project, count(*) as n from nodes group by project),
-e0 as (select distinct project, item, token
-       from (select project, item, unnest(regexp_extract_all(lower(item), '\\p{{L}}+')) as token from nodes) t
-       where length(token) >= {GROUP_MIN_TOKEN_LEN}),
-df as (select project, token, count(*) as df from e0 group by project, token),
-edges as (
-  select e0.project, e0.item, e0.token from e0
-  join df on df.project = e0.project and df.token = e0.token join n on n.project = e0.project
-  where df.df >= 2 and df.df <= greatest(2.0, n.n * {GROUP_MAX_SHARE})),
-cc(project, item, label) using key (project, item) as (
+def _component_cte(name: str, edges: str) -> str:
+    return f"""
+{name}(project, item, label) using key (project, item) as (
   select project, item, item from nodes
   union
-  select e.project, e.item, min(w.label)
-  from cc w
-  join edges e2 on e2.project = w.project and e2.item = w.item
-  join edges e on e.project = e2.project and e.token = e2.token
-  join recurring.cc cur on cur.project = e.project and cur.item = e.item
-  where w.label < cur.label
-  group by e.project, e.item),
-gn as (select project, label as grp, item from cc),
-gsize as (select project, grp, count(*) as n from gn group by project, grp),
-ge0 as (select gn.project, gn.grp, gn.item, e0.token from gn
-        join e0 on e0.project = gn.project and e0.item = gn.item),
-gdf as (select project, grp, token, count(*) as df from ge0 group by project, grp, token),
-gedges as (
-  select ge0.project, ge0.grp, ge0.item, ge0.token from ge0
-  join gdf on gdf.project = ge0.project and gdf.grp = ge0.grp and gdf.token = ge0.token
-  join gsize on gsize.project = ge0.project and gsize.grp = ge0.grp
-  where gdf.df >= 2 and gdf.df <= greatest(2.0, gsize.n * {SUBTOPIC_MAX_SHARE})),
-sub(project, grp, item, label) using key (project, grp, item) as (
-  select project, grp, item, item from gn
-  union
-  select e.project, e.grp, e.item, min(w.label)
-  from sub w
-  join gedges e2 on e2.project = w.project and e2.grp = w.grp and e2.item = w.item
-  join gedges e on e.project = e2.project and e.grp = e2.grp and e.token = e2.token
-  join recurring.sub cur on cur.project = e.project and cur.grp = e.grp and cur.item = e.item
+  select e.project, e.other, min(w.label)
+  from {name} w join {edges} e on e.project = w.project and e.item = w.item
+  join recurring.{name} cur on cur.project = e.project and cur.item = e.other
   where w.label < cur.label
-  group by e.project, e.grp, e.item)
+  group by e.project, e.other)"""
+
+
+@register("item_groups", f"""
+with recursive {_ITEM_CTES},
+nodes as (select distinct project, item from items where tag = 'codes'),
+tok as (select distinct project, item, token
+        from (select project, item, unnest(regexp_extract_all(lower(item), '\\p{{L}}+')) as token from nodes) t),
+n as (select project, item, count(*) as n from tok group by project, item),
+sig as (select project, item, {", ".join(f"min(substr(sha256(token), {1 + 8 * i}, 8)) as h{i}" for i in range(8))}
+        from tok group by project, item),
+bands as (select project, item, unnest([{", ".join(_BANDS)}]) as band from sig),
+smallest as (select project, band, min(item) as hub from bands group by project, band),
+cand as (select distinct b.project, b.item, s.hub from bands b
+         join smallest s on s.project = b.project and s.band = b.band where b.item <> s.hub),
+inter as (select c.project, c.item, c.hub, count(*) as i from cand c
+          join tok a on a.project = c.project and a.item = c.item
+          join tok b on b.project = c.project and b.item = c.hub and b.token = a.token
+          group by c.project, c.item, c.hub),
+sim as (select x.project, x.item, x.hub, x.i * 100 as i100, na.n + nb.n - x.i as u from inter x
+        join n na on na.project = x.project and na.item = x.item
+        join n nb on nb.project = x.project and nb.item = x.hub),
+edges as (select project, item, hub as other from sim where i100 >= u * {GROUP_PERCENT}
+          union all select project, hub, item from sim where i100 >= u * {GROUP_PERCENT}),
+sub_edges as (select project, item, hub as other from sim where i100 >= u * {SUBTOPIC_PERCENT}
+              union all select project, hub, item from sim where i100 >= u * {SUBTOPIC_PERCENT}),
+{_component_cte("cc", "edges")},
+{_component_cte("sub", "sub_edges")}
 select c.project, c.item, c.label as group_label, count(*) over (partition by c.project, c.label) as group_size,
        s.label as subtopic_label
-from cc c join sub s on s.project = c.project and s.grp = c.label and s.item = c.item
+from cc c join sub s on s.project = c.project and s.item = c.item
 """)
 def q_item_groups(spark, sf_dir):
     from fieldwork.operators.components import item_groups
-    return item_groups(_items(spark, sf_dir), "codes", GROUP_MIN_TOKEN_LEN, GROUP_MAX_SHARE, SUBTOPIC_MAX_SHARE)
+    return item_groups(_items(spark, sf_dir), "codes", GROUP_PERCENT, SUBTOPIC_PERCENT)
 
 
 @register("theme_frequency", f"""

@@ -4,12 +4,17 @@ A streaming aggregate keeps one state row per ``(project, interview,
 analysis_step)``: ``max_by`` of the answer by ``(created, id)``.  The merge is
 commutative, so late or out-of-order rows need no watermark: any arrival order
 gives the batch result.  Update mode emits only changed keys; each micro-batch
-is written to its own ``batch_id=<n>`` folder (idempotent on retry) and the
-current view takes, per key, the row of the highest batch.
+is written to its own ``updates/batch_id=<n>`` folder (idempotent on retry).
+Every ``compact_every`` batches the view so far is written to
+``snapshots/upto=<n>``; the current view takes, per key, the row of the highest
+batch among the newest snapshot and the batches after it, so it never reads more
+than ``compact_every`` batches.  A snapshot is a function of its batches, and a
+retried batch writes it again.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +32,7 @@ def latest_stream(log: DataFrame, analysis_type: str = "interview") -> DataFrame
 
 def stream_latest(spark: SparkSession, log_dir: str, out_root: str, checkpoint: str,
                   schema=S.ANSWERS_SCHEMA, max_files_per_trigger: int = 1, available_now: bool = True,
-                  state_partitions: int | None = None):
+                  state_partitions: int | None = None, compact_every: int = 50):
     """Run the latest-answer stream over the parquet log in ``log_dir``.
 
     ``state_partitions`` fixes the number of state-store partitions; a
@@ -38,7 +43,10 @@ def stream_latest(spark: SparkSession, log_dir: str, out_root: str, checkpoint:
            .option("maxFilesPerTrigger", str(max_files_per_trigger)).parquet(log_dir))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_root}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out_root}/updates/batch_id={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            _merged(_parts(batch.sparkSession, out_root, before=batch_id)).write.mode("overwrite").parquet(
+                f"{out_root}/snapshots/upto={batch_id}")
 
     writer = (latest_stream(src).writeStream.outputMode("update").foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint))
@@ -56,8 +64,29 @@ def stream_latest(spark: SparkSession, log_dir: str, out_root: str, checkpoint:
     return q
 
 
+def _parts(spark: SparkSession, out_root: str, before: int | None = None) -> DataFrame:
+    """The newest snapshot (older than batch ``before``) and the batches after it; folders are pruned by their number."""
+    updates = spark.read.parquet(f"{out_root}/updates")
+    try:
+        snapshots = spark.read.parquet(f"{out_root}/snapshots")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return updates  # none was written yet
+    if before is not None:
+        snapshots = snapshots.where(F.col("upto") < before)
+    last = snapshots.agg(F.max("upto")).first()[0]  # one scalar, from the folder names
+    if last is None:
+        return updates
+    return (updates.where(F.col("batch_id") > last)
+            .unionByName(snapshots.where(F.col("upto") == last).withColumnRenamed("upto", "batch_id")))
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*KEY).agg(F.max_by("latest", "batch_id").alias("latest"))
+
+
 def current_view(spark: SparkSession, out_root: str) -> DataFrame:
     """Per key, the state emitted by the latest micro-batch that touched it."""
-    updates = spark.read.parquet(out_root)
-    return (updates.groupBy(*KEY).agg(F.max_by("latest", "batch_id").alias("latest"))
+    return (_merged(_parts(spark, out_root))
             .select(*KEY, F.col("latest.id").alias("id"), F.col("latest.answer_content").alias("answer_content")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from fieldwork.operators import latest as L
 from fieldwork.operators import sections as SEC
 from fieldwork.operators.components import item_groups
 from fieldwork.sources import tables as TB
-from fieldwork.streaming.latest import current_view, stream_latest
+from fieldwork.streaming.latest import _parts, current_view, stream_latest
 
 
 def test_stream_latest_equals_batch_on_shuffled_arrival(spark, tmp_dir):
@@ -26,6 +27,19 @@ def test_stream_latest_equals_batch_on_shuffled_arrival(spark, tmp_dir):
     assert streamed == batch and len(batch) > 0
 
 
+def test_latest_view_reads_a_snapshot_and_the_batches_after_it(spark, tmp_dir):
+    log = TB.answers_fixture(spark, SF_SMALL).withColumn("created", F.col("created").cast("timestamp_ntz"))
+    log_dir, out = os.path.join(tmp_dir, "log2"), os.path.join(tmp_dir, "updates2")
+    log.repartition(7).write.parquet(log_dir)
+    stream_latest(spark, log_dir, out, os.path.join(tmp_dir, "ck2"), schema=log.schema, compact_every=3)
+    assert sorted(f for f in os.listdir(f"{out}/snapshots") if "=" in f) == ["upto=2", "upto=5"]
+    read = {r["batch_id"] for r in _parts(spark, out).select("batch_id").distinct().collect()}
+    assert read <= {5, 6} and 5 in read  # the snapshot and the one batch after it
+    batch = sorted(tuple(r) for r in L.latest_answers(log).select(
+        "project", "interview", "analysis_step", "id", "answer_content").collect())
+    assert sorted(tuple(r) for r in current_view(spark, out).collect()) == batch
+
+
 def _letter_runs(text):
     runs, cur = [], []
     for ch in text:
@@ -39,38 +53,35 @@ def _letter_runs(text):
     return runs
 
 
-def _brute_groups(items, min_len=4, max_share=0.05):
-    """Union-find over items sharing a distinctive token, written from the definition."""
+def _brute_groups(items, share):
+    """Union-find over similar (item, smallest item of a bucket) pairs, written from the definition."""
     by_project = {}
     for project, item in items:
         by_project.setdefault(project, set()).add(item)
     out = {}
     for project, nodes in by_project.items():
-        nodes = sorted(nodes)
-        toks = {n: {t for t in _letter_runs(n.lower()) if len(t) >= min_len} for n in nodes}
-        df = {}
+        words = {n: set(_letter_runs(n.lower())) for n in nodes}
+        buckets = {}
         for n in nodes:
-            for t in toks[n]:
-                df[t] = df.get(t, 0) + 1
-        limit = max(2.0, len(nodes) * max_share)
+            hexes = [hashlib.sha256(w.encode()).hexdigest() for w in words[n]]
+            if hexes:
+                sig = [min(h[8 * i:8 * i + 8] for h in hexes) for i in range(8)]
+                for width in (1, 2, 4):
+                    for at in range(0, 8, width):
+                        buckets.setdefault((width, at, *sig[at:at + width]), []).append(n)
         parent = {n: n for n in nodes}
 
         def find(x):
             while parent[x] != x:
-                parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        first = {}
-        for n in nodes:
-            for t in toks[n]:
-                if 2 <= df[t] <= limit:
-                    if t in first:
-                        a, b = find(first[t]), find(n)
-                        if a != b:
-                            parent[max(a, b)] = min(a, b)
-                    else:
-                        first[t] = n
+        for members in buckets.values():
+            hub = min(members)
+            for n in members:
+                if len(words[n] & words[hub]) >= share * len(words[n] | words[hub]):
+                    a, b = find(n), find(hub)
+                    parent[max(a, b)] = min(a, b)
         for n in nodes:
             out[(project, n)] = find(n)
     return out
@@ -80,15 +91,14 @@ def test_item_groups_match_union_find(spark):
     latest = L.latest_answers(TB.answers_fixture(spark, SF_SMALL))
     items = SEC.section_items(SEC.interview_sections(latest)).where(F.col("tag") == "codes")
     pairs = [(r["project"], r["item"]) for r in items.select("project", "item").collect()]
-    expected = _brute_groups(pairs)
+    expected = _brute_groups(pairs, 0.5)
     result = item_groups(items, "codes").collect()
     got = {(r["project"], r["item"]): r["group_label"] for r in result}
     assert got.keys() == expected.keys()
     # same partition into groups (labels are the smallest member in both)
     assert got == expected
-    # subtopics: the same rule inside each group, with the stricter share
-    sub_expected = _brute_groups([((p, g), i) for (p, i), g in expected.items()], max_share=0.02)
-    assert {((r["project"], r["group_label"]), r["item"]): r["subtopic_label"] for r in result} == sub_expected
+    sub_expected = _brute_groups(pairs, 0.8)
+    assert {(r["project"], r["item"]): r["subtopic_label"] for r in result} == sub_expected
     sizes = {}
     for (p, _), g in expected.items():
         sizes[(p, g)] = sizes.get((p, g), 0) + 1
