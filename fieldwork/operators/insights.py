@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from fieldwork import schemas as S
 from fieldwork.functions import text as T
 from fieldwork.operators.numbering import running_total
-from fieldwork.operators.parallel import spread
 
 
 # ---------------------------------------------------------------------------
@@ -26,15 +25,17 @@ def keyword_topk(docs: DataFrame, k: int = 5) -> DataFrame:
     """Top ``k`` tokens per interview by ``tf * (ln((1+N)/(1+df)) + 1)``, where N
     and df are counted within the project; ties by token.
 
-    ``docs``: ``(project, interview, content)``.
+    ``docs``: ``(project, interview, content)``.  One plan at every size: the texts
+    are dealt out once by interview (the text is smaller than its token counts would
+    be), and the token counts are aggregated where their text lies.
     """
     n = docs.groupBy("project").agg(F.count(F.lit(1)).alias("n_docs"))
-    tokens = spread(docs.select("project", "interview", "content"), "project", "interview").select(
+    tokens = docs.select("project", "interview", "content").repartition("project", "interview").select(
         "project", "interview", F.explode(T.word_tokens("content")).alias("token"))
     tf = tokens.groupBy("project", "interview", "token").agg(F.count(F.lit(1)).alias("tf"))
     # df counts the (interview, token) rows; it is written as sum(least(tf, 1))
-    # (tf >= 1) so that this branch reads ``tf`` like the joined branch does:
-    # both then share one tokenising stage and its exchange is reused
+    # (tf >= 1) so that this branch reads ``tf`` like the joined branch does and
+    # the exchange of the texts is shared; the tokenising itself runs in both
     df = tf.groupBy("project", "token").agg(F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
     scored = (tf.join(df, ["project", "token"]).join(n, "project")
               .withColumn("score", F.col("tf") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)))
@@ -119,10 +120,14 @@ def item_connections_from_sections(sections: DataFrame, tag: str = "codes", dist
 
 def theme_frequency(items: DataFrame) -> DataFrame:
     """Per ``(project, tag, item)``: occurrences, interviews containing it, and
-    their share of the project's interviews that have sections."""
-    totals = items.groupBy("project").agg(F.count_distinct("interview").alias("_n"))
-    per = (items.groupBy("project", "tag", "item")
-           .agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("interview").alias("interviews")))
+    their share of the project's interviews that have at least one item.
+
+    The items are counted once per interview; both counts come from that table
+    (``_c`` is read in both branches, so its exchange is shared)."""
+    once = items.groupBy("project", "interview", "tag", "item").agg(F.count(F.lit(1)).alias("_c"))
+    totals = once.groupBy("project").agg(F.count_distinct(F.when(F.col("_c") > 0, F.col("interview"))).alias("_n"))
+    per = (once.groupBy("project", "tag", "item")
+           .agg(F.sum("_c").alias("occurrences"), F.count(F.lit(1)).alias("interviews")))
     return (per.join(totals, "project")
             .select("project", "tag", "item", "occurrences", "interviews",
                     F.round(F.col("interviews") / F.col("_n"), 6).alias("share")))
@@ -134,12 +139,16 @@ def section_rollup(sections: DataFrame, budget_chars: int = 1_000_000) -> DataFr
     offset), with the number of sections and characters per chunk.
 
     A section tag that a third of all interviews share is still spread over
-    many chunks and tasks; no group exceeds the budget plus one section.
+    many chunks and tasks; no group exceeds the budget plus one section.  Only
+    keys and lengths are range-partitioned for the offsets; the texts join them
+    by ``(project, interview, ord)``, which names one section.
     """
-    sized = (sections.withColumn("processed", T.normalise_lines("content"))
-             .withColumn("_len", F.length("processed").cast("bigint")))
-    cum = running_total(sized, ["project", "tag"], ["interview", "ord"], "_len", name="_end")
-    chunked = cum.withColumn("chunk_no", F.floor((F.col("_end") - F.col("_len")) / F.lit(budget_chars)) + 1)
+    sized = sections.select("project", "tag", "interview", "ord", T.normalise_lines("content").alias("processed"))
+    lengths = sized.select("project", "tag", "interview", "ord", F.length("processed").cast("bigint").alias("_len"))
+    cum = running_total(lengths, ["project", "tag"], ["interview", "ord"], "_len", name="_end")
+    chunk_of = cum.select("project", "interview", "ord", "_len",
+                          (F.floor((F.col("_end") - F.col("_len")) / F.lit(budget_chars)) + 1).alias("chunk_no"))
+    chunked = sized.join(chunk_of, ["project", "interview", "ord"])
     return (chunked.groupBy("project", "tag", "chunk_no")
             .agg(F.count(F.lit(1)).alias("sections"), F.sum("_len").alias("chars"),
                  F.expr("listagg(processed, '\\n') within group (order by interview, ord)").alias("text")))
@@ -150,7 +159,7 @@ def section_rollup(sections: DataFrame, budget_chars: int = 1_000_000) -> DataFr
 # ---------------------------------------------------------------------------
 
 def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    return spread(docs).withColumn(text, T.clean_text(text))
+    return docs.withColumn(text, T.clean_text(text))
 
 
 def anonymise_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -162,7 +171,7 @@ def anonymise_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     none of them); elsewhere the count is 0 and the text is unchanged.
     """
     guards = {}
-    out = spread(docs)
+    out = docs
     for kind, _, _, chars in T.PII_PATTERNS:
         if chars not in guards:
             guards[chars] = f"_g{len(guards)}"
@@ -179,15 +188,26 @@ def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", max_ch
     """Lines grouped into blocks: a line's offset is the length of the earlier
     lines plus one per line break; ``block_no = floor(offset / max_chars)``.
 
-    The window is per document (one input row), so its size is bounded by one text.
+    The blocks are built inside the row, line by line (``aggregate``), and then
+    exploded: no shuffle, and rows with the same key stay apart.  A null text has
+    no blocks; an empty one has one empty line.
     """
-    lines = docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    off = lines.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)))
-    return (off.withColumn("block_no", F.floor(F.col("offset") / max_chars))
-            .groupBy(key, "block_no")
-            .agg(F.expr("listagg(line, '\\n') within group (order by line_no)").alias("text"),
-                 F.count(F.lit(1)).alias("n_lines")))
+    block = "struct<block_no:bigint,text:string,n_lines:bigint>"
+    start = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit(None).cast(block).alias("open"),
+                     F.array().cast(f"array<{block}>").alias("done"))
+
+    def add(state, line):
+        no = F.floor(state["pos"] / max_chars).cast("bigint")
+        same = state["open"].isNotNull() & (state["open"]["block_no"] == no)
+        grown = F.struct(no.alias("block_no"),
+                         F.when(same, F.concat(state["open"]["text"], F.lit("\n"), line)).otherwise(line).alias("text"),
+                         F.when(same, state["open"]["n_lines"] + 1).otherwise(F.lit(1).cast("bigint")).alias("n_lines"))
+        done = F.when(same | state["open"].isNull(), state["done"]).otherwise(F.array_append(state["done"], state["open"]))
+        return F.struct((state["pos"] + F.length(line) + 1).cast("bigint").alias("pos"), grown.cast(block).alias("open"),
+                        done.cast(f"array<{block}>").alias("done"))
+
+    blocks = F.aggregate(F.split(text, "\n", -1), start, add, lambda s: F.array_append(s["done"], s["open"]))
+    return docs.select(key, F.explode(blocks).alias("_b")).select(key, "_b.block_no", "_b.text", "_b.n_lines")
 
 
 # ---------------------------------------------------------------------------
