@@ -185,17 +185,22 @@ def batch_score(requests: DataFrame, responder) -> DataFrame:
         F.col("response.error").alias("error"))
 
 
+def prompt_digest() -> F.Column:
+    return F.sha2(F.coalesce(F.col("prompt"), F.lit("")), 256)
+
+
 def answer_rows(scored: DataFrame, created: F.Column | None = None) -> DataFrame:
     """Successful responses as ``llm_answers`` rows (usage metadata projected out
     of the response).  ``id`` is a hash of the natural key and ``created``.
 
     ``prompt`` holds the plan step and a SHA-256 of the rendered prompt rather
     than the prompt itself (which repeats the whole interview once per step);
-    ``answer_full`` is the response as JSON.
+    ``answer_full`` is the response as JSON.  ``scored`` holds ``prompt`` or, where
+    it was already digested, ``prompt_hash``.
     """
     created = created if created is not None else F.current_timestamp().cast("timestamp_ntz")
-    prompt_ref = F.concat(F.col("analysis_type"), F.lit("/"), F.col("analysis_step").cast("string"), F.lit(":"),
-                          F.sha2(F.coalesce(F.col("prompt"), F.lit("")), 256))
+    digest = F.col("prompt_hash") if "prompt_hash" in scored.columns else prompt_digest()
+    prompt_ref = F.concat(F.col("analysis_type"), F.lit("/"), F.col("analysis_step").cast("string"), F.lit(":"), digest)
     ok = scored.where(F.col("error").isNull()).withColumn("created", created)
     id_cols = ["project", "interview", "analysis_type", "analysis_step", "created"]
     if "chunk_no" in scored.columns:
@@ -231,8 +236,9 @@ def chained_steps(interviews: DataFrame, responder, plan=S.QUESTION_PLAN,
     A failed request (responder error, or a missing step *n-1* where the plan
     needs it) ends that interview's remaining steps only: later steps
     ``left_anti`` the failed interviews.  Returns ``(answers, dead_letters)``;
-    ``answers`` holds ``project, interview, analysis_type, analysis_step, prompt,
-    temperature, content, model, input_tokens, output_tokens``.
+    ``answers`` holds ``project, interview, analysis_type, analysis_step, prompt_hash,
+    temperature, content, model, input_tokens, output_tokens``: the prompts, which repeat
+    the interview in every step, are digested before a step is written.
     """
     requests = scoring_requests(interviews, plan, analysis_type)
     answers = dead = failed = prev = None
@@ -241,20 +247,20 @@ def chained_steps(interviews: DataFrame, responder, plan=S.QUESTION_PLAN,
         if failed is not None:
             req = req.join(failed, ["project", "interview"], "left_anti")
         rendered = render_requests(req, prev)
+        broken = None
         if p["uses_previous"]:
-            broken = (rendered.where(F.col("previous_answers").isNull())
-                      .select("project", "interview", "analysis_step",
-                              F.lit("previous step missing").alias("error")))
+            broken = rendered.where(F.col("previous_answers").isNull())
             rendered = rendered.where(F.col("previous_answers").isNotNull())
-        else:
-            broken = None
-        scored = batch_score(rendered, responder)
+        scored = batch_score(rendered, responder).withColumn("prompt_hash", prompt_digest()).drop("prompt")
+        if broken is not None:  # written with the step, so later steps do not render it again
+            scored = scored.unionByName(
+                broken.select("project", "interview", "analysis_type", "analysis_step", "temperature",
+                              prompt_digest().alias("prompt_hash"), F.lit("previous step missing").alias("error")),
+                allowMissingColumns=True)
         if persist:
             scored = persist_table(scored, f"step-{analysis_type}-{p['analysis_step']}")
         ok = scored.where(F.col("error").isNull()).withColumn("content", F.coalesce("content", F.lit("")))
         bad = scored.where(F.col("error").isNotNull()).select("project", "interview", "analysis_step", "error")
-        if broken is not None:
-            bad = bad.unionByName(broken)
         dead = bad if dead is None else dead.unionByName(bad)
         failed = bad.select("project", "interview") if failed is None else \
             failed.unionByName(bad.select("project", "interview"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 
+from pyspark.sql import functions as F
 
 from fieldwork import schemas as S
 from fieldwork.operators import scoring as SC
@@ -35,12 +37,20 @@ def test_requests_cover_every_step_in_order(spark):
 
 
 def test_chain_passes_previous_answer(spark):
-    answers, dead = SC.chained_steps(_interviews(spark), SC.replay_responder(_recorded(spark)))
+    replay = SC.replay_responder(_recorded(spark))
+
+    def respond(requests):  # shows the prompt it was asked as the model's name
+        return replay(requests).withColumn("response", F.col("response").withField("model", F.col("prompt")))
+
+    answers, dead = SC.chained_steps(_interviews(spark), respond)
     rows = {(r["interview"], r["analysis_step"]): r for r in answers.collect()}
     assert len(rows) == 10 and dead.count() == 0
-    assert "ans 5/1" in rows[(5, 2)]["prompt"]
-    assert "ans 5/4" in rows[(5, 5)]["prompt"]
-    assert "ans 5/2" not in rows[(5, 3)]["prompt"]  # step 3 does not use the previous answer
+    assert "ans 5/1" in rows[(5, 2)]["model"]
+    assert "ans 5/4" in rows[(5, 5)]["model"]
+    assert "ans 5/2" not in rows[(5, 3)]["model"]  # step 3 does not use the previous answer
+    # the step tables hold a digest of the prompt, never the prompt
+    assert "prompt" not in answers.columns
+    assert all(r["prompt_hash"] == hashlib.sha256(r["model"].encode()).hexdigest() for r in rows.values())
 
 
 def test_hole_stops_only_that_interview(spark):
@@ -118,7 +128,6 @@ def test_pandas_responder_concurrency_keeps_rows(spark):
 
 
 def test_project_chunks_match_sql_across_range_pieces(spark):
-    from pyspark.sql import functions as F
 
     from conftest import SF_SMALL
     from fieldwork.operators import reports as R
