@@ -53,7 +53,7 @@ class Store:
 
 
 def ingest_stage(store: Store, raw_root: str, layout: str = "folders", suffix: str = ".txt") -> None:
-    """Register projects found in the files and append each file once."""
+    """Register projects found in the files and append each file once (known by project and path)."""
     spark = store.spark
     # the files are read and decoded once; registry, interviews and rejects use the staged table
     good, bad = FL.split_staged(SC.persist_table(FL.stage_files(FL.read_text_files(spark, raw_root, suffix, layout)), "ingest-staged"))
@@ -63,8 +63,8 @@ def ingest_stage(store: Store, raw_root: str, layout: str = "folders", suffix: s
     store.append(new_projects.select("project_id", "project_name"), "projects")
     registry = store.read("projects").groupBy("project_name").agg(F.min("project_id").alias("project"))
     fresh = (good.join(registry, "project_name")
-             .join(store.read("interviews").select("interview_id"), "interview_id", "left_anti")
-             .select("interview_id", "project", F.lit(None).cast("timestamp_ntz").alias("date"), "content"))
+             .join(store.read("interviews").select("project", "path"), ["project", "path"], "left_anti")
+             .select("interview_id", "project", F.lit(None).cast("timestamp_ntz").alias("date"), "content", "path"))
     store.append_valid(fresh, "interviews")
     known = store.read("rejects").select("source", "reason", "payload")
     store.append(bad.join(known, ["source", "reason", "payload"], "left_anti"), "rejects")

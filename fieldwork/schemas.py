@@ -191,6 +191,7 @@ INTERVIEWS_SCHEMA = T.StructType([
     T.StructField("project", T.LongType(), False),
     T.StructField("date", T.TimestampNTZType(), True),
     T.StructField("content", T.StringType(), False),
+    T.StructField("path", T.StringType(), True),  # of an ingested file, its identity
 ])
 
 ANSWERS_SCHEMA = T.StructType([

@@ -112,3 +112,31 @@ def test_append_rejects_bad_casts_and_unknown_projects_and_assigns_ids(spark, tm
 def test_project_interviews_are_distinct(spark):
     rows = spark.createDataFrame([(1, 5, "t"), (1, 5, "t"), (2, 5, "u")], "interview_id long, project long, content string")
     assert project_interviews(rows, 5).count() == 2
+
+
+def test_text_blocks_are_built_inside_the_row(spark):
+    from fieldwork.operators.insights import text_blocks
+    docs = spark.createDataFrame([(1, "ab\ncd\n\nefghij"), (1, "x"), (2, ""), (3, None)], "doc_id long, text string")
+    blocks = text_blocks(docs, max_chars=6)
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in blocks.collect()) == [
+        (1, 0, "ab\ncd", 2), (1, 0, "x", 1), (1, 1, "\nefghij", 2), (2, 0, "", 1)]
+
+
+def test_item_links_stay_linear_in_a_bucket_that_holds_everything(spark):
+    from fieldwork.operators.components import BANDS, candidate_links
+    nodes = spark.range(400).selectExpr("1 as project", "concat('common word', repeat('z', cast(id as int))) as item")
+    assert candidate_links(nodes, ["project"]).count() <= 400 * len(BANDS)
+
+
+def test_files_are_known_by_project_and_path(spark, tmp_dir):
+    raw = os.path.join(tmp_dir, "raw-paths")
+    os.makedirs(os.path.join(raw, "p"))
+    for name in ("a.txt", "b.txt"):
+        with open(os.path.join(raw, "p", name), "w") as f:
+            f.write("same words")
+    store = Store(spark, os.path.join(tmp_dir, "store-paths"))
+    for _ in range(2):
+        run_job(spark, store, raw, save_files=True)
+    paths = [r["path"] for r in store.read("interviews").collect()]
+    assert sorted(os.path.basename(p) for p in paths) == ["a.txt", "b.txt"]
