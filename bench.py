@@ -23,6 +23,7 @@ HEADLINE = {
     "R19_project_summary": "project_summary",
     "P02_keyword_topk": "keyword_topk",
     "P04_item_connections": "item_connections",
+    "P05_item_groups": "item_groups",
     "D02_anonymise": "anonymise",
 }
 
