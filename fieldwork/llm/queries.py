@@ -40,7 +40,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldwork.llm.lm_score import score
     docs = read_table(spark, sf_dir, "documents")
     good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    return score(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    return score(docs, good)
 
 
 @register("op3_language_id")

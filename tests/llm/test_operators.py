@@ -258,6 +258,38 @@ def test_lm_score(spark, odd_docs):
     assert score(frame(spark, []), spark.createDataFrame([], "text string")).count() == 0
 
 
+def test_lm_score_keeps_every_word(spark):
+    """More distinct words than any fixed vocabulary: each keeps its own counts."""
+    from fieldwork.llm import lm_score
+    rare = [f"r{i}" for i in range(70_000)]
+    texts = [" ".join(rare), " ".join(rare[60_000:]), "r69998 r69999", "r1 r69999 new", None]
+    target = ["r69998 r69999", "unseen r69998"]
+    old, lm_score.BATCH_BYTES = lm_score.BATCH_BYTES, 1000  # several batches
+    try:
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+        got = {r.doc_id: r for r in lm_score.score(docs, spark.createDataFrame([(t,) for t in target], "text string")).collect()}
+        kinds = len({w for t in texts for w in words(t, True)}) + 2
+        ce = []
+        for corpus in (target, texts):
+            uni, two = Counter(), Counter()
+            for t in corpus:
+                s = ["<s>", *words(t, True), "</s>"]
+                uni.update(s)
+                two.update(zip(s, s[1:]))
+            n = sum(uni.values()) - uni["<s>"]
+            ce.append([])
+            for t in texts:
+                s = ["<s>", *words(t, True), "</s>"]
+                ce[-1].append(-sum(math.log(0.7 * two[a, b] / max(uni[a], 1) + 0.3 * (uni[b] + 1) / (n + kinds)) for a, b in zip(s, s[1:])) / (len(s) - 1))
+        marked = {tuple(r) for r in lm_score.score(docs, spark.createDataFrame([(1,), (3,), (9,)], "doc_id long")).collect()}
+        same = {tuple(r) for r in lm_score.score(docs, docs.where("doc_id in (1, 3)").select("text")).collect()}
+    finally:
+        lm_score.BATCH_BYTES = old
+    assert marked == same and len(got) == len(marked) == len(texts)
+    for i in range(len(texts)):
+        assert got[i].ce_target == pytest.approx(ce[0][i], rel=1e-9) and got[i].ce_background == pytest.approx(ce[1][i], rel=1e-9)
+
+
 def test_language_id(spark):
     from fieldwork.llm.lang_id import predict, train
     from fieldwork.llm.queries import queries
