@@ -15,7 +15,8 @@ Target texts are given as a table, or as the ids of the documents that are targe
    corpora and answers every batch with the counts of the keys that it sent.
 3. Each batch meets its answers and adds up the losses of its documents.
 
-A batch sends a key once, so a frequent key has at most one entry a batch.
+A batch sends a key once, so a frequent key has at most one entry a batch.  The number of partitions follows the number of tokens
+(``PART_KEYS`` entries a partition at most, on average), so no partition grows with the input.
 Defined results: null or empty text: one token (the end mark).  Without target texts the target model is uniform over the
 vocabulary.  Repeated rows are scored alike and count as often as they occur.  Other columns are not read.  With ``size`` the
 vocabulary is the ``size`` most frequent background words (ties by hash), all others being the unknown word.
@@ -28,13 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwork.llm.common import _ROLL, ids_and_text, longs, mix, on_workers, text_slices, text_words, word_spans, written
 
 WEIGHT = 0.7
 BATCH_BYTES = 8 << 20
+PART_KEYS = 4_000_000
 UNKNOWN, START, END = mix(np.arange(1, 4, dtype=np.uint64))
 _BATCHES = "batch long, n_docs long, ids binary, nulls binary, sizes binary, offsets binary, data binary"
 _KEYS = "part int, batch long, keys binary, b binary, t binary"
@@ -130,6 +132,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["doc_id", "batch", "at", "n_words"])
 
 
+def part_count(spark: SparkSession, tokens: int) -> int:
+    """How many parts the keys of ``tokens`` tokens (two keys each at most) are dealt to."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * tokens // PART_KEYS))
+
+
 def _messages(batch: int | None, texts: pa.Array, vocab: np.ndarray | None, parts: int, target: np.ndarray | None) -> pa.Table:
     """A batch's keys with their counts in both corpora, one row a part; ``target``: which of its texts are targets."""
     keys, counts, row, pair, word, _ = _keys(texts, vocab)
@@ -190,7 +197,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         own = flags
     n_target = sum(own.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "n_docs")]).first())
     n_background = words + docs.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = part_count(spark, n_background + n_target)
 
     def send(with_batch: bool):
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

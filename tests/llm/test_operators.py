@@ -259,12 +259,13 @@ def test_lm_score(spark, odd_docs):
 
 
 def test_lm_score_keeps_every_word(spark):
-    """More distinct words than any fixed vocabulary: each keeps its own counts."""
+    """More distinct words than any fixed vocabulary: each keeps its own counts, in as many parts as the tokens ask for."""
     from fieldwork.llm import lm_score
     rare = [f"r{i}" for i in range(70_000)]
     texts = [" ".join(rare), " ".join(rare[60_000:]), "r69998 r69999", "r1 r69999 new", None]
     target = ["r69998 r69999", "unseen r69998"]
-    old, lm_score.BATCH_BYTES = lm_score.BATCH_BYTES, 1000  # several batches
+    old = lm_score.PART_KEYS, lm_score.BATCH_BYTES
+    lm_score.PART_KEYS, lm_score.BATCH_BYTES = 9_000, 1000  # many parts, several batches
     try:
         docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
         got = {r.doc_id: r for r in lm_score.score(docs, spark.createDataFrame([(t,) for t in target], "text string")).collect()}
@@ -284,7 +285,8 @@ def test_lm_score_keeps_every_word(spark):
         marked = {tuple(r) for r in lm_score.score(docs, spark.createDataFrame([(1,), (3,), (9,)], "doc_id long")).collect()}
         same = {tuple(r) for r in lm_score.score(docs, docs.where("doc_id in (1, 3)").select("text")).collect()}
     finally:
-        lm_score.BATCH_BYTES = old
+        lm_score.PART_KEYS, lm_score.BATCH_BYTES = old
+    assert lm_score.part_count(spark, 10**10) == 5000 and lm_score.part_count(spark, 10) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert marked == same and len(got) == len(marked) == len(texts)
     for i in range(len(texts)):
         assert got[i].ce_target == pytest.approx(ce[0][i], rel=1e-9) and got[i].ce_background == pytest.approx(ce[1][i], rel=1e-9)
