@@ -49,8 +49,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of at most 2048 tokens."""
-    return pack(docs, seq_len=2048, with_ids=False)
+    """Pack what is left into sequences of at most 2048 tokens; each row holds its ids."""
+    return pack(docs, seq_len=2048)
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", one_per_class), ("substring_dedup", cut_repeats),

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwork.llm.common import ids_and_text, on_workers
@@ -76,3 +76,27 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, vocab: str = WORD_VOCAB, end_i
 def write_buckets(packed: DataFrame, path: str) -> None:
     """One folder per sequence length, ready for fixed-shape batches."""
     packed.write.partitionBy("length").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_buckets`` wrote, ids included."""
+    return spark.read.schema("doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids array<int>, "
+                             "sequence_id long, offset long").parquet(path)
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """The pieces without their ids; ``length`` and ``ids_crc32`` are taken from the ids, not from what was noted beside them."""
+    cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1)
+            ends = ids.offsets.to_numpy().tolist()
+            raw = memoryview(np.ascontiguousarray(ids.values.to_numpy().astype("<u4"))).cast("B")
+            out = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            out["length"] = pa.array(np.diff(ends).astype(np.int64))
+            out["ids_crc32"] = pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(ends, ends[1:])], pa.int64())
+            yield pa.RecordBatch.from_arrays([out[c] for c in cols], names=cols)
+
+    kept = packed.select("doc_id", "start", "doc_tokens", "sequence_id", "offset", "ids")
+    return kept.mapInArrow(run, ", ".join(f"{c} long" for c in cols))

@@ -62,9 +62,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldwork.llm.packing import pack
-    return pack(read_table(spark, sf_dir, "documents"), seq_len=2048, with_ids=False).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    from fieldwork.llm.packing import digests, pack, read_buckets, write_buckets
+    path = scratch_path(spark, "packed")
+    write_buckets(pack(read_table(spark, sf_dir, "documents"), seq_len=2048), path)
+    return digests(read_buckets(spark, path))
 
 
 @register("op6_token_store")

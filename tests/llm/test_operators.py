@@ -348,6 +348,26 @@ def test_nearest(spark):
     assert nearest(df.where("false")).count() == 0 and nearest(df.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_pipeline_and_op5_hold_the_sequences(spark):
+    import glob
+
+    import corpus_pipeline as P
+    from fieldwork.llm.queries import queries
+    from fieldwork.llm.packing import read_buckets
+    from fieldwork.session import ensure_checkpoint_dir, local_path
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = P.pack_documents(spark, docs, SF).collect()
+    assert rows and all(len(r.ids) == r.length and r.ids_crc32 == crc(r.ids) for r in rows)
+    before = set(glob.glob(f"{local_path(ensure_checkpoint_dir(spark))}/fieldwork-scratch/packed-*"))
+    got = queries()["op5_packing"](spark, SF)
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    new, = set(glob.glob(f"{local_path(ensure_checkpoint_dir(spark))}/fieldwork-scratch/packed-*")) - before
+    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.sequence_id, r.offset)
+    assert sorted(map(key, got.collect())) == sorted(map(key, rows))
+    assert sorted((r.sequence_id, crc(r.ids)) for r in read_buckets(spark, new).collect()) == sorted((r.sequence_id, r.ids_crc32) for r in rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
     docs = spark.read.parquet(f"{SF}/documents.parquet")
