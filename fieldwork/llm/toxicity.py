@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from fieldwork.llm.common import _BYTE, _LOWER, _R, longs, mix, on_workers, powers, text_slices, word_spans, written
 
 CHAIN = ("unsafe", "toxic", "toxic_prose")
-MAX_ROWS = 12_000
+MAX_ROWS = 16_000
 MAX_FEATURES = 768
 FOLDS = 5
 HEADS = (4, 5, 6, 7, 8, 10)
@@ -140,21 +140,23 @@ def feature_rows(col: pa.Array, features: np.ndarray) -> Iterator[tuple[int, int
         yield i, j, row[order], at[order], value[order]
 
 
-def _fit(x: np.ndarray, y: np.ndarray, l2: float = 3.0, steps: int = 120) -> np.ndarray:
-    """L2-regularised logistic regression by accelerated gradient descent; the last weight is the bias."""
+def _fit(x: np.ndarray, y: np.ndarray, use: np.ndarray, l2: float = 3.0, steps: int = 120) -> np.ndarray:
+    """L2-regularised logistic regression by accelerated gradient descent; the last weight is the bias.
+    ``use`` is 1 for the rows to fit on and 0 for the others, so that no part of ``x`` is copied."""
     v = np.ones(x.shape[1], np.float32)
     for _ in range(8):  # largest eigenvalue of x'x
-        v = x.T @ (x @ v)
+        v = x.T @ ((x @ v) * use)
         top = float(np.linalg.norm(v))
         v /= top or 1.0
-    step = 1.0 / ((top + len(x)) / 4 + l2)  # the bias column adds its length at most
-    rate = float(y.mean())
+    n = float(use.sum())
+    step = 1.0 / ((top + n) / 4 + l2)  # the bias column adds its length at most
+    rate = float((y * use).sum()) / n
     w, old = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
     w[-1] = old[-1] = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
     grad = np.empty_like(w)
     for t in range(steps):
         z = w + (w - old) * np.float32(t / (t + 3))
-        miss = _prob(x, z) - y
+        miss = (_prob(x, z) - y) * use
         grad[:-1] = x.T @ miss + np.float32(l2) * z[:-1]
         grad[-1] = miss.sum()
         old, w = w, z - np.float32(step) * grad
@@ -179,8 +181,8 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> dict:
             oof = np.zeros(len(x), np.float32)
             for f in np.unique(fold):
                 out = fold == f
-                oof[out] = _prob(xc[out], _fit(xc[~out], yc[~out])) if 0 < yc[~out].sum() < (~out).sum() else yc.mean()
-            w = _fit(xc, yc)
+                oof[out] = _prob(xc, _fit(xc, yc, (~out).astype(np.float32)))[out] if 0 < yc[~out].sum() < (~out).sum() else yc.mean()
+            w = _fit(xc, yc, np.ones(len(x), np.float32))
             if CHAIN[c] == "toxic":
                 order = np.argsort(-oof, kind="stable")
                 hits = np.cumsum(yc[order])
@@ -218,10 +220,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
         if tables:
             t = pa.Table.from_batches(tables).sort_by("doc_id")
             x = np.zeros((t.num_rows, 2 * len(features) + len(CHAIN)), np.float32)
-            at, value = t.column("at").combine_chunks(), t.column("value").combine_chunks()
-            row = np.repeat(np.arange(t.num_rows), at.value_lengths().to_numpy())
-            x[row, at.flatten().to_numpy()] = value.flatten().to_numpy()
             y, fold = np.array(t.column("y").to_pylist()), t.column("fold").to_numpy()
+            for a in range(0, t.num_rows, 1000):
+                at, value = (t.column(c).slice(a, 1000).combine_chunks() for c in ("at", "value"))
+                row = np.repeat(np.arange(a, a + len(at)), at.value_lengths().to_numpy())
+                x[row, at.flatten().to_numpy()] = value.flatten().to_numpy()
             del t, at, value, row, tables
             model = fit_chain(x, y, fold)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])

@@ -322,6 +322,12 @@ def test_toxicity(spark):
     assert score(odd.where("false"), model).count() == 0
 
 
+def test_toxicity_sample_bound(spark):
+    from fieldwork.llm.toxicity import MAX_ROWS, labelled_sample
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'a b' as text")
+    assert labelled_sample(docs, docs.selectExpr("doc_id", "doc_id % 9 = 0 as toxic", "1 as quality"), MAX_ROWS).count() == 16_000
+
+
 def test_nearest(spark):
     from fieldwork.llm.ann import nearest
     rng = np.random.default_rng(5)
