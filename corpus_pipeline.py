@@ -28,11 +28,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest document of each class of near duplicates (rows without doc_id stay)."""
-    classes = jaccard_classes(docs, k=5, num=8, den=10)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    rows = docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """Keep the smallest document of each class of near duplicates; rows without doc_id or without words all stay.
+
+    A document is a (doc_id, text): different texts under one doc_id are judged one by one, equal ones are one document."""
+    judged = F.coalesce(docs["doc_id"].isNotNull() & docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(judged).select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.struct("*").alias("row"))
+    classes = jaccard_classes(rows.select("key", F.col("row.text").alias("text")), k=5, num=8, den=10, id_col="key")
+    ids = rows.select("key", F.col("row.doc_id").cast("long").alias("id")).distinct()
+    kept = classes.select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids, "key") \
+        .groupBy("component_id").agg(F.min(F.struct("id", "key"))["key"].alias("key")).select("key")
+    one = rows.join(kept, "key", "left_semi").dropDuplicates(["key"])
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(~judged))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

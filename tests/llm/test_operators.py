@@ -374,6 +374,31 @@ def test_pipeline_and_op5_hold_the_sequences(spark):
     assert sorted((r.sequence_id, crc(r.ids)) for r in read_buckets(spark, new).collect()) == sorted((r.sequence_id, r.ids_crc32) for r in rows)
 
 
+def test_one_per_class_judges_rows(spark):
+    """Repeated ids with different texts, null ids, texts without words: against brute force."""
+    import corpus_pipeline as P
+    rnd = random.Random(3)
+    base = [[f"{p}{rnd.randrange(900)}" for _ in range(80)] for p in "abc"]
+    near = [" ".join([*b[:-1], "zz"]) for b in base]
+    a, b, c = (" ".join(x) for x in base)
+    rows = [(3, a), (5, near[0]), (5, b), (9, near[1]), (7, c), (7, c), (8, near[2]), (8, near[2]), (4, near[2]), (None, a), (None, a),
+            (None, None), (None, None), (None, ""), (20, ""), (20, ""), (21, None), (21, None), (22, " \t"), (30, "short"), (31, "SHORT")]
+    want = Counter((i, t) for i, t in rows if i is None or not words(t))
+    own = sorted({(i, t) for i, t in rows if i is not None and words(t)})
+    sets = [frozenset(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) for w in (words(t, True) for _, t in own)]
+    up = list(range(len(own)))
+    for _ in own:
+        for x, s in enumerate(sets):
+            for y, t in enumerate(sets):
+                if 10 * len(s & t) >= 8 * len(s | t):
+                    up[x] = up[y] = min(up[x], up[y])
+    want.update(own[x] for x in range(len(own)) if up[x] == x)
+    docs = spark.createDataFrame([(i, t, "k", "r") for i, t in rows], "doc_id long, text string, key string, row string").repartition(3)
+    got = P.one_per_class(spark, docs, SF)
+    assert got.columns == docs.columns and Counter((r.doc_id, r.text) for r in got.collect()) == want
+    assert want[(5, b)] == 1 and want[(None, None)] == 2 and P.one_per_class(spark, docs.where("false"), SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
     docs = spark.read.parquet(f"{SF}/documents.parquet")
