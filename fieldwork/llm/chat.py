@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprint, with DataFrame functions only.
 
 A table's fingerprint is a hash of its nested field paths (names and nesting, without types).  It selects a declarative mapping from
-``LAYOUTS``; tables that only have extra columns match the layout whose paths they contain (the one with most
-paths).  Every layout becomes canonical turns ``(conv_id, turn, role, text)``, one row per turn.
+``LAYOUTS``; tables that have other columns match every layout whose paths they contain, and each row takes the first of these
+(those with more paths first) whose columns it all fills, or else the first of which it fills any.  Every layout becomes canonical turns ``(conv_id, turn, role, text)``, one row per turn.
 
 Format of a conversation: per turn ``<|im_start|>{role}\\n{text}<|im_end|>\\n``.  Inside texts a backslash is
 doubled and then ``<|`` becomes ``<\\|``, so no control string can occur in a text; both
@@ -16,6 +16,7 @@ form the conversation null.  Empty arrays or tables: no turns, no rows.  Clashin
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass
 
@@ -80,14 +81,36 @@ LAYOUTS = (
 _BY_PRINT = {fingerprint(list(x.paths)): x for x in LAYOUTS}
 
 
-def layout_of(schema: T.StructType) -> Layout:
+def layouts_of(schema: T.StructType) -> list[Layout]:
+    """All layouts that a table may hold, those with more paths first."""
     paths = field_paths(schema)
     if (exact := _BY_PRINT.get(fingerprint(paths))) is not None:
-        return exact
+        return [exact]
     inside = [x for x in LAYOUTS if set(x.paths) <= set(paths)]
     if not inside:
         raise ValueError(f"no layout for the fields {paths}")
-    return max(inside, key=lambda x: len(x.paths))
+    return sorted(inside, key=lambda x: -len(x.paths))
+
+
+def _filled(layout: Layout) -> list[Column]:
+    """For each column of a layout: whether a row has something in it."""
+    if layout.messages:
+        return [F.coalesce(F.size(layout.messages[0]) > 0, F.lit(False))]
+    cols = layout.rows[1:] if layout.rows else [c for _, cs in layout.parts for c in cs]
+    return [F.coalesce(F.col(c).cast("string") != "", F.lit(False)) for c in cols]
+
+
+def _mixed_turns(df: DataFrame, layouts: list[Layout]) -> DataFrame:
+    """Each row in its own layout; no row is in two."""
+    full = [functools.reduce(lambda a, b: a & b, _filled(x)) for x in layouts]
+    some = [functools.reduce(lambda a, b: a | b, _filled(x)) for x in layouts]
+    bare = [(no, F.col((x.rows or x.messages)[0]).isNotNull()) for no, x in enumerate(layouts) if x.rows or x.messages]  # empty arrays, empty turns
+    which = F.lit(0)
+    for no, held in reversed([*enumerate(full), *enumerate(some), *bare]):
+        which = F.when(held, no).otherwise(which)
+    rows = df.select(which.alias("_which"), F.struct("*").alias("_row"))
+    parts = [_turns(rows.where(F.col("_which") == no).select("_row.*"), x) for no, x in enumerate(layouts)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _role(col: Column, layout: Layout) -> Column:
@@ -98,7 +121,11 @@ def _role(col: Column, layout: Layout) -> Column:
 
 def canonical_turns(df: DataFrame) -> DataFrame:
     """``(conv_id, turn, role, text)`` of a table in any known layout."""
-    layout = layout_of(df.schema)
+    layouts = layouts_of(df.schema)
+    return _turns(df, layouts[0]) if len(layouts) == 1 else _mixed_turns(df, layouts)
+
+
+def _turns(df: DataFrame, layout: Layout) -> DataFrame:
     conv = F.col("conv_id").cast("long").alias("conv_id")
     if layout.rows:
         turn, role, text = layout.rows

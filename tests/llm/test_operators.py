@@ -197,6 +197,19 @@ def test_chat_layouts_and_escapes(spark):
     assert format_conversations(canonical_turns(turns.where("false"))).count() == 0
 
 
+def test_chat_mixed_table(spark):
+    from fieldwork.llm.chat import canonical_turns
+    rows = [(1, [("user", "q"), ("assistant", "a")], None, None, None), (2, None, "p", "c", None), (3, [], "p3", "c3", None),
+            (4, None, "p4", "c4", "s4"), (5, None, "p5", None, None), (6, [("user", "only")], None, "", None), (7, [], None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, messages array<struct<role string, content string>>, prompt string, completion string, system string")
+    got = {}
+    for r in canonical_turns(df).orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {
+        1: [("user", "q"), ("assistant", "a")], 2: [("user", "p"), ("assistant", "c")], 3: [("user", "p3"), ("assistant", "c3")],
+        4: [("system", "s4"), ("user", "p4"), ("assistant", "c4")], 5: [("user", "p5"), ("assistant", "")], 6: [("user", "only")]}
+
+
 def test_contaminated(spark, odd_docs):
     from fieldwork.llm.decontam import clean_documents, contaminated
     base = words(next(t for i, t, *_ in odd_docs if i == 8))
