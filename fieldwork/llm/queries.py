@@ -139,6 +139,73 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def _cluster_sql(k: int, rounds: int, dims: int, seed: str) -> str:
+    """The rounds as a chain of tables: ``c<i>`` holds centroids, ``a<i>`` each vector's nearest one."""
+    steps = [f"""v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as x from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims})""",
+             f"""c0 as materialized (
+  select row_number() over (order by sha256('{seed}' || vec_id) nulls last, x) - 1 as c, x as p from v
+  order by sha256('{seed}' || vec_id) nulls last, x limit {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (
+  select r, vec_id, any_value(x) as x, min({{'d': d, 'c': c}}) as m from (
+    select r, vec_id, x, c, list_sum(list_transform(range(1, {dims + 1}), lambda j: (x[j] - p[j]) * (x[j] - p[j])))::bigint as d from v, c{i})
+  group by r, vec_id)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} as materialized (
+  with s as (select c, j, sum(e)::hugeint as s, count(*)::hugeint as n
+             from (select m.c as c, unnest(range(1, {dims + 1})) as j, unnest(x) as e from a{i}) group by c, j),
+  n as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as p from s group by c)
+  select c{i}.c, coalesce(n.p, c{i}.p) as p from c{i} left join n using (c))""")
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, m.c::int as cluster, m.d as distance, (sum(m.d) over (partition by m.c))::bigint as cluster_inertia,
+       (sum(m.d) over ())::bigint as inertia, sha256(array_to_string(p, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on m.c = c"""
+
+
+@register("op11_zone_clusters", _cluster_sql(8, 10, 64, "3:"))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldwork.llm.zone_clusters import cluster
+    return cluster(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, seed="3:")
+
+
+@register("op12_simhash_trie")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldwork.llm.simhash_trie import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, budget=2, seed=42)
+
+
+@register("op13_resampling", r"""
+with tab as (select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+                 lambda a, i: if(a & 1 = 1, xor(a >> 1, 3988292384), a >> 1))) as t),
+d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents),
+dw as materialized (select r, unnest(w) as w from d),
+bw as materialized (select unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[0-9a-z\x{80}-\x{10FFFF}]+')) as w from benchmark),
+h as materialized (select w, list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::bigint) as bytes
+      from (select w, hex(encode(w)) as x from (select w from dw union select w from bw))),
+code as materialized (select w, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295) % 10000 as b
+      from h, tab),
+s as (select b, count(*) as s from dw join code using (w) group by b), t as (select b, count(*) as t from bw join code using (w) group by b),
+total as (select (select coalesce(sum(s), 0) from s)::double as s, (select coalesce(sum(t), 0) from t)::double as t),
+gain as materialized (select b, floor(1000 * ln((coalesce(t.t, 0) + 1)::double * (total.s + 10000) / ((s.s + 1)::double * (total.t + 10000))))::bigint as g
+      from s left join t using (b), total),
+f as (select r, sum(g)::bigint as weight from dw join code using (w) join gain using (b) group by r),
+scored as materialized (select doc_id, coalesce(len(w), 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+      coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+      from d left join f using (r)),
+n as (select *, count(*) filter (n_features >= 20 and score is not null) over () as n,
+             row_number() over (partition by n_features >= 20 and score is not null order by score desc, doc_id, n_features) as place from scored)
+select doc_id, n_features, weight, score,
+       case when n_features >= 20 and score is not null and place <= 10 * n // 100 then place end as rank from n
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldwork.llm.resampling import resample
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=10, seed="2024:")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
