@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldwork import schemas as S
 from fieldwork.operators.numbering import sequence_number
+from fieldwork.session import scratch_path
 
 _WS_CHARS = S.whitespace_chars()
 
@@ -42,8 +43,8 @@ def validate_rows(rows: DataFrame, table_name: str, projects: DataFrame | None =
     schema, strings stripped, defaults filled) and rejects with a reason.
 
     Columns missing from ``rows`` count as NULL; a value that cannot be cast is a
-    reject ("<column> invalid").  A missing key (the table's first column) is
-    assigned: a hash of the row.  With ``projects`` given, a row whose project is not registered is
+    reject ("<column> invalid").  A missing key (the table's first column) stays NULL until the append
+    assigns it (``with_new_keys``).  With ``projects`` given, a row whose project is not registered is
     rejected.  One bad row never stops the others; rejects keep the row as it came.
     """
     rules = TABLE_RULES[table_name]
@@ -61,9 +62,6 @@ def validate_rows(rows: DataFrame, table_name: str, projects: DataFrame | None =
         if f.name == "created":
             c = F.coalesce(c, F.current_timestamp().cast("timestamp_ntz"))
         cols.append(c.alias(f.name))
-    key = schema.fields[0]
-    if isinstance(key.dataType, T.LongType):
-        cols[0] = F.coalesce(cols[0], F.xxhash64(*[F.col(c) for c in rows.columns])).alias(key.name)
     raw_row = F.to_json(F.struct(*[F.col(c) for c in rows.columns])).alias("_raw")
     staged = rows.select(*cols, raw_row, reason.alias("_reason"))
     reason = F.when(F.col("_reason").isNotNull(), F.col("_reason"))
@@ -84,10 +82,45 @@ def validate_rows(rows: DataFrame, table_name: str, projects: DataFrame | None =
     return valid, rejects
 
 
+def with_new_keys(rows: DataFrame, key: str, top: int, order: list[str] | None = None) -> tuple[DataFrame, int]:
+    """Give every row without ``key`` a number above ``top`` and above all keys the rows bring; return the rows and the new top.
+
+    Numbers are consecutive, so equal rows get different ones, and a caller that keeps the top never
+    gives one out twice.  With ``order`` they follow it (one range shuffle), so the same rows get the same numbers again.
+
+    The rows are written once to the scratch folder; a row's number is its place in its file plus the
+    rows of the files before, so no text is shuffled for it.  The offsets are a table of one row a file.
+    """
+    spark = rows.sparkSession
+    new = rows.where(F.col(key).isNull())
+    if order:
+        new = new.repartitionByRange(*order).sortWithinPartitions(*order)
+    path = scratch_path(spark, f"new-{key}")
+    new.write.parquet(path)
+    brought = rows.where(F.col(key).isNotNull())
+    top = max(top, brought.agg(F.max(key)).first()[0] or 0)  # one scalar
+    placed = spark.read.schema(rows.schema).parquet(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    part = F.regexp_extract("_file", r"/part-(\d+)", 1).cast("int")
+    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", part)
+    before = Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = placed.join(offsets, "_file").withColumn(key, F.lit(top) + F.col("_before") + F.col("_row") + 1)
+    count = sizes.agg(F.sum("_n")).first()[0] or 0  # one scalar
+    return brought.unionByName(numbered.select(*rows.columns)), top + count
+
+
 def validated_append(rows: DataFrame, table_name: str, path: str, projects: DataFrame | None = None) -> DataFrame:
-    """Append the valid rows to the table at ``path``; return the rejects."""
+    """Append the valid rows to the table at ``path``, with keys above those it holds; return the rejects.
+
+    One writer at a time.  ``plans.job.Store`` commits the tables of a run together instead."""
+    from fieldwork.operators.scoring import read_if_written
     valid, rejects = validate_rows(rows, table_name, projects)
-    valid.write.mode("append").parquet(path)
+    schema = TABLE_RULES[table_name]["schema"]
+    key = schema.fields[0].name
+    held = read_if_written(rows.sparkSession, path, schema)
+    top = held.agg(F.max(key)).first()[0] if held is not None else None  # one scalar
+    with_new_keys(valid, key, top or 0)[0].write.mode("append").parquet(path)
     return rejects
 
 

@@ -417,10 +417,71 @@ def q_project_score(spark, sf_dir):
                                                  F.col("report_block").alias("text"))
     latest_p = L.latest_answers(answers, "project")
     return (SC.project_score(blocks, SC.replay_responder(latest_p), budget_chars=PROJECT_BUDGET_CHARS)
-            .select("project", "chunk_no", "analysis_step", "input_chars", "content", "model",
+            .where("level = 0").select("project", "chunk_no", "analysis_step", "input_chars", "content", "model",
                     "input_tokens", "output_tokens", "error"))
 
 
+TREE_BUDGET_CHARS = 3_000
+TREE_LEVELS = 12
+_TREE_MARK = "№ "
+
+
+def _naming_responder(requests):
+    """Answers that depend on the whole prompt: the interview numbers it holds, each once, and digests of it as a long keyword list."""
+    seen = F.array_sort(F.array_distinct(F.transform(
+        F.regexp_extract_all("prompt", F.lit(_TREE_MARK + r"(\d+)"), F.lit(1)), lambda n: n.cast("bigint"))))
+    named = F.array_join(F.transform(seen, lambda n: F.concat(F.lit(_TREE_MARK), n.cast("string"))), " ")
+    content = F.concat(F.lit("<results>"), named, F.lit("</results>\n<keywords>"),
+                       F.repeat(F.sha2(F.col("prompt").cast("binary"), 256), F.lit(16)), F.lit("</keywords>"))
+    return requests.withColumn("response", F.struct(
+        content.alias("content"), F.lit("namer").alias("model"), F.length("prompt").alias("input_tokens"),
+        F.length(content).alias("output_tokens"), F.lit(None).cast("string").alias("error")))
+
+
+def _tree_sql() -> str:
+    """The levels one after the other: ``t<i>`` are chunks, ``a<i>`` their answers (a chunk of one answer is not asked again)."""
+    seen = f"list_sort(list_distinct(list_transform(regexp_extract_all(prompt, '{_TREE_MARK}(\\d+)', 1), lambda n: n::bigint)))"
+    answer = (f"'<results>' || array_to_string(list_transform({seen}, lambda n: '{_TREE_MARK}' || n), ' ') || '</results>' || chr(10)"
+              " || '<keywords>' || repeat(sha256(prompt), 16) || '</keywords>'")
+    prompt = Q.prompt([p for p in S.QUESTION_PLAN if p["analysis_type"] == "project"][0]["text_template"] + S.LANGUAGE_SUFFIX, "content", "null")
+    ctes = [f"""t0 as materialized (
+  select project, chunk_no, string_agg(report_block, '' order by report_no) as content, 2 as members
+  from (select project, report_no, report_block, cast(floor((e - length(report_block)) / {TREE_BUDGET_CHARS}) + 1 as bigint) as chunk_no
+        from (select *, sum(length(report_block)) over (partition by project order by report_no
+                                                        rows between unbounded preceding and current row) as e from report))
+  group by project, chunk_no)"""]
+    for i in range(TREE_LEVELS):
+        ctes.append(f"""a{i} as materialized (
+  select project, chunk_no, members > 1 as asked, length(prompt) as n_in,
+         case when members > 1 then {answer} else content end as content
+  from (select *, {prompt} as prompt from t{i})),
+t{i + 1} as materialized (
+  select project, chunk_no, string_agg(content, chr(10) order by prior) as content, count(*) as members
+  from (select project, prior, content, cast(floor(min(e - length(content)) over (partition by project, (pos + 1) // 2) / {TREE_BUDGET_CHARS}) + 1
+                                             as bigint) as chunk_no
+        from (select project, chunk_no as prior, content, row_number() over (partition by project order by chunk_no) as pos,
+                     count(*) over (partition by project) as n,
+                     sum(length(content)) over (partition by project order by chunk_no rows between unbounded preceding and current row) as e
+              from a{i}) where n > 1)
+  group by project, chunk_no)""")
+    rows = " union all ".join(f"select project, {i} as level, n_in, content from a{i} where asked" for i in range(TREE_LEVELS))
+    return f"""
+with {_REPORT_CTES}, {", ".join(ctes)}, calls as ({rows})
+select project, arg_max(content, level) as content, cast(sum(n_in) as integer) as input_tokens, count(*) as calls,
+       cast(max(level) + 1 as integer) as levels from calls group by project
+"""
+
+
+@register("project_score_tree", _tree_sql())
+def q_project_score_tree(spark, sf_dir):
+    """Reports far above the budget: the last answer names every interview of its project."""
+    from fieldwork.operators import scoring as SC
+    blocks = R.interviews_report(_answers(spark, sf_dir)).select(
+        "project", F.col("report_no").alias("block_no"), F.col("report_block").alias("text"))
+    calls = SC.project_score(blocks, _naming_responder, budget_chars=TREE_BUDGET_CHARS)
+    return SC.project_answers(calls).select("project", "content", "input_tokens", "calls", "levels")
+
+
 # ---------------------------------------------------------------------------
 # 2.1 sources, sinks, table access / 2.2 lookups
 # ---------------------------------------------------------------------------

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwork import schemas as S
+from fieldwork.operators.numbering import sequence_number
+from fieldwork.operators.scoring import persist_table
 
 _WS_CHARS = S.whitespace_chars()
 
@@ -45,12 +47,6 @@ def normalise_file_text(raw) -> F.Column:
     return F.btrim(text, F.lit(_WS_CHARS))
 
 
-def split_ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid interviews ``(interview_id, project_name, path, content)`` and
-    rejects ``(source, reason, payload)``; one bad file never stops the others."""
-    return split_staged(stage_files(files))
-
-
 def stage_files(files: DataFrame) -> DataFrame:
     """``(path, project_name, content, reason)``; ``reason`` is null for a valid file."""
     staged = files.select("path", "project_name", normalise_file_text("raw").alias("content"))
@@ -60,18 +56,30 @@ def stage_files(files: DataFrame) -> DataFrame:
 
 
 def split_staged(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The valid interviews and the rejects of staged files."""
-    good = (staged.where(F.col("reason").isNull())
-            .select(F.xxhash64("project_name", "path").alias("interview_id"), "project_name", "path", "content"))
+    """The valid interviews ``(project_name, path, content)``, without ids, and the rejects ``(source, reason, payload)`` of staged files."""
+    good = staged.where(F.col("reason").isNull()).select("project_name", "path", "content")
     bad = staged.where(F.col("reason").isNotNull()).select(
         F.lit("interviews").alias("source"), "reason", F.col("path").alias("payload"))
     return good, bad
 
 
+def split_ingest(files: DataFrame, top: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Valid interviews ``(interview_id, project_name, path, content)`` and
+    rejects ``(source, reason, payload)``; one bad file never stops the others.
+
+    Files are read once and staged in the scratch folder.  Ids are the numbers above ``top`` in the order of
+    ``(project_name, path)``, which names one file; only these keys are range-partitioned.
+    """
+    good, bad = split_staged(persist_table(stage_files(files), "ingest-staged"))
+    order = ["project_name", "path"]
+    ids = sequence_number(good.select(*order), [], order, name="_n")
+    return (good.join(ids, order).select((F.col("_n") + F.lit(top)).alias("interview_id"), "project_name", "path", "content"), bad)
+
+
 def ingest_text(spark: SparkSession, root: str, suffix: str = ".txt",
-                layout: str = "folders") -> tuple[DataFrame, DataFrame]:
-    """One interview row per text file: ``(interviews, rejects)``."""
-    return split_ingest(read_text_files(spark, root, suffix, layout))
+                layout: str = "folders", top: int = 0) -> tuple[DataFrame, DataFrame]:
+    """One interview row per text file: ``(interviews, rejects)``; ids follow ``top``."""
+    return split_ingest(read_text_files(spark, root, suffix, layout), top)
 
 
 def write_documents_as_files(docs: DataFrame, root: str) -> None:

@@ -3,7 +3,8 @@
 The file source records processed files in the checkpoint; each micro-batch
 goes through the same rules as the batch ingest and is written to its own
 ``batch_id=<n>`` folder with ``overwrite``, so a retried batch replaces its
-own output instead of duplicating it.
+own output instead of duplicating it.  A batch's ids follow the highest id of the
+batches before it, so they are dense, unique, and the same on a retry.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldwork.operators.scoring import read_if_written
 from fieldwork.sources import files as FL
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -37,7 +39,9 @@ def stream_ingest(spark: SparkSession, raw_root: str, table_root: str, checkpoin
     files = src.select("path", project.alias("project_name"), F.col("content").alias("raw"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        good, bad = FL.split_ingest(batch)
+        earlier = read_ingested(batch.sparkSession, table_root).where(F.col("batch_id") < batch_id)
+        top = earlier.agg(F.max("interview_id")).first()[0] or 0  # one scalar
+        good, bad = FL.split_ingest(batch, top)
         good.write.mode("overwrite").parquet(f"{table_root}/interviews/batch_id={batch_id}")
         bad.write.mode("overwrite").parquet(f"{table_root}/rejects/batch_id={batch_id}")
 
@@ -50,9 +54,6 @@ def stream_ingest(spark: SparkSession, raw_root: str, table_root: str, checkpoin
 
 
 def read_ingested(spark: SparkSession, table_root: str) -> DataFrame:
-    try:
-        return spark.read.parquet(f"{table_root}/interviews")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            return spark.createDataFrame([], "interview_id bigint, project_name string, path string, content string")
-        raise
+    schema = "interview_id bigint, project_name string, path string, content string, batch_id int"
+    table = read_if_written(spark, f"{table_root}/interviews", schema)
+    return table if table is not None else spark.createDataFrame([], schema)

@@ -35,23 +35,23 @@ def _blocks(spark, n=6):
 
 
 def test_all_chunk_answers_reach_the_project_answer(spark):
-    scored = SC.project_score(_blocks(spark), SC.pandas_responder(_client()), TWO_STEPS[:1], budget_chars=7)
-    assert scored.count() == 6
-    row = SC.combine_chunks(scored).collect()
-    assert len(row) == 1 and row[0]["input_tokens"] == 6
-    assert [f"block{i}" in row[0]["content"] for i in range(1, 7)] == [True] * 6
+    calls = SC.project_score(_blocks(spark), SC.pandas_responder(_client()), TWO_STEPS[:1], budget_chars=7)
+    assert calls.where("level = 0").count() == 6
+    row = SC.project_answers(calls).collect()
+    assert len(row) == 1 and row[0]["input_tokens"] == row[0]["calls"] == calls.count()
 
 
 def test_project_steps_are_chained_at_one_chunk_and_many(spark):
     for budget in (7, 1000):
-        got = {(r["analysis_step"], r["chunk_no"]): r["content"] for r in SC.project_score(
-            _blocks(spark), SC.pandas_responder(_client()), TWO_STEPS, budget_chars=budget).collect()}
-        assert all(v.startswith("[B [A block1") for (step, _), v in got.items() if step == 2), got
+        calls = SC.project_score(_blocks(spark), SC.pandas_responder(_client()), TWO_STEPS, budget_chars=budget).collect()
+        first = [r["content"] for r in calls if r["analysis_step"] == 1]
+        got = [r["content"] for r in calls if r["analysis_step"] == 2]
+        assert got and all(c.startswith("[B [A") for c in got), (first, got)
 
 
 def test_failed_project_step_fails_the_answer_and_the_next_step(spark):
-    scored = SC.project_score(_blocks(spark), SC.pandas_responder(_client(fail_step=1)), TWO_STEPS, budget_chars=7)
-    rows = {r["analysis_step"]: r["error"] for r in SC.combine_chunks(scored).collect()}
+    calls = SC.project_score(_blocks(spark), SC.pandas_responder(_client(fail_step=1)), TWO_STEPS, budget_chars=7)
+    rows = {r["analysis_step"]: r["error"] for r in SC.project_answers(calls).collect()}
     assert "no model" in rows[1] and rows[2] == "previous step missing"
 
 
@@ -75,7 +75,8 @@ def test_job_keeps_chunks_and_writes_project_failures_to_rejects(spark, tmp_dir)
     run_job(spark, store, raw, save_files=True, process_interviews=True, process_project=True, responder=responder,
             project_responder=responder, project_budget_chars=10)
     answers = store.read("llm_answers").where("analysis_type = 'project'").collect()
-    assert len(answers) == 1 and answers[0]["answer_content"].count("<results>") == 3 and answers[0]["input_tokens"] == 6
+    # three chunks, then two answers in one call, then that and the third
+    assert len(answers) == 1 and answers[0]["answer_content"].count("<results>") == 1 and answers[0]["input_tokens"] == 2 * 5
     assert {r["project_name"] for r in store.read("projects").collect()} == {"a+b"}
     assert store.read("rejects").count() == 1
     run_job(spark, store, raw, save_files=True, process_project=True, project_responder=SC.pandas_responder(_client(fail_step=1)))

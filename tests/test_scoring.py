@@ -66,7 +66,7 @@ def test_answer_rows_project_usage(spark):
     rows = SC.answer_rows(scored).collect()
     assert len(rows) == 10
     assert {(r["model"], r["input_tokens"], r["output_tokens"]) for r in rows} == {("m", 10, 2)}
-    assert len({r["id"] for r in rows}) == 10
+    assert all(r["id"] is None for r in rows)  # the append gives out the numbers
 
 
 def _flaky_factory():
@@ -101,7 +101,7 @@ def test_pandas_responder_throttle(spark):
 def test_project_requests_chunk_by_budget(spark):
     blocks = spark.createDataFrame([(1, i, "x" * 40) for i in range(1, 11)] + [(2, 1, "y")],
                                    "project long, block_no long, text string")
-    reqs = SC.project_requests(blocks, budget_chars=100).collect()
+    reqs = SC.project_requests(SC.chunk_texts(blocks, 100)).collect()
     by = sorted((r["project"], r["chunk_no"], r["input_chars"]) for r in reqs)
     assert by == [(1, 1, 120), (1, 2, 80), (1, 3, 120), (1, 4, 80), (2, 1, 1)]
     first = [r for r in reqs if r["project"] == 1 and r["chunk_no"] == 1][0]
@@ -139,7 +139,7 @@ def test_project_chunks_match_sql_across_range_pieces(spark):
     blocks = R.interviews_report(TB.answers_fixture(spark, SF_SMALL)).select(
         "project", F.col("report_no").alias("block_no"), F.col("report_block").alias("text"))
     got = sorted((r["project"], r["chunk_no"], r["input_chars"], len(r["content"]))
-                 for r in SC.project_requests(blocks, budget_chars=budget).collect())
+                 for r in SC.project_requests(SC.chunk_texts(blocks, budget)).collect())
     sql = TB.with_fixtures(f"""with {QQ._REPORT_CTES},
 sized as (select project, report_no, report_block, length(report_block) as len,
   sum(length(report_block)) over (partition by project order by report_no
