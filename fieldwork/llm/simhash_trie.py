@@ -175,7 +175,8 @@ def frontier(fps: DataFrame, budget: int, node: int = NODE) -> list[tuple[int, D
 
     Each has at most ``node`` fingerprints; the loop takes one turn per ``STEP`` bits and ends when no larger pair is left."""
     out = []
-    pairs = fps.agg(F.lit(1).cast("long").alias("a"), F.lit(1).cast("long").alias("b"), F.lit(0).alias("spent"), F.count(F.lit(1)).alias("n"))
+    root = fps.agg(F.lit(1).cast("long").alias("a"), F.lit(1).cast("long").alias("b"), F.lit(0).alias("spent"), F.count(F.lit(1)).alias("n"))
+    pairs = written(root, "trie-pairs")  # one row: the root and itself
     for depth in range(0, DEEPEST + 1, STEP):
         done = (F.col("n") <= node) | F.lit(depth == DEEPEST)
         if depth == 0 or pairs.where(done).head(1):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from fieldwork.llm.common import on_workers, written
 
 BLOCK = 256        # vectors of a block
-SAMPLE = 4096      # vectors, at most, that the axes of the curve are taken from
+SAMPLE = 4096      # the axes of the curve are taken from about so many vectors, twice as many at most
 AXES, BITS = 8, 7  # the curve: 56 bits
 SMALL = 1 << 22    # below, 64 components' sums of products are exact in doubles; narrower for more components
 LIMB = 40
@@ -114,12 +114,15 @@ def nearest_in_block(x: np.ndarray, low: np.ndarray, high: np.ndarray, centroids
     return at, np.array([min(int(d[i, j]), LARGEST) for i, j in enumerate(at.tolist())], np.int64)
 
 
-def blocks_of(vectors: DataFrame, dims: int, scale: float, block: int) -> tuple[DataFrame | None, list]:
-    """``(rows of valid vectors, sample)`` sorted along the curve and written as blocks ``(ids, n, vectors, low, high)``."""
+def blocks_of(vectors: DataFrame, scale: float, block: int) -> DataFrame | None:
+    """Vectors sorted along the curve and written as blocks ``(ids, vectors, low, high)``; None if there are none."""
     spark = vectors.sparkSession
-    sample = [r[0] for r in vectors.orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE).select("v").collect()]
-    if not sample:
-        return None, []
+    total = vectors.count()
+    if not total:
+        return None
+    share = max(1, min(1 << 30, int((SAMPLE / total) * (1 << 30))))  # of 2**30 hash values; about SAMPLE vectors at any size
+    drawn = vectors.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < share).limit(2 * SAMPLE).select("v").collect()
+    sample = [r[0] for r in drawn or vectors.limit(SAMPLE).select("v").collect()]  # few different vectors: any
     curve = Curve(np.floor(np.array(sample, np.float64) * scale))
     on_workers(spark)
 
@@ -144,7 +147,7 @@ def blocks_of(vectors: DataFrame, dims: int, scale: float, block: int) -> tuple[
     ranged = (vectors.mapInArrow(keyed, "key long, vec_id long, v array<double>").withColumn("row", F.monotonically_increasing_id())
               .repartitionByRange(*order).sortWithinPartitions(*order))
     zones = ranged.select("vec_id", "v").mapInArrow(zoned, "ids array<long>, vectors binary, low array<double>, high array<double>")
-    return written(zones, "zones"), sample
+    return written(zones, "zones")
 
 
 def _assign(batch: pa.RecordBatch, centroids: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
@@ -217,7 +220,7 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, sc
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), v.alias("v"))
     fits = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < F.lit(float("inf"))))
     rows = rows.where(F.coalesce((F.size("v") == dims) & fits, F.lit(False)))
-    zones, sample = blocks_of(rows, dims, scale, block)
+    zones = blocks_of(rows, scale, block)
     schema = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
     if zones is None:
         return spark.createDataFrame([], schema)
