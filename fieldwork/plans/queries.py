@@ -707,8 +707,6 @@ def q_item_connections(spark, sf_dir):
 
 GROUP_PERCENT = 50
 SUBTOPIC_PERCENT = 80
-_BANDS = ([f"'{i}:' || h{i}" for i in range(8)] + [f"'{8 + i}:' || h{2 * i} || h{2 * i + 1}" for i in range(4)]
-          + [f"'{12 + i}:' || h{4 * i} || h{4 * i + 1} || h{4 * i + 2} || h{4 * i + 3}" for i in range(2)])
 
 
 def _component_cte(name: str, edges: str) -> str:
@@ -729,16 +727,9 @@ nodes as (select distinct project, item from items where tag = 'codes'),
 tok as (select distinct project, item, token
         from (select project, item, unnest(regexp_extract_all(lower(item), '\\p{{L}}+')) as token from nodes) t),
 n as (select project, item, count(*) as n from tok group by project, item),
-sig as (select project, item, {", ".join(f"min(substr(sha256(token), {1 + 8 * i}, 8)) as h{i}" for i in range(8))}
-        from tok group by project, item),
-bands as (select project, item, unnest([{", ".join(_BANDS)}]) as band from sig),
-smallest as (select project, band, min(item) as hub from bands group by project, band),
-cand as (select distinct b.project, b.item, s.hub from bands b
-         join smallest s on s.project = b.project and s.band = b.band where b.item <> s.hub),
-inter as (select c.project, c.item, c.hub, count(*) as i from cand c
-          join tok a on a.project = c.project and a.item = c.item
-          join tok b on b.project = c.project and b.item = c.hub and b.token = a.token
-          group by c.project, c.item, c.hub),
+inter as (select a.project, a.item, b.item as hub, count(*) as i from tok a
+          join tok b on b.project = a.project and b.token = a.token and a.item < b.item
+          group by a.project, a.item, b.item),
 sim as (select x.project, x.item, x.hub, x.i * 100 as i100, na.n + nb.n - x.i as u from inter x
         join n na on na.project = x.project and na.item = x.item
         join n nb on nb.project = x.project and nb.item = x.hub),

@@ -124,12 +124,6 @@ def test_text_blocks_are_built_inside_the_row(spark):
         (1, 0, "ab\ncd", 2), (1, 0, "x", 1), (1, 1, "\nefghij", 2), (2, 0, "", 1)]
 
 
-def test_item_links_stay_linear_in_a_bucket_that_holds_everything(spark):
-    from fieldwork.operators.components import BANDS, candidate_links
-    nodes = spark.range(400).selectExpr("1 as project", "concat('common word', repeat('z', cast(id as int))) as item")
-    assert candidate_links(nodes, ["project"]).count() <= 400 * len(BANDS)
-
-
 def test_files_are_known_by_project_and_path(spark, tmp_dir):
     raw = os.path.join(tmp_dir, "raw-paths")
     os.makedirs(os.path.join(raw, "p"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import os
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from fieldwork.operators import components
 from fieldwork.operators import latest as L
 from fieldwork.operators import sections as SEC
 from fieldwork.operators.components import item_groups
@@ -54,55 +57,75 @@ def _letter_runs(text):
 
 
 def _brute_groups(items, share):
-    """Union-find over similar (item, smallest item of a bucket) pairs, written from the definition."""
+    """Union-find over all pairs of a project's items that reach the similarity, written from the definition."""
     by_project = {}
     for project, item in items:
         by_project.setdefault(project, set()).add(item)
     out = {}
     for project, nodes in by_project.items():
         words = {n: set(_letter_runs(n.lower())) for n in nodes}
-        buckets = {}
-        for n in nodes:
-            hexes = [hashlib.sha256(w.encode()).hexdigest() for w in words[n]]
-            if hexes:
-                sig = [min(h[8 * i:8 * i + 8] for h in hexes) for i in range(8)]
-                for width in (1, 2, 4):
-                    for at in range(0, 8, width):
-                        buckets.setdefault((width, at, *sig[at:at + width]), []).append(n)
         parent = {n: n for n in nodes}
 
         def find(x):
             while parent[x] != x:
+                parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        for members in buckets.values():
-            hub = min(members)
-            for n in members:
-                if len(words[n] & words[hub]) >= share * len(words[n] | words[hub]):
-                    a, b = find(n), find(hub)
-                    parent[max(a, b)] = min(a, b)
+        for n, m in itertools.combinations(sorted(w for w in nodes if words[w]), 2):
+            if len(words[n] & words[m]) * 100 >= round(share * 100) * len(words[n] | words[m]):
+                a, b = find(n), find(m)
+                parent[max(a, b)] = min(a, b)
         for n in nodes:
             out[(project, n)] = find(n)
     return out
 
 
+def _check_groups(items, pairs):
+    result = item_groups(items, "codes").collect()
+    for share, column in ((0.5, "group_label"), (0.8, "subtopic_label")):
+        assert {(r["project"], r["item"]): r[column] for r in result} == _brute_groups(pairs, share)
+    sizes = Counter((r["project"], r["group_label"]) for r in result)
+    assert all(r["group_size"] == sizes[(r["project"], r["group_label"])] for r in result)
+
+
+def _item_rows(spark, items):
+    return spark.createDataFrame([(p, 1, i, "codes") for p, i in items], "project long, interview long, item string, tag string")
+
+
+def test_item_groups_lose_no_link_among_very_common_words(spark, monkeypatch):
+    """A few words are in most items; sizes differ; ties in rarity; equal sets; every path of the join."""
+    rnd = random.Random(3)
+    common, rare = ["the", "a", "of", "and"], [chr(97 + i) + chr(97 + j) + "x" for i in range(20) for j in range(10)]
+    items = set()
+    for _ in range(260):
+        words = rnd.sample(common, rnd.randrange(0, 4)) + rnd.sample(rare, rnd.randrange(0, 4))
+        items.add((rnd.randrange(2), " ".join(words)))
+    for base in (["k", "l", "m", "n", "o", "p"], ["k", "l", "q", "r", "s", "t"]):
+        for _ in range(40):
+            items.add((1, " ".join(rnd.sample(base, rnd.randrange(3, 7)))))
+    items |= {(0, "of the"), (0, "The OF"), (0, "1 2"), (0, ""), (0, "--")}
+    for limit, block in ((64, 1000), (3, 7)):
+        monkeypatch.setattr(components, "LONG", limit)
+        monkeypatch.setattr(components, "BLOCK", block)
+        _check_groups(_item_rows(spark, items), items)
+
+
+def test_items_that_all_share_words_emit_no_pairs(spark):
+    """400 items, every two of them similar: the index would pair all; blocks return one link an item."""
+    items = {(1, "common word " + "z" * i) for i in range(1, 401)}
+    sets = components.word_sets(_item_rows(spark, items).select("project", "item"))
+    assert components.similar_links(sets, 50, 80).count() <= 400
+    result = item_groups(_item_rows(spark, items)).collect()
+    assert {r["group_size"] for r in result} == {400} and len({r["subtopic_label"] for r in result}) == 400
+    assert item_groups(_item_rows(spark, items).limit(0)).collect() == []
+
+
 def test_item_groups_match_union_find(spark):
     latest = L.latest_answers(TB.answers_fixture(spark, SF_SMALL))
     items = SEC.section_items(SEC.interview_sections(latest)).where(F.col("tag") == "codes")
     pairs = [(r["project"], r["item"]) for r in items.select("project", "item").collect()]
-    expected = _brute_groups(pairs, 0.5)
-    result = item_groups(items, "codes").collect()
-    got = {(r["project"], r["item"]): r["group_label"] for r in result}
-    assert got.keys() == expected.keys()
-    # same partition into groups (labels are the smallest member in both)
-    assert got == expected
-    sub_expected = _brute_groups(pairs, 0.8)
-    assert {(r["project"], r["item"]): r["subtopic_label"] for r in result} == sub_expected
-    sizes = {}
-    for (p, _), g in expected.items():
-        sizes[(p, g)] = sizes.get((p, g), 0) + 1
-    assert all(r["group_size"] == sizes[(r["project"], r["group_label"])] for r in result)
+    _check_groups(items, pairs)
 
 
 def test_item_connections_array_pairs_equal_row_join(spark):
