@@ -15,28 +15,31 @@ from pyspark.sql import functions as F
 from fieldwork import schemas as S
 from fieldwork.functions import text as T
 from fieldwork.operators.numbering import running_total
+from fieldwork.operators.scoring import persist_table
 
 
 # ---------------------------------------------------------------------------
 # P02 keyword top-k
 # ---------------------------------------------------------------------------
 
+def token_counts(docs: DataFrame) -> DataFrame:
+    """``(project, interview, token, tf)``.  The texts are dealt out once by interview (a text is smaller than its token counts would
+    be), and counted where they lie."""
+    tokens = docs.select("project", "interview", "content").repartition("project", "interview").select(
+        "project", "interview", F.explode(T.word_tokens("content")).alias("token"))
+    return tokens.groupBy("project", "interview", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def keyword_topk(docs: DataFrame, k: int = 5) -> DataFrame:
     """Top ``k`` tokens per interview by ``tf * (ln((1+N)/(1+df)) + 1)``, where N
     and df are counted within the project; ties by token.
 
-    ``docs``: ``(project, interview, content)``.  One plan at every size: the texts
-    are dealt out once by interview (the text is smaller than its token counts would
-    be), and the token counts are aggregated where their text lies.
+    ``docs``: ``(project, interview, content)``.  One plan at every size: the texts are tokenised in one pass, the counts
+    are written to the scratch folder, and both the document frequencies and the scores read them there.
     """
     n = docs.groupBy("project").agg(F.count(F.lit(1)).alias("n_docs"))
-    tokens = docs.select("project", "interview", "content").repartition("project", "interview").select(
-        "project", "interview", F.explode(T.word_tokens("content")).alias("token"))
-    tf = tokens.groupBy("project", "interview", "token").agg(F.count(F.lit(1)).alias("tf"))
-    # df counts the (interview, token) rows; it is written as sum(least(tf, 1))
-    # (tf >= 1) so that this branch reads ``tf`` like the joined branch does and
-    # the exchange of the texts is shared; the tokenising itself runs in both
-    df = tf.groupBy("project", "token").agg(F.sum(F.least(F.col("tf"), F.lit(1))).alias("df"))
+    tf = persist_table(token_counts(docs), "token-counts")
+    df = tf.groupBy("project", "token").agg(F.count(F.lit(1)).alias("df"))
     scored = (tf.join(df, ["project", "token"]).join(n, "project")
               .withColumn("score", F.col("tf") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)))
     w = Window.partitionBy("project", "interview").orderBy(F.col("score").desc(), F.col("token"))

@@ -15,7 +15,7 @@ from fieldwork.operators import latest as L
 from fieldwork.operators import sections as SEC
 from fieldwork.operators.components import item_groups
 from fieldwork.sources import tables as TB
-from fieldwork.streaming.latest import _parts, current_view, stream_latest
+from fieldwork.streaming.latest import _parts, _pointers, current_view, stream_latest, write_snapshot
 
 
 def test_stream_latest_equals_batch_on_shuffled_arrival(spark, tmp_dir):
@@ -36,6 +36,9 @@ def test_latest_view_reads_a_snapshot_and_the_batches_after_it(spark, tmp_dir):
     log.repartition(7).write.parquet(log_dir)
     stream_latest(spark, log_dir, out, os.path.join(tmp_dir, "ck2"), schema=log.schema, compact_every=3)
     assert sorted(f for f in os.listdir(f"{out}/snapshots") if "=" in f) == ["upto=2", "upto=5"]
+    assert sorted(f for f in os.listdir(f"{out}/pointers") if "=" in f) == ["upto=2", "upto=5"]
+    # the batches that the older snapshot covers are gone, those after it are kept for its readers
+    assert sorted(f for f in os.listdir(f"{out}/updates") if "=" in f) == [f"batch_id={i}" for i in (3, 4, 5, 6)]
     read = {r["batch_id"] for r in _parts(spark, out).select("batch_id").distinct().collect()}
     assert read <= {5, 6} and 5 in read  # the snapshot and the one batch after it
     batch = sorted(tuple(r) for r in L.latest_answers(log).select(
@@ -43,6 +46,23 @@ def test_latest_view_reads_a_snapshot_and_the_batches_after_it(spark, tmp_dir):
     assert sorted(tuple(r) for r in current_view(spark, out).collect()) == batch
 
 
+def test_an_unfinished_snapshot_is_not_read(spark, tmp_dir):
+    log = TB.answers_fixture(spark, SF_SMALL).withColumn("created", F.col("created").cast("timestamp_ntz"))
+    log_dir, out = os.path.join(tmp_dir, "log3"), os.path.join(tmp_dir, "updates3")
+    log.repartition(5).write.parquet(log_dir)
+    stream_latest(spark, log_dir, out, os.path.join(tmp_dir, "ck3"), schema=log.schema, compact_every=2)
+    want = sorted(tuple(r) for r in current_view(spark, out).collect())
+    held = current_view(spark, out)  # planned before the next snapshot
+    # a writer stops after some rows of a newer snapshot, before its pointer
+    some = spark.read.parquet(f"{out}/snapshots/upto=3").limit(2)
+    some.write.parquet(f"{out}/snapshots/upto=4")
+    assert sorted(tuple(r) for r in current_view(spark, out).collect()) == want and len(want) > 2
+    write_snapshot(spark, out, 4)  # the retried batch writes it anew
+    assert _pointers(spark, out) and max(_pointers(spark, out)) == 4
+    assert sorted(tuple(r) for r in current_view(spark, out).collect()) == want
+    assert sorted(tuple(r) for r in held.collect()) == want  # a reader of the older view is not disturbed
+
+
 def _letter_runs(text):
     runs, cur = [], []
     for ch in text:
