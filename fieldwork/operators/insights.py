@@ -76,31 +76,12 @@ def problem_mentions(items: DataFrame, interviews: DataFrame, tag: str = "proble
 # P04 item connections
 # ---------------------------------------------------------------------------
 
-def item_connections(items: DataFrame, tag: str = "codes", distance: int = 1) -> DataFrame:
+def item_connections_from_sections(sections: DataFrame, tag: str = "codes", distance: int = 1) -> DataFrame:
     """Unordered pairs of different items of ``tag`` listed within ``distance``
     places of each other in the same section; per project, the number of
     interviews in which the pair occurs.
 
-    Each item meets at most ``2 * distance`` neighbours, found by equi-joins on
-    ``item_no + d``: linear in the items, never all pairs of a group.
-    """
-    base = items.where(F.col("tag") == tag).select("project", "interview", "ord", "item_no", "item")
-    pairs = None
-    for d in range(1, distance + 1):
-        right = base.select("project", "interview", "ord", (F.col("item_no") - d).alias("item_no"),
-                            F.col("item").alias("other"))
-        p = base.join(right, ["project", "interview", "ord", "item_no"])
-        pairs = p if pairs is None else pairs.unionByName(p)
-    pairs = (pairs.where(F.col("item") != F.col("other"))
-             .select("project", "interview",
-                     F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b")))
-    return (pairs.groupBy("project", "item_a", "item_b")
-            .agg(F.count_distinct("interview").alias("interviews")))
-
-
-def item_connections_from_sections(sections: DataFrame, tag: str = "codes", distance: int = 1) -> DataFrame:
-    """``item_connections`` computed straight from the sections: each section's
-    items are an array, which is zipped with itself moved by one to ``distance``
+    Each section's items are an array, which is zipped with itself moved by one to ``distance``
     places inside the row: no join, and work linear in the items."""
     items = F.col("_items")
 

@@ -61,28 +61,39 @@ def _plan_array(steps: list[dict]) -> F.Column:
 
 
 def scoring_requests(interviews: DataFrame, plan=S.QUESTION_PLAN, analysis_type: str = "interview",
-                     suffix: str = S.LANGUAGE_SUFFIX, keep: tuple[str, ...] = ()) -> DataFrame:
+                     suffix: str = S.LANGUAGE_SUFFIX, keep: tuple[str, ...] = (), previous: DataFrame | None = None) -> DataFrame:
     """Every interview x every plan step of ``analysis_type``.
 
     The plan is a literal array exploded per row (its size is fixed by the
     plan), so there is no join and no shuffle.  Columns: ``project, interview,
     content, analysis_type, analysis_step, call_no, temperature, uses_previous,
     template`` (template already carries the language suffix), plus ``keep``.
+
+    With ``previous`` (earlier answers ``project, interview, analysis_step, content``, one a key) each request also has
+    ``previous_answers``, step n-1 of the same interview where the plan asks for it, and ``prompt``.  The answers of an
+    interview are gathered into one map and joined before the plan is exploded, so its text is shuffled once, not once a step.
     """
-    steps = plan_steps(plan, analysis_type)
-    return (interviews.select(F.col("project"), F.col("interview_id").alias("interview"), "content", *keep,
-                              F.explode(_plan_array(steps)).alias("p"))
-            .select("project", "interview", "content", *keep,
-                    "p.analysis_type", "p.analysis_step", "p.call_no",
-                    TX.default_temperature("p.llm_temperature").alias("temperature"),
-                    "p.uses_previous",
-                    TX.with_language_suffix("p.text_template", suffix).alias("template")))
+    source = interviews.select("project", F.col("interview_id").alias("interview"), "content", *keep)
+    if previous is not None:
+        by_step = (previous.groupBy("project", "interview")
+                   .agg(F.map_from_entries(F.collect_list(F.struct("analysis_step", "content"))).alias("_answers")))  # at most one a step
+        source = source.join(by_step, ["project", "interview"], "left")
+        keep = (*keep, "_answers")
+    out = (source.select("project", "interview", "content", *keep, F.explode(_plan_array(plan_steps(plan, analysis_type))).alias("p"))
+           .select("project", "interview", "content", *keep,
+                   "p.analysis_type", "p.analysis_step", "p.call_no",
+                   TX.default_temperature("p.llm_temperature").alias("temperature"),
+                   "p.uses_previous",
+                   TX.with_language_suffix("p.text_template", suffix).alias("template")))
+    if previous is not None:
+        out = out.withColumn("previous_answers", F.when(F.col("uses_previous"), F.try_element_at("_answers", F.col("analysis_step") - 1)))
+        out = out.drop("_answers").withColumn("prompt", TX.render_prompt("template", "content", "previous_answers"))
+    return out
 
 
 def render_requests(requests: DataFrame, previous: DataFrame | None) -> DataFrame:
-    """Attach ``previous_answers`` (step n-1 of the same interview, where the plan
-    asks for it) and render ``prompt``.  ``previous`` has ``project, interview,
-    analysis_step, content`` of earlier answers."""
+    """Attach ``previous_answers`` to the requests of one step (a row an interview) and render ``prompt``; see
+    ``scoring_requests`` for all steps of interviews at once."""
     if previous is not None:
         prev = previous.select("project", "interview",
                                (F.col("analysis_step") + 1).alias("analysis_step"),
@@ -315,11 +326,10 @@ def chained_steps(interviews: DataFrame, responder, plan=S.QUESTION_PLAN,
     temperature, content, model, input_tokens, output_tokens``.  With ``run_path`` a second
     start goes on where the first one stopped (``score_once``).
     """
-    requests = scoring_requests(interviews, plan, analysis_type)
     answers = dead = failed = prev = None
     keys = ["project", "interview", "analysis_type", "analysis_step"]
     for p in plan_steps(plan, analysis_type):
-        req = requests.where(F.col("analysis_step") == p["analysis_step"])
+        req = scoring_requests(interviews, [p], analysis_type)
         if failed is not None:
             req = req.join(failed, ["project", "interview"], "left_anti")
         rendered = render_requests(req, prev)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldwork import schemas as S
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -26,10 +28,6 @@ _INTERVIEW_TAGS_BY_STEP = {
     4: ("problem_connections", "problem_groups"),
     5: ("reflections", "results", "unexpected", "hypothesis", "alternatives", "additionals"),
 }
-_PROJECT_TAGS = ("keywords", "codes", "code_connections", "code_groups", "problems",
-                 "problem_connections", "problem_groups", "reflections", "results",
-                 "unexpected", "hypothesis", "alternatives", "additionals")
-
 
 def _wrap(tags, body: F.Column) -> F.Column:
     pieces = []
@@ -79,7 +77,7 @@ def answers_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("model-p").alias("model"),
         F.col("n").cast("int").alias("input_tokens"),
         (F.col("n") % 97).cast("int").alias("output_tokens"),
-        _wrap(_PROJECT_TAGS, F.col("b")).alias("answer_content"))
+        _wrap(S.TAGS, F.col("b")).alias("answer_content"))
     return interview_rows.unionByName(project_rows)
 
 
@@ -140,7 +138,7 @@ union all
 select 1000000000 + conv_id * 100 + turn, conv_id % 7, cast(null as bigint), 'project', 1,
        timestamp '2024-02-01 00:00:00' + conv_id * interval '1' minute,
        'model-p', cast(n as integer), cast(n % 97 as integer),
-       {_wrap_sql(_PROJECT_TAGS)}
+       {_wrap_sql(S.TAGS)}
 from base where role = 'system'
 """
 

@@ -190,11 +190,19 @@ def test_clean_text_matches_python(spark, texts):
     assert _one(spark, T.clean_text, texts) == [py_clean(t) for t in texts]
 
 
+EXPECTED_MASKS = {
+    "email": (r"[\w.%+-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+", "[EMAIL]"),
+    "secret": (r"""["'][0-9a-fA-F]{16,}["']""", "[SECRET]"),
+    "ipv4": (r"\d{1,3}(?:\.\d{1,3}){3}", "[IP]"),
+    "card": (r"\d{16}", "[CARD]"),
+    "phone": (r"\+?\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}", "[PHONE]"),
+}
+
+
 def py_anonymise(t: str):
     counts = {}
-    for kind, pattern, mask, _ in T.PII_PATTERNS:
-        counts[kind] = len(re.findall(pattern, t))
-        t = re.sub(pattern, mask, t)
+    for kind, (pattern, mask) in EXPECTED_MASKS.items():
+        t, counts[kind] = re.subn(pattern, mask, t, flags=re.ASCII)
     return t, counts
 
 

@@ -41,6 +41,11 @@ def test_summary_filter_reaches_the_scan(spark):
     assert "PushedFilters" in plan and "EqualTo(role,system)" in plan
 
 
-def test_keyword_topk_prunes_columns(spark):
-    plan = _plan(spark, "keyword_topk")
-    assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in plan
+def test_keyword_topk_tokenises_in_one_pass(spark):
+    from fieldwork.operators.insights import token_counts
+    from fieldwork.sources.tables import load
+    docs = load(spark, SF_SMALL, "documents").selectExpr("source as project", "doc_id as interview", "text as content")
+    counts = token_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in counts and counts.count("split(") == 1
+    plan = _plan(spark, "keyword_topk")  # frequencies and scores read the counts
+    assert "split(" not in plan and "text:string" not in plan and plan.count("ReadSchema: struct<project:string,interview:bigint,token:string,tf:bigint>") == 1
