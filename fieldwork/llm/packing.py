@@ -67,8 +67,7 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, vocab: str = WORD_VOCAB, end_i
                     cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-        enc.old = {}  # workers outlive the task; what is used often is in the younger generation
-        pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()  # workers outlive the task
 
     schema = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     return (ids_and_text(docs, id_col, text_col).mapInArrow(run, schema)

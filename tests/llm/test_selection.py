@@ -247,3 +247,42 @@ def test_quickselect_finds_every_rank(spark):
                 continue
             assert kth_key(df, k, pivots) == order[k - 1]
     assert kth_key(df, 161) is None and kth_key(df, 0) is None
+
+
+# ------------------------------------------------------------------ the table of pieces
+
+def test_piece_table_keeps_what_it_is_given():
+    from fieldwork.llm.tokens import PieceTable
+    rng = np.random.default_rng(2)
+    table = PieceTable(1 << 10, 4000, np.uint16)
+    kept = {}
+    for _ in range(40):  # it is emptied on the way
+        h = np.unique(rng.integers(1, 2 ** 64, 150, dtype=np.uint64) & np.uint64(0xFFFF00000000001F) | np.uint64(1))  # many for one slot
+        h = h[table.find(h, None) < 0]
+        tags, size = (h >> np.uint64(40)).astype(np.uint32), rng.integers(0, 4, len(h))
+        before = table.taken
+        ids = rng.integers(0, 50_000, int(size.sum())).astype(np.uint32)
+        table.add(h, tags, ids, size)
+        if table.taken < before + len(h):
+            kept = {}
+        kept |= {int(k): x.tolist() for k, x in zip(h, np.split(ids, np.cumsum(size)[:-1]))}
+        keys = np.array(list(kept), np.uint64)
+        slot = table.find(keys, (keys >> np.uint64(40)).astype(np.uint32))
+        assert (slot >= 0).all() and (table.find(keys, np.zeros(len(keys), np.uint32)) < 0).sum() >= len(keys) - 40
+        assert [table.pool[a:a + n].tolist() for a, n in zip(table.at[slot].tolist(), table.size[slot].tolist())] == list(kept.values())
+
+
+def test_pieces_of_odd_texts_equal_the_library():
+    import pyarrow as pa
+    from fieldwork.llm.tokens import Encoder
+    rnd = random.Random(11)
+    atoms = ["The", "was", "WAS", "é", "étion", "İx", "ß", "ǅ", "naïve", "éa", "12", "3x", "don't", "'s", "'", "''", "$$$", "!!!!!!!!!!", ".", ",", "(",
+             "中文", "ñ", "x" * 60, "​", "😀", "<|endoftext|>", "_", "a_b", "Σας", "ﬁ", "\x1c", "\x85", "\xa0"]
+    blanks = [" ", " ", " ", "\n", "\n", "  ", "\n\n", "\t", " \n", "\r\n", "\x0b", "", "", " "]
+    texts = [None, "", " ", "\n", "a\n", "\na", "\n a"]
+    texts += ["".join(rnd.choice(atoms) + rnd.choice(blanks) for _ in range(rnd.randrange(1, 12))) for _ in range(4000)]
+    for vocab in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        small = Encoder(vocab, slots=1 << 9, pool=600)
+        got = [x.tolist() for _ in range(2) for _, _, rows in small.encode_column(pa.array(texts)) for x in rows]
+        want = [e.ids for e in small.lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert got == want * 2
