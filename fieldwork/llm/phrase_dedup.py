@@ -6,13 +6,15 @@ also starts in a document with a smaller doc_id, judged on the input.  The resul
 1. ``phrase_index``: every window names one phrase of ``phrase`` words inside it, the one with the smallest hash
    (leftmost on ties), so equal windows name equal phrases at equal places.
 2. ``recurring_phrases``: of documents with equal word sequences only the smallest takes part further on (the others lose
-   all their windows to it); phrases that occur in two of the remaining documents are confirmed as recurring.
-3. ``passages``: the text of all consecutive windows that name one occurrence of a recurring phrase.
-4. ``repeats``: passages are dealt to shards by phrase.  Each shard compiles Aho-Corasick automata of its phrases (pyahocorasick), a
-   bounded number of rows at a time, and streams the passages of all documents through them in doc_id order: the automaton
-   locates the phrase, and a window seen before in a smaller document is a repeat.  Between batches a shard keeps only the
-   windows of the phrase it is in.  A phrase of more than ``HOT`` documents has no shard: once the automata have located it, its
-   windows are rows of their own, the smallest document of each window is a pre-aggregated minimum, and a join that can be split marks the rest.
+   all their windows to it); phrases that occur in two of the remaining documents are confirmed as recurring, and ``phrase_texts``
+   fetches the words of each from one document that holds it.
+3. ``passages``: all documents that hold recurring phrases are streamed through Aho-Corasick automata (pyahocorasick).  A shard is a
+   bounded number of bytes of documents; its automaton is compiled from the texts of the phrases that recur in any of them, so
+   all shards together cost one pass over the text.  The places that the automaton finds are the occurrences; a passage is all
+   consecutive windows that name one of them.
+4. ``repeats``: passages are dealt out by phrase, in doc_id order, as hashes of their windows; a window seen before in a smaller document is a
+   repeat.  Between batches a task keeps only the windows of the phrase it is in.  The windows of a phrase of more than ``HOT`` documents
+   are rows of their own: the smallest document of each window is a pre-aggregated minimum, and the rest are marked by a join over ``SALTS`` parts of each window.
 5. ``remove_repeats`` cuts the covered words out of each text.
 
 Defined results: null text: no words, nothing removed, kept text empty (null stays null where the
@@ -33,10 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldwork.llm.common import list_array, longs, mix, on_workers, own_runs, run_hashes, text_words, written
+from fieldwork.llm.decontam import _bit_table
 
 WINDOW = 50
 PHRASE = 16
 HOT = 2_000  # documents; a phrase of more is dealt out by window instead of by phrase
+SALTS = 64   # parts of a window of such a phrase; there are over HOT rows to each of its distinct windows
+MAX_BITS = 26  # of the table of recurring phrases that tasks look into: 8 MB
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -84,90 +89,106 @@ def phrase_index(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h long, n_words long, digest binary, phrases array<long>")
 
 
-def recurring_phrases(first_docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``(doc_id, h, recurring, hot)``: phrases of each document that also occur in another one, those of very many apart."""
+def recurring_phrases(first_docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, h, phrase)`` of all documents, and ``(phrase, is_hot)`` of the phrases that two of them hold."""
     occ = first_docs.select("doc_id", "h", F.explode("phrases").alias("phrase"))
     again = occ.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")) \
         .where("lo < hi").select("phrase", (F.col("n") > hot).alias("is_hot"))
-    return (occ.join(again, "phrase").groupBy("doc_id", "h")
-            .agg(F.collect_list(F.when(~F.col("is_hot"), F.col("phrase"))).alias("recurring"),
-                 F.collect_list(F.when(F.col("is_hot"), F.col("phrase"))).alias("hot")))
+    return occ, written(again, "recurring")
 
 
-def passages(docs: DataFrame, phrases: str, window: int, phrase: int) -> DataFrame:
-    """``(phrase, doc_id, h, start, lead, passage)``: ``start`` is the passage's first word in the document, ``lead`` the
-    phrase's first word in the passage."""
+def phrase_texts(docs: DataFrame, again: DataFrame, window: int, phrase: int) -> DataFrame:
+    """``(phrase, is_hot, words)``: the words of each recurring phrase, joined by one space.
+
+    Documents are read without a shuffle; a table of bits of fixed size tells the tasks which phrases may recur."""
+    n = again.count()
+    bits = int(min(MAX_BITS, max(17, (16 * n).bit_length())))
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_table(again.select(F.col("phrase").alias("hash")), bits))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            ids, hs, known = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
-            for i, j, words, first, (data, ws, we) in text_words(batch.column(2), False):
-                starts, at, grams = named_phrases(words, first, window, phrase)
-                cut = np.searchsorted(starts, first)
+            for _, _, words, first, (data, ws, we) in text_words(batch.column(0), False):
+                _, at, grams = named_phrases(words, first, window, phrase)
+                at, keep = np.unique(at, return_index=True)
+                grams = grams[keep]
+                hit = np.flatnonzero(known[longs(grams >> np.uint64(64 - bits))])
+                hit = hit[np.unique(grams[hit], return_index=True)[1]]
                 raw = data.tobytes()
-                out: list[list] = [[], [], [], [], [], []]
-                for r in range(i, j):
-                    lo, hi = cut[r - i], cut[r - i + 1]
-                    if lo == hi:
-                        continue
-                    mine = known.slice(r, 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                    new = np.flatnonzero(np.diff(at[lo:hi], prepend=-1)) + lo
-                    end = np.append(new[1:], hi)
-                    keep = np.isin(grams[new], mine)
-                    for a, b in zip(new[keep].tolist(), end[keep].tolist()):
-                        s, e = starts[a], starts[b - 1] + window
-                        out[0].append(int(longs(grams[a:a + 1])[0]))
-                        out[1].append(ids[r])
-                        out[2].append(hs[r])
-                        out[3].append(int(s - first[r - i]))
-                        out[4].append(int(at[a] - s))
-                        out[5].append(b" ".join(raw[ws[s]:we[e - 1]].split()).decode())
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
-                        out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))],
-                        names=["phrase", "doc_id", "h", "start", "lead", "passage"])
-
-    rows = docs.where(F.size(phrases) > 0).select("doc_id", "h", "text", phrases)
-    return rows.mapInArrow(run, "phrase long, doc_id long, h long, start long, lead long, passage string")
-
-
-def _located(rows: pa.RecordBatch, phrase: int) -> np.ndarray:
-    """Rows whose phrase the automaton of all phrases of these rows finds where it is said to be."""
+                texts = [b" ".join(raw[ws[a]:we[a + phrase - 1]].split()).decode() for a in at[hit].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(longs(grams[hit])), pa.array(texts, pa.string())], names=["phrase", "words"])
+
+    texts = docs.where("doc_id is not null").select("text").mapInArrow(run, "phrase long, words string")
+    return texts.groupBy("phrase").agg(F.min("words").alias("words")).join(again, "phrase")
+
+
+def _occurrences(texts: list[str], phrases: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and first word of every place where one of the phrases stands in the texts (words joined by one space)."""
     import ahocorasick
 
-    texts, leads, keys = (rows.column(c).to_pylist() for c in ("passage", "lead", "phrase"))
-    automaton, known = ahocorasick.Automaton(), {}
-    for text, lead, key in zip(texts, leads, keys):
-        if key not in known:
-            known[key] = s = " ".join(text.split(" ")[lead:lead + phrase])
-            automaton.add_word(s, (key, len(s)))
+    automaton = ahocorasick.Automaton()
+    for p in phrases:
+        automaton.add_word(f" {p} ", len(p) + 1)
     automaton.make_automaton()
-    ok = np.zeros(len(texts), bool)
-    for r, (text, lead, key) in enumerate(zip(texts, leads, keys)):
-        for end, (found, n) in automaton.iter(text):
-            if found == key and text.count(" ", 0, end + 1 - n) == lead:
-                ok[r] = True
-                break
-    return ok
+    rows, starts = [], []
+    for r, text in enumerate(texts):
+        letter = [end - n for end, n in automaton.iter(f" {text} ")]  # the place in the text of each hit's first letter
+        if letter:
+            rows.append(np.full(len(letter), r))
+            spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 0x20)
+            starts.append(np.searchsorted(spaces, letter))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *starts])
+
+
+def passages(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """``(phrase, is_hot, doc_id, h, start, windows)``: the hashes of all consecutive windows, from word ``start`` on, that name
+    one occurrence of a recurring phrase.  ``docs``: ``doc_id, h, text, held`` (structs of a phrase, whether it is hot, and its words)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hs = batch.column(0), batch.column(1)
+            for i, j, words, first, (data, ws, we) in text_words(batch.column(2), False):
+                held = batch.column(3).slice(i, j - i).flatten()
+                phrases, is_hot = held.field(0).to_numpy().view(np.uint64), held.field(1).to_numpy(zero_copy_only=False)
+                raw, cuts = data.tobytes(), first.tolist()
+                texts = [b" ".join(raw[ws[a]:we[b - 1]].split()).decode() if b > a else "" for a, b in zip(cuts, cuts[1:])]
+                row, word = _occurrences(texts, set(held.field(2).to_pylist()))
+                found = np.zeros(len(words) + 1, bool)
+                found[first[row] + word] = True
+                starts, at, grams = named_phrases(words, first, window, phrase)
+                new = np.flatnonzero(np.diff(at, prepend=-1))  # windows of one text that name one place are consecutive
+                end = np.append(new[1:], len(at))
+                keep = found[at[new]]
+                new, end = new[keep], end[keep]
+                phrases, where = np.unique(phrases, return_index=True)
+                place = np.minimum(np.searchsorted(phrases, grams[new]), max(len(phrases) - 1, 0))
+                mine = phrases[place] == grams[new] if len(phrases) else np.zeros(0, bool)  # a phrase inside another one's place
+                new, end, place = new[mine], end[mine], place[mine]
+                if not len(new):
+                    continue
+                of = np.searchsorted(first, starts[new], side="right") - 1
+                hashes = longs(run_hashes(words, window))
+                take = pa.array(i + of)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(longs(grams[new])), pa.array(is_hot[where][place]), ids.take(take), hs.take(take), pa.array(starts[new] - first[of]),
+                     list_array([hashes[starts[a]:starts[b - 1] + 1] for a, b in zip(new.tolist(), end.tolist())], pa.int64())],
+                    names=["phrase", "is_hot", "doc_id", "h", "start", "windows"])
+
+    return docs.select("doc_id", "h", "text", "held").mapInArrow(
+        run, "phrase long, is_hot boolean, doc_id long, h long, start long, windows array<long>")
 
 
-def _repeats(window: int, phrase: int):
+def _repeats(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, seen, owner = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
-                batch = batch.filter(pa.array(_located(batch, phrase)))
-                if not batch.num_rows:
-                    continue
                 key, doc, h, start = (batch.column(c).to_numpy() for c in range(4))
-                hashes, row, offset = [], [], []
-                for i, _, words, first, _ in text_words(batch.column(5), False):
-                    ok = np.flatnonzero(own_runs(first, len(words), window))
-                    of = np.searchsorted(first, ok, side="right") - 1
-                    hashes.append(run_hashes(words, window)[ok])
-                    row.append(of + i)
-                    offset.append(ok - first[of])
-                hashes, row, offset = (np.concatenate(x) for x in (hashes, row, offset))
+                sizes = batch.column(4).value_lengths().to_numpy()
+                hashes = batch.column(4).flatten().to_numpy().view(np.uint64)
+                row = np.repeat(np.arange(len(key)), sizes)
+                offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 carried = key[0] == current
                 pool = np.concatenate([seen, hashes]) if carried else hashes
                 docs = np.concatenate([owner, doc[row]]) if carried else doc[row]
@@ -176,13 +197,10 @@ def _repeats(window: int, phrase: int):
                 mine = inv[len(pool) - len(hashes):]
                 gone = least[mine] < doc[row]
                 last = key[row] == key[-1]
+                keep = np.zeros(len(uniq), bool)
                 if carried and key[-1] == current:
-                    keep = np.zeros(len(uniq), bool)
                     keep[inv[:len(seen)]] = True
-                    keep[mine[last]] = True
-                else:
-                    keep = np.zeros(len(uniq), bool)
-                    keep[mine[last]] = True
+                keep[mine[last]] = True
                 current, seen, owner = key[-1], uniq[keep], least[keep]
                 if gone.any():
                     r, o = row[gone], offset[gone]
@@ -194,31 +212,20 @@ def _repeats(window: int, phrase: int):
     return run
 
 
-def repeats(found: DataFrame, window: int, phrase: int) -> DataFrame:
+def repeats(found: DataFrame, window: int) -> DataFrame:
     """``(doc_id, h, lo, hi)``: word ranges that windows of a smaller document cover."""
-    return (found.repartition("phrase").sortWithinPartitions("phrase", "doc_id", "start")
-            .mapInArrow(_repeats(window, phrase), "doc_id long, h long, lo long, hi long"))
+    dealt = found.select("phrase", "doc_id", "h", "start", "windows")
+    return (dealt.repartition("phrase").sortWithinPartitions("phrase", "doc_id", "start")
+            .mapInArrow(_repeats(window), "doc_id long, h long, lo long, hi long"))
 
 
-def hot_repeats(found: DataFrame, window: int, phrase: int) -> DataFrame:
-    """``repeats`` of the phrases of very many documents, dealt out by window."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
-                batch = batch.filter(pa.array(_located(batch, phrase)))
-                for i, j, words, first, _ in text_words(batch.column(5), False):
-                    ok = np.flatnonzero(own_runs(first, len(words), window))
-                    of = np.searchsorted(first, ok, side="right") - 1
-                    row = pa.array(of + i)
-                    start = batch.column(3).take(row).to_numpy() + ok - first[of]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(longs(run_hashes(words, window)[ok])), batch.column(1).take(row), batch.column(2).take(row), pa.array(start)],
-                        names=["w", "doc_id", "h", "lo"])
-
-    rows = found.mapInArrow(run, "w long, doc_id long, h long, lo long")
+def hot_repeats(found: DataFrame, window: int) -> DataFrame:
+    """``repeats`` of the phrases of very many documents, dealt out by window, each window in ``SALTS`` parts."""
+    rows = found.select("doc_id", "h", "start", F.posexplode("windows").alias("k", "w")).select(
+        "w", "doc_id", "h", (F.col("start") + F.col("k")).alias("lo"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     owner = rows.groupBy("w").agg(F.min("doc_id").alias("owner"))
-    return rows.join(owner, "w").where("owner < doc_id").select("doc_id", "h", "lo", (F.col("lo") + window).alias("hi"))
+    owner = owner.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.join(owner, ["w", "salt"]).where("owner < doc_id").select("doc_id", "h", "lo", (F.col("lo") + window).alias("hi"))
 
 
 def _cut(verbatim: bool):
@@ -270,9 +277,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     firsts = long_enough.join(classes, "digest").where((F.col("doc_id") == F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))) \
         .dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "phrases")
     firsts = written(firsts, "first-docs")
-    held = keyed.where("doc_id is not null").join(recurring_phrases(firsts, hot), ["doc_id", "h"])
-    ranges = (repeats(passages(held, "recurring", window, phrase), window, phrase)
-              .unionByName(hot_repeats(passages(held, "hot", window, phrase), window, phrase)).distinct().groupBy("doc_id", "h")
+    occ, again = recurring_phrases(firsts, hot)
+    spelt = written(phrase_texts(keyed, again, window, phrase), "phrase-texts")
+    lists = occ.join(spelt, "phrase").groupBy("doc_id", "h").agg(F.collect_list(F.struct("phrase", "is_hot", "words")).alias("held"))
+    found = written(passages(keyed.where("doc_id is not null").join(lists, ["doc_id", "h"]), window, phrase), "passages")
+    ranges = (repeats(found.where("not is_hot"), window).unionByName(hot_repeats(found.where("is_hot"), window)).distinct().groupBy("doc_id", "h")
               .agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
     # a document whose words equal a smaller document's loses everything, others what their class's first lost
     verdict = (long_enough.select("doc_id", "h", "digest").distinct().join(classes, "digest")
