@@ -117,7 +117,11 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = K, num: int = NUM,
             .select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents (all columns) that contain no item."""
-    bad = contaminated(docs, items, **how).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad_id"], "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents (all columns) that contain no item.
+
+    Rows are judged by id and text: a null id is judged like any other, and different texts under one id are judged one by one."""
+    rows = docs.select(F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string")).alias("key"),
+                       docs[text_col].cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    bad = contaminated(rows.select("key", "text"), items, id_col="key", **how).select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(bad, "key", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])

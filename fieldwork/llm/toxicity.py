@@ -7,7 +7,7 @@ quality), ``toxic``, ``toxic_prose`` (toxic and not of low quality).
 
 Features: hashes of the words' beginnings (4 to 10 bytes) and of whole words, A-Z lower-cased, that differ
 most between the classes by the G test; each gives two values: its presence and the logarithm of its rate per word.
-Training uses at most ``MAX_ROWS`` labelled documents (those whose hashed doc_id is smallest), gathered as sparse rows of
+Training uses at most ``MAX_ROWS`` labelled rows (those whose hashed doc_id is smallest), gathered as sparse rows of
 at most ``2 * MAX_FEATURES`` values in one task, so its size is bounded whatever the input; scoring runs
 over all rows and whole texts with the model (some hundred KB) in every task.
 
@@ -27,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fieldwork.llm.common import _BYTE, _LOWER, _R, longs, mix, on_workers, powers, text_slices, word_spans, written
+from fieldwork.llm.common import _BYTE, _LOWER, _R, list_array, longs, mix, on_workers, powers, text_slices, word_spans, written
 
 CHAIN = ("unsafe", "toxic", "toxic_prose")
 MAX_ROWS = 16_000
@@ -69,7 +68,7 @@ def _doc_features(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """``(text, y, fold)`` of the labelled documents with the smallest hashed ids, ``max_rows`` at most."""
+    """``(doc_id, text, y, fold)`` of ``max_rows`` labelled rows at most: those with the smallest hashed ids, texts in order of their hash."""
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"))
     y = labels.groupBy(labels["doc_id"].cast("long").alias("doc_id")).agg(
         F.max(labels["toxic"].cast("int")).alias("toxic"), F.min(labels["quality"].cast("int")).alias("quality"))
@@ -78,9 +77,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFr
     tox = F.col("toxic") > 0
     y = y.select("doc_id", F.xxhash64("doc_id").alias("h"),
                  F.array(*[c.cast("int") for c in (tox | low, tox, tox & ~low)]).alias("y"))
-    picked = written(y.orderBy("h", "doc_id").limit(max_rows).select("doc_id", "y", F.pmod(F.shiftright("h", 7), F.lit(FOLDS)).cast("int").alias("fold")), "toxic-rows")
+    picked = written(y.orderBy("h", "doc_id").limit(max_rows).select("doc_id", "h", "y", F.pmod(F.shiftright("h", 7), F.lit(FOLDS)).cast("int").alias("fold")), "toxic-rows")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return written(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y", "fold"), "toxic-sample")  # at most max_rows ids
+    rows = texts.join(F.broadcast(picked), "doc_id")  # at most max_rows ids
+    # an id may have any number of rows: the limit is on rows
+    return written(rows.orderBy("h", "doc_id", F.xxhash64("text")).limit(max_rows).select("doc_id", "text", "y", "fold"), "toxic-sample")
 
 
 def select_features(sample: DataFrame, max_features: int) -> np.ndarray:
@@ -235,34 +236,34 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
     return empty | pickle.loads(got[0]["model"]) if got else empty
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(p array<double>, rejected boolean, doc struct)``: chain probabilities of every row, all its columns passing through."""
+def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """``(p array<double>, rejected boolean, doc struct)``: chain probabilities of every row, all its columns passing through.
+
+    Only the text goes to Python, and the verdict comes back; the rows stay where they are."""
     on_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         features, weights = m["features"], m["weights"]
         nf = 2 * len(features)
-        for batch in batches:
-            doc = batch.column(0)
-            for i, j, row, at, value in feature_rows(doc.field(text_at).cast(pa.string()), features):
+        for text in texts:
+            found = [np.zeros((0, len(CHAIN)))]
+            for i, j, row, at, value in feature_rows(text, features):
                 probs: list[np.ndarray] = []
                 for w in weights:
                     z = np.bincount(row, value * w[:nf][at], minlength=j - i) + w[-1]
                     for p, extra in zip(probs, w[nf:-1]):
                         z = z + p * extra
                     probs.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-                p = np.column_stack(probs) if probs else np.zeros((j - i, len(CHAIN)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(p), pa.list_(pa.float64())), pa.array(p[:, CHAIN.index("toxic")] >= m["threshold"]),
-                     doc.slice(i, j - i)], names=["p", "rejected", "doc"])
-
-    text_at = docs.columns.index(text_col)
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    schema = T.StructType([T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("rejected", T.BooleanType()),
-                           T.StructField("doc", packed.schema["doc"].dataType)])
-    return packed.mapInArrow(run, schema)
+                found.append(np.column_stack(probs) if probs else np.zeros((j - i, len(CHAIN))))
+            p = np.concatenate(found)
+            yield pa.StructArray.from_arrays([list_array(list(p), pa.float64()), pa.array(p[:, CHAIN.index("toxic")] >= m["threshold"])],
+                                             names=["p", "rejected"])
+
+    verdict = F.arrow_udf(run, "struct<p: array<double>, rejected: boolean>", F.ArrowUDFType.SCALAR_ITER)
+    judged = docs.select(verdict(docs[text_col].cast("string")).alias("verdict"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    return judged.select("verdict.p", "verdict.rejected", "doc")
 
 
 def clean_of_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

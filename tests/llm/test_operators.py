@@ -232,9 +232,21 @@ def test_contaminated(spark, odd_docs):
                 want.add((i, n, shared, len(g)))
     got = contaminated(frame(spark, odd_docs), bench).collect()
     assert {tuple(r)[:4] for r in got} == want and len(got) == len(want) and want
-    bad = {w[0] for w in want}
-    assert sorted(r.doc_id or -1 for r in clean_documents(frame(spark, odd_docs), bench).collect()) == sorted(
-        i or -1 for i, *_ in odd_docs if i not in bad)
+    # rows are judged one by one: null ids, and a clean text under the id of a contaminated one
+    rows = odd_docs + [(min(w[0] for w in want), "a clean text", "en", "extra", "extra"), (None, "clean too", "en", "extra", "extra")]
+
+    def holds(t):
+        for n, x in items:
+            w = words(x, True)
+            k = min(5, len(w))
+            if n is not None and w and len(grams(w, k) & grams(words(t, True), k)) * 10 >= len(grams(w, k)) * 8:
+                return True
+        return False
+
+    left = clean_documents(frame(spark, rows), bench)
+    assert left.columns == frame(spark, rows).columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((i, t) for i, t, *_ in rows if not holds(t))
+    assert clean_documents(frame(spark, []), bench).count() == 0
     assert contaminated(frame(spark, []), bench).count() == 0 and contaminated(frame(spark, odd_docs), bench.where("false")).count() == 0
 
 
@@ -338,7 +350,102 @@ def test_toxicity(spark):
 def test_toxicity_sample_bound(spark):
     from fieldwork.llm.toxicity import MAX_ROWS, labelled_sample
     docs = spark.range(20_000).selectExpr("id as doc_id", "'a b' as text")
-    assert labelled_sample(docs, docs.selectExpr("doc_id", "doc_id % 9 = 0 as toxic", "1 as quality"), MAX_ROWS).count() == 16_000
+    labels = docs.selectExpr("doc_id", "doc_id % 9 = 0 as toxic", "1 as quality")
+    assert labelled_sample(docs, labels, MAX_ROWS).count() == 16_000
+    # the bound is on rows: ids with many rows, repeated or not, and contradictory labels
+    many = docs.unionByName(docs.where("doc_id < 400").selectExpr("doc_id", "concat('c', doc_id) as text")).unionByName(docs)
+    both = labels.unionByName(labels.selectExpr("doc_id", "not toxic as toxic", "0 as quality"))
+    some = labelled_sample(many.where("doc_id < 400"), both, 1000)
+    assert some.count() == 1000 and {tuple(r.y) for r in some.select("y").distinct().collect()} == {(1, 1, 0)}
+
+
+def test_toxicity_chain_equals_plain_loops():
+    """Accelerated gradient descent written out with lists; folds, thresholds and the handed-on probabilities."""
+    from fieldwork.llm.toxicity import CHAIN, _prob, fit_chain
+    rnd = random.Random(12)
+    rows = [[rnd.random() if rnd.random() < 0.4 else 0.0 for _ in range(4)] for _ in range(60)]
+    y = [[int(r[0] + r[1] > 0.5), int(r[0] > 0.4), int(r[0] > 0.4 and r[2] > 0)] for r in rows]
+    fold = [i % 3 for i in range(60)]
+
+    def fit(x, t, use):
+        v = [1.0] * len(x[0])
+        for _ in range(8):
+            xv = [sum(a * b for a, b in zip(r, v)) * u for r, u in zip(x, use)]
+            v = [sum(r[j] * c for r, c in zip(x, xv)) for j in range(len(v))]
+            top = math.sqrt(sum(a * a for a in v))
+            v = [a / (top or 1.0) for a in v]
+        n, step = sum(use), 1 / ((top + sum(use)) / 4 + 3.0)
+        rate = sum(a * u for a, u in zip(t, use)) / n
+        w = old = [0.0] * len(v) + [math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))]
+        for k in range(120):
+            z = [a + (a - b) * k / (k + 3) for a, b in zip(w, old)]
+            miss = [(prob(r, z) - a) * u for r, a, u in zip(x, t, use)]
+            grad = [sum(r[j] * m for r, m in zip(x, miss)) + 3.0 * z[j] for j in range(len(v))] + [sum(miss)]
+            old, w = w, [a - step * g for a, g in zip(z, grad)]
+        return w
+
+    def prob(r, w):
+        return 1 / (1 + math.exp(-min(30, max(-30, sum(a * b for a, b in zip(r, w)) + w[-1]))))
+
+    x, want, seen = [list(r) for r in rows], [], []
+    for c in range(3):
+        t = [r[c] for r in y]
+        held = [0.0] * 60
+        for f in range(3):
+            w = fit(x, t, [float(g != f) for g in fold])
+            for i in range(60):
+                if fold[i] == f:
+                    held[i] = prob(x[i], w)
+        want.append(fit(x, t, [1.0] * 60))
+        seen.append(held)
+        x = [[*r, h] for r, h in zip(x, held)]
+    mat = np.zeros((60, 7), np.float32)
+    mat[:, :4] = rows
+    model = fit_chain(mat, np.array(y), np.array(fold))
+    for c in range(3):
+        assert np.allclose(model["weights"][c], want[c], atol=2e-3)
+        assert np.allclose(mat[:, 4 + c], seen[c], atol=1e-3)
+        assert np.allclose(_prob(mat[:, :4 + c], model["weights"][c]), [prob(r[:4 + c], want[c]) for r in x], atol=1e-3)
+    cut = sorted({0.0, *seen[1]})
+    f1 = max(2 * sum(p >= a and r[1] for p, r in zip(seen[1], y)) / (sum(p >= a for p in seen[1]) + sum(r[1] for r in y)) for a in cut)
+    got = [p >= model["threshold"] for p in seen[CHAIN.index("toxic")]]
+    assert math.isclose(f1, 2 * sum(g and r[1] for g, r in zip(got, y)) / (sum(got) + sum(r[1] for r in y)))
+
+
+def test_ftrl_equals_plain_loops():
+    """Follow the regularised leader per feature and class, in dictionaries."""
+    from fieldwork.llm.lang_id import BUCKETS, ftrl, gram_buckets
+    texts = ["der hund und die katze", "the dog and the cat", "le chien et le chat", "und der", "and the", "et le chat"] * 3
+    y = [0, 1, 2, 0, 1, 2] * 3
+    rows = []
+    for t in texts:
+        grams, _ = gram_buckets([t])
+        codes = Counter(int(b) for g in grams for b in g)
+        at = sorted(codes)
+        rows.append((np.array([*at, BUCKETS]), np.array([*[codes[b] / 10 for b in at], 1.0])))
+    got = ftrl(rows, np.array(y), 3)
+    z, n = {}, {}
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.5
+
+    def weight(k):
+        zz = z.get(k, 0.0)
+        return 0.0 if abs(zz) <= l1 else -(zz - math.copysign(l1, zz)) / ((beta + math.sqrt(n.get(k, 0.0))) / alpha + l2)
+
+    order, rng = np.arange(len(rows)), np.random.Generator(np.random.PCG64(5))
+    for _ in range(3):
+        rng.shuffle(order)
+        for r in order.tolist():
+            w = {(int(f), c): weight((int(f), c)) for f in rows[r][0] for c in range(3)}
+            s = [sum(v * w[int(f), c] for f, v in zip(*rows[r])) for c in range(3)]
+            e = [math.exp(a - max(s)) for a in s]
+            for f, v in zip(*rows[r]):
+                for c in range(3):
+                    k, g = (int(f), c), v * (e[c] / sum(e) - (y[r] == c))
+                    before = n.get(k, 0.0)
+                    n[k] = before + g * g
+                    z[k] = z.get(k, 0.0) + g - (math.sqrt(n[k]) - math.sqrt(before)) / alpha * w[k]
+    assert all(abs(got[f, c] - weight((f, c))) < 1e-9 for f, c in z)
+    assert np.count_nonzero(got) == sum(weight(k) != 0 for k in z) > 20
 
 
 def test_nearest(spark):
