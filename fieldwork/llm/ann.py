@@ -4,8 +4,8 @@ Vectors are normalised; nearness is the cosine, in double precision on the origi
 
 1. Vectors equal in every component are one entry with their ``k + 1`` smallest ids: no answer can use more of them.
 2. Centroids are fitted by k-means on a sample of at most ``SAMPLE`` entries (those with the smallest hashed ids), with over-full
-   clusters split until none holds more than twice its share; there are at most ``MAX_LISTS`` centroids, so they and their
-   neighbour graph are bounded.
+   clusters split until none holds more than twice its share; there are at most ``MAX_LISTS`` centroids (four times the root
+   of the sample), so they and their neighbour graph are bounded.
 3. Every entry is indexed: it goes to the posting lists of its nearest centroid and of the others within ``closure`` times that distance
    (boundary vectors are replicated, at most ``replicas`` lists).
 4. Centroids are searched through an in-memory graph of their nearest neighbours, best first from a few entry points; a
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from fieldwork.llm.common import on_workers, written
 
 SAMPLE = 20_000
-MAX_LISTS = 1024
+MAX_LISTS = 1024  # not more than 4 * sqrt(SAMPLE) = 565 are fitted by default
 PIECE = 4096   # entries of one piece of a posting list
 
 
@@ -56,6 +56,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two that makes their largest component about one: no overflow, and the same cosines to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 def fit_centroids(x: np.ndarray, n_lists: int, rounds: int = 8) -> np.ndarray:
     """Balanced k-means on unit vectors: over-full clusters lend their centroid to a split, thin ones are dropped."""
     rng = np.random.Generator(np.random.PCG64(9))
@@ -190,11 +195,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            x = np.array(right.column("v").to_pylist())
+            x = _scaled(np.array(right.column("v").to_pylist()))
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             many = right.column("ids").to_pylist()
             for qid, q in zip(left.column("query_id").to_pylist(), left.column("q").to_pylist()):
-                q = np.array(q)
+                q = _scaled(np.array(q))
                 s = np.einsum("ij,j->i", x, q) / (norm * np.sqrt(np.einsum("i,i->", q, q)))
                 edge = np.partition(s, max(0, len(s) - k - 1))[max(0, len(s) - k - 1)]
                 pairs = sorted((-s[i], n) for i in np.flatnonzero(s >= edge).tolist() for n in many[i] if n != qid)[:k]

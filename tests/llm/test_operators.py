@@ -474,6 +474,32 @@ def test_nearest(spark):
     assert nearest(df.where("false")).count() == 0 and nearest(df.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_nearest_of_extreme_and_odd_vectors(spark):
+    """Components far from one, one id with two vectors, other lengths, clashing columns: against brute force."""
+    from fieldwork.llm.ann import nearest
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 6))
+    x[:8] *= 1e200
+    x[8:16] *= 1e-200
+    rows = [(i, v.tolist(), 0, 0.5) for i, v in enumerate(x)] + [(5, x[20].tolist(), 0, 0.5), (70, [1.0] * 5, 0, 0.5), (80, [2.0] * 7, 0, 0.5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double").repartition(3)
+    got = {}
+    for r in nearest(df, every=10, k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    near_one = [(i, np.array(v) / np.abs(v).max()) for i, v, *_ in rows if len(v) == 6]
+    unit = [(i, v / np.linalg.norm(v)) for i, v in near_one]
+    for q, u in unit:
+        if q % 10 == 0:
+            best = {}
+            for i, v in unit:
+                if i != q:
+                    best[i] = max(best.get(i, -2.0), float(u @ v))
+            want = sorted(best.items(), key=lambda t: (-round(t[1], 12), t[0]))[:5]
+            assert [i for _, i, _ in sorted(got[q])] == [i for i, _ in want]
+            assert all(abs(s - t) < 1e-12 for (_, _, s), (_, t) in zip(sorted(got[q]), want))
+    assert set(got) == {0, 10, 20, 30, 40, 50}
+
+
 def test_pipeline_and_op5_hold_the_sequences(spark):
     import glob
 
