@@ -3,8 +3,8 @@
 Character 1- to 3-grams of the lower-cased text (followed by two blanks) are hashed to ``BUCKETS`` columns; a value is the
 n-gram's share of the text times its inverse document frequency.  Document frequencies are counted over all training
 texts.  The weights are trained by follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties on
-at most ``ROWS_PER_LANG`` documents of each language (those whose hashed ids are smallest; sparse rows
-of bounded size, gathered in one task); a part of them is held back to fit one softmax temperature.
+at most ``ROWS_PER_LANG`` different rows of each language and ``MAX_ROWS`` in all (those whose hashes are smallest; sparse rows
+of bounded size, gathered in one task); the ``MAX_LANGS`` most frequent languages are learned; a part of them is held back to fit one softmax temperature.
 Predicting reads whole texts; the model (BUCKETS x languages) is in every task.
 
 Defined results: null text or text without any letter: ``und`` with score 0.  No training rows: ``und`` with score 0
@@ -26,6 +26,8 @@ from fieldwork.llm.common import on_workers, written
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 ROWS_PER_LANG = 2_000
+MAX_ROWS = 40_000        # of all languages together
+MAX_LANGS = 200
 CALIBRATION = 5          # one in five of the sampled rows fits the temperature
 SCALE = 20.0             # of the TF-IDF values
 SLICE_CHARS = 1 << 18
@@ -92,14 +94,19 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sampled(train: DataFrame, rows_per_lang: int) -> DataFrame:
-    """``(lang, text, h)`` of the sampled training rows."""
-    keys = train.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(3)).alias("h"))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = keys.withColumn("no", F.row_number().over(w)).where(F.col("no") <= rows_per_lang)
-    picked = written(picked.select("lang", F.col("doc_id").alias("p_id"), "h").distinct(), "lang-rows")
-    # bounded: rows_per_lang ids of each language
-    return train.select("doc_id", F.col("lang").alias("t_lang"), "text").join(
-        F.broadcast(picked), (F.col("doc_id") == F.col("p_id")) & (F.col("t_lang") == F.col("lang"))).select("lang", "text", "h")
+    """``(lang, text, h)`` of the sampled training rows: at most ``rows_per_lang`` of a language, ``MAX_ROWS`` in all.
+
+    Languages are counted first; a row then takes part by its hash, at a rate that leaves some more than are wanted, so that a
+    language of any size sends no more than these to its task."""
+    rows = train.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(3)).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    most = max(1, min(rows_per_lang, MAX_ROWS // max(1, len(counts))))
+    rate = [(r["lang"], min(1 << 30, int((2 * most + 100) / r["n"] * (1 << 30)) + 1)) for r in counts]
+    rates = train.sparkSession.createDataFrame(rate, "lang string, rate long")
+    some = rows.join(F.broadcast(rates), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate"))  # MAX_LANGS rows at most
+    some = some.groupBy("lang", "h").agg(F.min("text").alias("text"))  # repeated rows count once, and are reduced before the shuffle
+    w = Window.partitionBy("lang").orderBy("h")
+    return written(some.withColumn("no", F.row_number().over(w)).where(F.col("no") <= most).select("lang", "text", "h"), "lang-rows")
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_class: int, epochs: int = 3, alpha: float = 0.5,
@@ -187,7 +194,7 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     feats = _sampled(rows, rows_per_lang).select("lang", "text", "h").mapInArrow(sparse, "lang string, h long, at array<int>, value array<float>")
-    got = feats.coalesce(1).mapInArrow(fit, "model binary").collect()  # at most rows_per_lang sparse rows a language
+    got = feats.coalesce(1).mapInArrow(fit, "model binary").collect()  # at most MAX_ROWS sparse rows
     if not got:
         return {"langs": [], "table": np.zeros((BUCKETS, 0), np.float32), "bias": np.zeros(0), "temperature": 1.0}
     m = pickle.loads(got[0]["model"])

@@ -331,6 +331,20 @@ def test_language_id(spark):
     assert [p for _, p in got if p != "und"] and [i for i, p in got if p == "und"] == [1, 2, 3]
     none = train(docs.where("false"))
     assert {r.lang_pred for r in predict(odd, none).collect()} == {"und"}
+    # clashing columns, null languages, a very long text, an empty table, repeated and null ids
+    wide = docs.where("doc_id < 300").selectExpr("doc_id", "text", "if(doc_id < 5, null, lang) as lang", "lang as lang_pred", "0.5D as score", "text as h")
+    again = train(wide.unionByName(wide.where("doc_id < 40")).unionByName(wide.where("doc_id = 41").selectExpr("null as doc_id", "text", "lang", "lang_pred", "score", "h")), 50)
+    long = spark.createDataFrame([(1, " ".join(r.text for r in docs.where("lang = 'de'").limit(40).collect()) * 20, "x", 1.0)],
+                                 "doc_id long, text string, lang string, score double")
+    assert [r.lang_pred for r in predict(long, again).collect()] == ["de"] and predict(long.where("false"), again).count() == 0
+
+
+def test_language_sample_is_bounded_and_even(spark):
+    from fieldwork.llm.lang_id import _sampled
+    rows = spark.range(9000).selectExpr("id as doc_id", "if(id % 100 = 0, 'b', 'a') as lang", "concat('t', id) as text")
+    hot = rows.unionByName(spark.range(3000).selectExpr("7 as doc_id", "'a' as lang", "'t7' as text"))
+    got = Counter(r.lang for r in _sampled(hot, 200).collect())
+    assert got == {"a": 200, "b": 90}
 
 
 def test_toxicity(spark):
