@@ -154,7 +154,10 @@ def similar_links(sets: DataFrame, percent: int, sub_percent: int) -> DataFrame:
     alone, exactly the ones connected by similarities of ``sub_percent``."""
     sets = ranked_words(sets)
     entries = prefix_entries(sets, percent).checkpoint(eager=True)
-    long = entries.where("indexed").groupBy("project", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG).select("project", "word")
+    long = (entries.where("indexed").groupBy("project", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG)
+            .select("project", "word").checkpoint(eager=True))
+    if not long.head(1):
+        return exact_links(candidate_pairs(entries, percent), sets, percent, sub_percent)
     links = exact_links(candidate_pairs(entries.join(long, ["project", "word"], "left_anti"), percent), sets, percent, sub_percent)
     return links.unionByName(block_links(entries.join(long, ["project", "word"], "left_semi"), sets, percent, sub_percent))
 
@@ -197,18 +200,21 @@ def item_groups(items: DataFrame, tag: str = "codes", percent: int = 50, sub_per
     nodes = items.where(F.col("tag") == tag).select(*keys, "item").distinct().checkpoint(eager=True)
     sets = word_sets(nodes)
     links = similar_links(sets, percent, sub_percent).checkpoint(eager=True)
-    linked = (links.select(*keys, F.col("a").alias("item"), F.col("b").alias("token"), "close"))
-    ids = sets.select(*keys, F.col("rid").alias("item"))
-    reps = sets.select(*keys, "rid", "rep")
+    # both thresholds are followed at once, over the sets that have links
+    ends = links.select(*keys, "close", F.col("a").alias("item"), F.col("b").alias("token"))
+    levels = ends.select(*keys, F.lit(0).alias("level"), "item", "token").unionByName(
+        ends.where("close").select(*keys, F.lit(1).alias("level"), "item", "token"))
+    linked = levels.select(*keys, "level", F.explode(F.array("item", "token")).alias("item")).distinct()
+    labels = connected_labels(linked, levels, [*keys, "level"], out="_c").withColumnRenamed("item", "rid")
     # labels are numbers of sets; the smallest item of a component is the smallest of its sets' smallest items
-    def labelled(some: DataFrame, name: str) -> DataFrame:
-        labels = connected_labels(ids, some, keys, out="_c").withColumnRenamed("item", "rid").join(reps, [*keys, "rid"])
-        least = labels.groupBy(*keys, "_c").agg(F.min("rep").alias(name))
-        return labels.join(least, [*keys, "_c"]).select(*keys, "rid", name)
-
-    groups = labelled(linked, "group_label").join(labelled(linked.where("close"), "subtopic_label"), [*keys, "rid"])
-    by_set = sets.join(groups, [*keys, "rid"]).select(*keys, "words", "group_label", "subtopic_label")
-    out = (nodes.withColumn("words", F.array_sort(item_words("item"))).join(by_set, [*keys, "words"], "left")
+    labels = labels.join(sets.select(*keys, "rid", "rep"), [*keys, "rid"])
+    least = labels.groupBy(*keys, "level", "_c").agg(F.min("rep").alias("label"))
+    by_set = (labels.join(least, [*keys, "level", "_c"]).groupBy(*keys, "rid")
+              .agg(F.max(F.when(F.col("level") == 0, F.col("label"))).alias("group_label"),
+                   F.max(F.when(F.col("level") == 1, F.col("label"))).alias("subtopic_label")))
+    named = sets.join(by_set, [*keys, "rid"], "left").select(
+        *keys, "words", F.coalesce("group_label", "rep").alias("group_label"), F.coalesce("subtopic_label", "rep").alias("subtopic_label"))
+    out = (nodes.withColumn("words", F.array_sort(item_words("item"))).join(named, [*keys, "words"], "left")
            .select(*keys, "item", F.coalesce("group_label", "item").alias("group_label"), F.coalesce("subtopic_label", "item").alias("subtopic_label")))
     sizes = out.groupBy(*keys, "group_label").agg(F.count(F.lit(1)).alias("group_size"))
     return out.join(sizes, [*keys, "group_label"]).select("project", "item", "group_label", "group_size", "subtopic_label")

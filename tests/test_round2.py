@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from fieldwork.operators import scoring as SC
-from fieldwork.operators.store import project_interviews, validate_rows, validated_append
+from fieldwork.operators.store import project_interviews, validate_rows, validated_append, with_new_keys
 from fieldwork.plans.job import Store, run_job
 from fieldwork.sources.files import ingest_text
 from fieldwork.sources.sinks import read_reports, write_reports
@@ -107,7 +107,7 @@ def test_append_rejects_bad_casts_and_unknown_projects_and_assigns_ids(spark, tm
     kept = spark.read.parquet(f"{tmp_dir}/t").collect()
     assert len(kept) == 1 and kept[0]["id"] is not None
     valid, _ = validate_rows(spark.createDataFrame([("p",)], "project_name string"), "projects")
-    assert valid.first()["project_id"] is not None
+    assert with_new_keys(valid, "project_id", 4)[0].first()["project_id"] == 5
 
 
 def test_project_interviews_are_distinct(spark):
