@@ -402,7 +402,8 @@ def project_score(blocks: DataFrame, responder, plan=S.QUESTION_PLAN, budget_cha
     """
     report = persist_table(chunk_texts(blocks, budget_chars), "project-chunks")
     prev = out = None
-    for p in plan_steps(plan, "project"):
+    steps = plan_steps(plan, "project")
+    for p in steps:
         level, chunks, carried, calls = 0, report, None, None
         while True:
             req = (project_requests(chunks, plan).where(F.col("analysis_step") == p["analysis_step"])
@@ -432,10 +433,12 @@ def project_score(blocks: DataFrame, responder, plan=S.QUESTION_PLAN, budget_cha
             chunks = grouped.where("members > 1")
             carried = grouped.where("members = 1").select("project", F.col("chunk_no").alias("block_no"), F.col("content").alias("text"))
             level += 1
+        out = calls if out is None else out.unionByName(calls)
+        if p is steps[-1]:
+            break
         whole = project_answers(calls)
         prev = persist_table(whole.select("project", F.coalesce("content", F.lit("")).alias("previous_answers"),
                                           F.col("error").isNull().alias("_ok")), "project-previous")
-        out = calls if out is None else out.unionByName(calls)
     return out
 
 

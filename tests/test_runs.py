@@ -18,6 +18,9 @@ from fieldwork.plans.job import Store, run_job
 from fieldwork.sources.files import ingest_text
 
 
+SHORT_PLAN = [p for p in S.QUESTION_PLAN if p["analysis_type"] == "project" or p["analysis_step"] <= 2]
+
+
 def _write(path, text):
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
@@ -100,21 +103,21 @@ def test_a_second_start_asks_only_what_has_no_answer(spark, tmp_dir):
     interviews = spark.createDataFrame([(i, 1, f"text {i}") for i in range(1, 9)], "interview_id long, project long, content string")
     # the task that holds interview 5 dies in step 2 after the 15 other calls of steps 1 and 2
     with pytest.raises(Exception):
-        SC.chained_steps(interviews, SC.pandas_responder(_logging_client(logs, (5, 2), 15), partitions=8), run_path=run)
+        SC.chained_steps(interviews, SC.pandas_responder(_logging_client(logs, (5, 2), 15), partitions=8), SHORT_PLAN, run_path=run)
     first = os.listdir(logs)
     assert len([f for f in first if f.startswith("1-")]) == 8 and len(first) == 15
-    answers, dead = SC.chained_steps(interviews, SC.pandas_responder(_logging_client(logs), partitions=8), run_path=run)
-    assert answers.count() == 8 * 5 and dead.count() == 0
+    answers, dead = SC.chained_steps(interviews, SC.pandas_responder(_logging_client(logs), partitions=8), SHORT_PLAN, run_path=run)
+    assert answers.count() == 8 * 2 and dead.count() == 0
     made = [f.rsplit("-", 1)[0] for f in os.listdir(logs)]
     again = [f for f in made if made.count(f) > 1]
     # of step 2 only the requests of the dead task's partition can be asked twice; with one request each, none is
-    assert not again and len(made) == 40
+    assert not again and len(made) == 16
     # a third start calls nobody, and a changed text is asked anew
-    SC.chained_steps(interviews, SC.pandas_responder(_logging_client(logs), partitions=8), run_path=run)[0].count()
-    assert len(os.listdir(logs)) == 40
+    SC.chained_steps(interviews, SC.pandas_responder(_logging_client(logs), partitions=8), SHORT_PLAN, run_path=run)[0].count()
+    assert len(os.listdir(logs)) == 16
     changed = interviews.withColumn("content", F.when(F.col("interview_id") == 3, "new text").otherwise(F.col("content")))
-    answers, _ = SC.chained_steps(changed, SC.pandas_responder(_logging_client(logs), partitions=8), run_path=run)
-    assert answers.count() == 40 and len(os.listdir(logs)) == 45
+    answers, _ = SC.chained_steps(changed, SC.pandas_responder(_logging_client(logs), partitions=8), SHORT_PLAN, run_path=run)
+    assert answers.count() == 16 and len(os.listdir(logs)) == 18
 
 
 def test_errors_are_asked_again(spark, tmp_dir):
@@ -151,9 +154,9 @@ def _fake():
 def test_a_run_shows_all_of_its_tables_or_none(spark, tmp_dir, monkeypatch):
     raw, root = os.path.join(tmp_dir, "raw"), os.path.join(tmp_dir, "store")
     _write(f"{raw}/alpha/1.txt", "one")
-    run_job(spark, Store(spark, root), raw, save_files=True, process_interviews=True, responder=_fake())
+    run_job(spark, Store(spark, root), raw, save_files=True, process_interviews=True, responder=_fake(), plan=SHORT_PLAN)
     before = {t: Store(spark, root).read(t).count() for t in Store.SCHEMAS}
-    assert before == {"projects": 1, "interviews": 1, "llm_answers": 5, "rejects": 0}
+    assert before == {"projects": 1, "interviews": 1, "llm_answers": 2, "rejects": 0}
 
     _write(f"{raw}/beta/2.txt", "two")
     plain = Store.append
@@ -165,7 +168,7 @@ def test_a_run_shows_all_of_its_tables_or_none(spark, tmp_dir, monkeypatch):
 
     monkeypatch.setattr(Store, "append", stops)
     with pytest.raises(RuntimeError):
-        run_job(spark, Store(spark, root), raw, save_files=True, process_interviews=True, responder=_fake())
+        run_job(spark, Store(spark, root), raw, save_files=True, process_interviews=True, responder=_fake(), plan=SHORT_PLAN)
     monkeypatch.undo()
     # projects, interviews and all model calls of the run were written, but nothing is visible
     assert {t: Store(spark, root).read(t).count() for t in Store.SCHEMAS} == before
@@ -177,10 +180,10 @@ def test_a_run_shows_all_of_its_tables_or_none(spark, tmp_dir, monkeypatch):
         asked.append(requests.count())
         return _fake()(requests)
 
-    run_job(spark, Store(spark, root), raw, save_files=True, process_interviews=True, responder=no_model)
-    assert asked == [0] * 5  # every answer of the stopped run was kept
+    run_job(spark, Store(spark, root), raw, save_files=True, process_interviews=True, responder=no_model, plan=SHORT_PLAN)
+    assert asked == [0] * 2  # every answer of the stopped run was kept
     store = Store(spark, root)
-    assert {t: store.read(t).count() for t in Store.SCHEMAS} == {"projects": 2, "interviews": 2, "llm_answers": 15, "rejects": 0}
+    assert {t: store.read(t).count() for t in Store.SCHEMAS} == {"projects": 2, "interviews": 2, "llm_answers": 6, "rejects": 0}
     # what the stopped run left is gone: folders are those of the manifest, and no answers are kept
     listed = {(r["table"], r["folder"]) for r in store._newest()[1]}
     assert {(t, f) for t in Store.SCHEMAS for f in os.listdir(f"{root}/data/{t}")} == listed
