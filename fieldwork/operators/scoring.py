@@ -160,16 +160,17 @@ def pandas_responder(make_client: Callable[[], Callable[[dict], dict]], min_inte
 
     ``min_interval_s`` keeps the starts of any two calls of the job that far apart, over all
     partitions: each partition starts its calls in its own turns of the wall clock (``next_turn``; the machines' clocks must agree to
-    within the interval).  ``partitions`` should then be at most the number of tasks that run at once, since the
-    turns of waiting tasks stay unused; it is the default parallelism if not given.
+    within the interval).  Turns of waiting tasks would stay unused, so there are then at most as many partitions as the default
+    parallelism, the number of tasks that run at once.
     """
 
     def respond(requests: DataFrame) -> DataFrame:
         out_schema = T.StructType(requests.schema.fields + [T.StructField("response", S.RESPONSE_SCHEMA)])
         cols = requests.columns
         clients = partitions
-        if min_interval_s and not clients:
-            clients = requests.sparkSession.sparkContext.defaultParallelism
+        if min_interval_s:
+            at_once = requests.sparkSession.sparkContext.defaultParallelism
+            clients = min(clients or at_once, at_once)
 
         def run(batches):
             import threading
@@ -254,11 +255,11 @@ def answer_rows(scored: DataFrame, created: F.Column | None = None) -> DataFrame
 # Chained steps
 # ---------------------------------------------------------------------------
 
-def persist_table(df: DataFrame, name: str) -> DataFrame:
+def persist_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write to the shared checkpoint folder and read back (cuts lineage; a
     recomputation reads the table instead of calling the model again)."""
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 

@@ -149,3 +149,14 @@ select project, cast(floor((e - len) / {budget}) + 1 as bigint) as chunk_no, sum
 from sized group by 1, 2""")
     expected = sorted(tuple(int(x) for x in r) for r in duck_conn(SF_SMALL).sql(sql).fetchall())
     assert got == expected and max(c for _, c, _, _ in got) > 1
+
+
+def test_throttle_leaves_no_turn_unused(spark):
+    def make_client():
+        return lambda req: {"content": "x", "model": "m", "input_tokens": 1, "output_tokens": 1}
+
+    slots = spark.sparkContext.defaultParallelism
+    reqs = SC.render_requests(SC.scoring_requests(_interviews(spark)), None)
+    asked = SC.pandas_responder(make_client, min_interval_s=0.001, partitions=20 * slots)(reqs)
+    assert asked.rdd.getNumPartitions() == slots  # more would wait for a core while their turns pass
+    assert asked.count() == 10
