@@ -161,7 +161,7 @@ def ingest_stage(store: Store, raw_root: str, layout: str = "folders", suffix: s
     Ids follow the store's highest one in the order of project and path, so a repeated start gives the same ones."""
     spark = store.spark
     # the files are read and decoded once; registry, interviews and rejects use the staged table
-    good, bad = FL.split_staged(SC.persist_table(FL.stage_files(FL.read_text_files(spark, raw_root, suffix, layout)), "ingest-staged"))
+    good, bad = FL.split_staged(FL.staged_table(FL.read_text_files(spark, raw_root, suffix, layout)))
     projects = store.read("projects")
     registry = ST.register_projects(projects, good.select("project_name"))
     new_projects = registry.join(projects.select("project_name"), "project_name", "left_anti")

@@ -512,8 +512,11 @@ def _ingested_view(good):
 
 @register("ingest_text", _INGEST_SQL, fixtures=False)
 def q_ingest_text(spark, sf_dir):
+    from fieldwork.session import delete_folder
     from fieldwork.sources.files import ingest_text
-    good, _ = ingest_text(spark, _docs_as_files(spark, sf_dir), layout="hive")
+    root = _docs_as_files(spark, sf_dir)
+    good, _ = ingest_text(spark, root, layout="hive")
+    delete_folder(spark, root)  # every file is read and staged by now
     return _ingested_view(good)
 
 

@@ -75,6 +75,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/fieldwork-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so that Python file APIs can be used in tests."""
     if path.startswith("file:"):

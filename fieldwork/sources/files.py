@@ -7,15 +7,22 @@ emptiness rule are Column expressions.
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwork import schemas as S
 from fieldwork.operators.numbering import sequence_number
 from fieldwork.operators.scoring import persist_table
+from fieldwork.session import local_path
 
 _WS_CHARS = S.whitespace_chars()
 
+SCANS_PER_TASK = 32  # file scan partitions that one task reads, see ``fewer_tasks``
+#: What Spark writes as %XX in the name of a partition folder.
+_ESCAPES = {ord(c): f"%{ord(c):02X}" for c in [*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"]}
+
 
 def read_text_files(spark: SparkSession, root: str, suffix: str = ".txt", layout: str = "folders") -> DataFrame:
     """``(path, project_name, raw)`` for every file ending in ``suffix`` (case-sensitive).
@@ -55,6 +62,18 @@ def stage_files(files: DataFrame) -> DataFrame:
     return staged.withColumn("reason", reason)
 
 
+def fewer_tasks(files: DataFrame) -> DataFrame:
+    """``files`` read by fewer tasks.  A scan counts every file as ``spark.sql.files.openCostInBytes`` at least, so small files come a few
+    to a partition; ``SCANS_PER_TASK`` of these make a task, and at least four tasks a core are kept."""
+    scans, least = files.rdd.getNumPartitions(), 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(least, scans // SCANS_PER_TASK)) if scans > least else files
+
+
+def staged_table(files: DataFrame) -> DataFrame:
+    """``stage_files``, each file read once and written to the scratch folder."""
+    return persist_table(stage_files(fewer_tasks(files)), "ingest-staged", compression="zstd")
+
+
 def split_staged(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The valid interviews ``(project_name, path, content)``, without ids, and the rejects ``(source, reason, payload)`` of staged files."""
     good = staged.where(F.col("reason").isNull()).select("project_name", "path", "content")
@@ -70,7 +89,7 @@ def split_ingest(files: DataFrame, top: int = 0) -> tuple[DataFrame, DataFrame]:
     Files are read once and staged in the scratch folder.  Ids are the numbers above ``top`` in the order of
     ``(project_name, path)``, which names one file; only these keys are range-partitioned.
     """
-    good, bad = split_staged(persist_table(stage_files(files), "ingest-staged"))
+    good, bad = split_staged(staged_table(files))
     order = ["project_name", "path"]
     ids = sequence_number(good.select(*order), [], order, name="_n")
     return (good.join(ids, order).select((F.col("_n") + F.lit(top)).alias("interview_id"), "project_name", "path", "content"), bad)
@@ -85,12 +104,46 @@ def ingest_text(spark: SparkSession, root: str, suffix: str = ".txt",
 def write_documents_as_files(docs: DataFrame, root: str) -> None:
     """Lay texts out as one file per document below ``root/project=<name>/``.
 
-    Used to derive file inputs from the given tables: ``maxRecordsPerFile=1``
-    makes every row its own file.  Each file holds the text followed by one
-    line break.
+    Used to derive file inputs from the given tables.  Each file holds the text followed by one line break.  What ``root``
+    held is replaced.  In a folder that all machines mount (no scheme, or ``file:``) the tasks write the files themselves:
+    for every file made there, Spark's writer starts two processes that set its mode, at some 20 ms a file.  In
+    other stores Spark's writer makes them, with ``maxRecordsPerFile=1``.
     """
-    (docs.select(F.col("project_name").alias("project"), "text")
-     .write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("project").text(root))
+    rows = docs.select(F.col("project_name").alias("project"), "text")
+    mounted = urlparse(root).scheme in ("", "file")
+    (rows.limit(0) if mounted else rows).write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("project").text(root)
+    if mounted:
+        (rows.select(F.col("project").cast("string").alias("project"), F.col("text").cast("binary").alias("text"))
+         .mapInArrow(_file_writer(local_path(root)), "files long").write.format("noop").mode("overwrite").save())
+
+
+def _file_writer(root: str):
+    """A ``mapInArrow`` function that writes a file a row.  Files get their names by task and row and are moved into place when they
+    are whole, so a task that runs again replaces its own files."""
+    escapes = _ESCAPES
+
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, made, n = TaskContext.get(), set(), 0
+        for batch in batches:
+            for project, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folder = f"{root}/project={project.translate(escapes) if project else '__HIVE_DEFAULT_PARTITION__'}".encode()
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                name = f"part-{task.partitionId():05d}-{n:09d}.txt"
+                part = folder + f"/.{name}-{task.taskAttemptId()}".encode()
+                with open(part, "wb") as f:
+                    f.write((text or b"") + b"\n")
+                os.replace(part, folder + f"/{name}".encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    return write
 
 
 def page_text_assembly(pages: DataFrame, doc: str = "doc", page_no: str = "page_no",

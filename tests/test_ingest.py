@@ -84,3 +84,36 @@ def test_report_sink_round_trip(spark, tmp_dir):
     text = "".join(open(os.path.join(folder, f), encoding="utf-8").read() for f in parts)
     assert text == "".join(f"\nblock {i}\n" for i in range(1, 30))
     assert len(parts) > 1  # one project written by several tasks
+
+
+def test_documents_become_one_file_each(spark, tmp_dir):
+    rows = [("a+b", "x"), ("50%/[1]=\"q\"", "y\ny"), ("дом", "z"), ("дом", "z"), (None, "w"), ("", None), ("n", "")]
+    docs = spark.createDataFrame(rows, "project_name string, text string").repartition(3)
+    root = os.path.join(tmp_dir, "files")
+    _write(f"{root}/project=old/old.txt", b"replaced")
+    FL.write_documents_as_files(docs, root)
+    docs.selectExpr("project_name as project", "text").write.option("maxRecordsPerFile", 1).partitionBy("project").text(f"{root}-by-spark")
+
+    def found(at, suffix):
+        return sorted((os.path.basename(d), open(os.path.join(d, f), "rb").read()) for d, _, names in os.walk(at) for f in names if f.endswith(suffix))
+
+    assert found(root, ".txt") == found(f"{root}-by-spark", ".txt") and len(found(root, ".txt")) == len(rows)
+    assert all(f.endswith(".txt") for d, _, names in os.walk(root) for f in names if "project=" in d)  # no second file a document
+    good, bad = FL.ingest_text(spark, root, layout="hive")
+    hive = "__HIVE_DEFAULT_PARTITION__"
+    assert sorted(tuple(r) for r in good.select("project_name", "content").collect()) == sorted((p or hive, t) for p, t in rows if t)
+    assert bad.count() == 2
+
+
+def test_small_files_share_tasks(spark, tmp_dir):
+    for i in range(100):
+        _write(f"{tmp_dir}/raw/p/{i:03d}.txt", f"text {i}".encode())
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a scan partition for every file
+    try:
+        good, _ = FL.ingest_text(spark, f"{tmp_dir}/raw")
+        rows = sorted(good.select("interview_id", "content").collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert [tuple(r) for r in rows] == [(i + 1, f"text {i}") for i in range(100)]
+    assert len(good.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism  # what the staging tasks wrote
