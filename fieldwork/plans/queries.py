@@ -955,11 +955,12 @@ def q_stage_flags(spark, sf_dir):
 
 @register("stream_ingest", _INGEST_SQL, fixtures=False)
 def q_stream_ingest(spark, sf_dir):
-    from fieldwork.session import scratch_path
+    from fieldwork.session import delete_folder, scratch_path
     from fieldwork.streaming.ingest import read_ingested, stream_ingest
     root = _docs_as_files(spark, sf_dir)
     table = scratch_path(spark, "stream-table")
     stream_ingest(spark, root, table, scratch_path(spark, "stream-ckpt"), layout="hive")
+    delete_folder(spark, root)  # the stream has ended, and nothing reads the files again
     return _ingested_view(read_ingested(spark, table))
 
 

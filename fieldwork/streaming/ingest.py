@@ -9,6 +9,8 @@ batches before it, so they are dense, unique, and the same on a retry.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +49,25 @@ def stream_ingest(spark: SparkSession, raw_root: str, table_root: str, checkpoin
 
     writer = files.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
-    q = writer.start()
-    if available_now:
-        q.awaitTermination()
+    with _listing_tasks(spark):
+        q = writer.start()
+        if available_now:
+            q.awaitTermination()
     return q
 
 
+@contextmanager
+def _listing_tasks(spark: SparkSession):
+    """A batch's files are listed one by one in up to 10,000 tasks, each far shorter than its start; four a core do."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_ingested(spark: SparkSession, table_root: str) -> DataFrame:
     schema = "interview_id bigint, project_name string, path string, content string, batch_id int"
     table = read_if_written(spark, f"{table_root}/interviews", schema)
