@@ -22,28 +22,52 @@ from fieldwork.operators.scoring import persist_table
 # P02 keyword top-k
 # ---------------------------------------------------------------------------
 
-def token_counts(docs: DataFrame) -> DataFrame:
+#: What one task works on at most: characters of text that it tokenises, counts that it joins or ranks, and interviews whose
+#: counts of one token it holds.
+PIECE_CHARS, PIECE_COUNTS, PIECE_INTERVIEWS = 4_000_000, 2_000_000, 200_000
+
+
+def dealt(df: DataFrame, pieces: int, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to ``pieces`` tasks, where these are more than the shuffle partitions that Spark would use."""
+    return df.repartition(pieces, *keys) if pieces > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def token_counts(docs: DataFrame, pieces: int = 0) -> DataFrame:
     """``(project, interview, token, tf)``.  The texts are dealt out once by interview (a text is smaller than its token counts would
-    be), and counted where they lie."""
-    tokens = docs.select("project", "interview", "content").repartition("project", "interview").select(
+    be), to ``pieces`` tasks if these are more than the shuffle partitions, and counted where they lie."""
+    texts = docs.select("project", "interview", "content")
+    spread = dealt(texts, pieces, "project", "interview")
+    tokens = (spread if spread is not texts else texts.repartition("project", "interview")).select(
         "project", "interview", F.explode(T.word_tokens("content")).alias("token"))
     return tokens.groupBy("project", "interview", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def keyword_topk(docs: DataFrame, k: int = 5) -> DataFrame:
+def keyword_topk(docs: DataFrame, k: int = 5, piece_chars: int = PIECE_CHARS, piece_counts: int = PIECE_COUNTS,
+                 piece_interviews: int = PIECE_INTERVIEWS) -> DataFrame:
     """Top ``k`` tokens per interview by ``tf * (ln((1+N)/(1+df)) + 1)``, where N
     and df are counted within the project; ties by token.
 
-    ``docs``: ``(project, interview, content)``.  One plan at every size: the texts are tokenised in one pass, the counts
-    are written to the scratch folder, and both the document frequencies and the scores read them there.
+    ``docs``: ``(project, interview, content)``.  The texts are tokenised in one pass, the counts
+    are written to the scratch folder, and both the document frequencies and the scores read them there.  A task's share of
+    texts and of counts is bounded (``piece_...``): beyond what the shuffle partitions hold, the number of tasks grows with the input.
+    A token of very many interviews of a project is spread over several tasks.
     """
-    n = docs.groupBy("project").agg(F.count(F.lit(1)).alias("n_docs"))
-    tf = persist_table(token_counts(docs), "token-counts")
-    df = tf.groupBy("project", "token").agg(F.count(F.lit(1)).alias("df"))
-    scored = (tf.join(df, ["project", "token"]).join(n, "project")
-              .withColumn("score", F.col("tf") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)))
+    n = persist_table(docs.groupBy("project").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("content")).alias("chars")), "document-counts")
+    chars, most = n.agg(F.sum("chars"), F.max("n_docs")).first()  # two scalars
+    n = n.select("project", "n_docs")
+    tf = persist_table(token_counts(docs, (chars or 0) // piece_chars + 1), "token-counts")
+    pieces, spread = tf.count() // piece_counts + 1, (most or 0) // piece_interviews + 1
+    if spread == 1:  # counted where a token's rows lie
+        counts = dealt(tf, pieces, "project", "token").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("project", "token")))
+    else:
+        keys = ["project", "token", "_share"]
+        shares = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))
+        df = tf.groupBy("project", "token").agg(F.count(F.lit(1)).alias("df")).withColumn("_share", shares)
+        counts = dealt(tf.withColumn("_share", F.pmod(F.xxhash64("interview"), F.lit(spread).cast("long"))), pieces, *keys).join(
+            dealt(df, pieces, *keys), keys)
+    scored = counts.join(n, "project").withColumn("score", F.col("tf") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1))
     w = Window.partitionBy("project", "interview").orderBy(F.col("score").desc(), F.col("token"))
-    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (dealt(scored, pieces, "project", "interview").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("project", "interview", F.col("rank").cast("int").alias("rank"), "token", "tf", "df",
                     F.round("score", 6).alias("score")))
 

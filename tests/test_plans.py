@@ -49,3 +49,26 @@ def test_keyword_topk_tokenises_in_one_pass(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in counts and counts.count("split(") == 1
     plan = _plan(spark, "keyword_topk")  # frequencies and scores read the counts
     assert "split(" not in plan and "text:string" not in plan and plan.count("ReadSchema: struct<project:string,interview:bigint,token:string,tf:bigint>") == 1
+
+
+def test_keyword_topk_tasks_grow_with_the_input(spark):
+    from collections import Counter
+    from math import log
+
+    from fieldwork.operators.insights import keyword_topk, token_counts
+    texts = {(p, i): " ".join(["the"] * (i % 3 + 1) + [f"w{'abcdefghij'[j % 10]}{'klmnop'[(i + j) % 6]}" for j in range(i % 17)])
+             for p in ("a", "b") for i in range(40)}
+    docs = spark.createDataFrame([(*k, t) for k, t in texts.items()] + [("a", 99, None), (None, 1, "lost")], "project string, interview long, content string")
+    assert token_counts(docs, 9).rdd.getNumPartitions() == 9
+    n = Counter(p for p, _ in texts)
+    n["a"] += 1
+    tf = {k: Counter(t.split()) for k, t in texts.items()}
+    df = Counter((p, w) for (p, _), c in tf.items() for w in c)
+    want = []
+    for (p, i), c in tf.items():
+        best = sorted((-x * (log((n[p] + 1) / (df[p, w] + 1)) + 1), w, x) for w, x in c.items())[:3]
+        want += [(p, i, r, w, x, df[p, w], round(-s, 6)) for r, (s, w, x) in enumerate(best, 1)]
+    for interviews in (10 ** 6, 7):  # a token's rows in one task, and in several
+        got = keyword_topk(docs, 3, piece_chars=100, piece_counts=20, piece_interviews=interviews)
+        assert got.rdd.getNumPartitions() > 8  # the session has 4 shuffle partitions
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
