@@ -576,3 +576,48 @@ def test_oracle(spark, key):
     from oracle_check import compare, duck_conn
     r = compare(spark, SF, key, queries()[key], oracle_sql()[key], duck_conn(SF))
     assert r["status"] == "ok", r
+
+
+def test_nearest_keeps_one_copy_of_a_vector(spark):
+    """Scratch tables hold each vector once, queries and the sample besides, and no copy for each posting list."""
+    import glob
+
+    from fieldwork.llm.ann import nearest
+    from fieldwork.session import ensure_checkpoint_dir, local_path
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    before = set(glob.glob(f"{local_path(ensure_checkpoint_dir(spark))}/fieldwork-scratch/ann-*"))
+    got = {}
+    for r in nearest(df, every=100, sample=500).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    made = set(glob.glob(f"{local_path(ensure_checkpoint_dir(spark))}/fieldwork-scratch/ann-*")) - before
+    assert sum(spark.read.parquet(f"file://{p}").count() for p in made) <= 3000 + 30 + 2 * 4 * 500 ** 0.5
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 3000, 100):
+        s = x @ x[q]
+        s[q] = -9
+        hit += len({v for _, v in got[q]} & set(np.argsort(-s)[:5].tolist()))
+    assert set(got) == set(range(0, 3000, 100)) and hit >= 0.9 * 150
+
+
+def test_nearest_among_pieces_and_one_id_of_many_vectors(spark, monkeypatch):
+    """Shelves dealt to pieces and cuts, and an id whose vectors are all nearer than the others': against brute force."""
+    from fieldwork.llm import ann
+    monkeypatch.setattr(ann, "PIECE", 16)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(1000, (x[0] + rng.normal(size=6) * 1e-3).tolist()) for _ in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, every=4, k=5, max_lists=3, ratio=1e9).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows]
+    for q in range(0, 400, 4):
+        best = {}
+        for i, v in unit:
+            if i != q:
+                best[i] = max(best.get(i, -2.0), float(unit[q][1] @ v))
+        assert [i for _, i in sorted(got[q])] == sorted(best, key=lambda i: -best[i])[:5]
