@@ -69,9 +69,13 @@ def fewer_tasks(files: DataFrame) -> DataFrame:
     return files.coalesce(max(least, scans // SCANS_PER_TASK)) if scans > least else files
 
 
-def staged_table(files: DataFrame) -> DataFrame:
-    """``stage_files``, each file read once and written to the scratch folder."""
-    return persist_table(stage_files(fewer_tasks(files)), "ingest-staged", compression="zstd")
+def staged_table(files: DataFrame, path: str | None = None) -> DataFrame:
+    """``stage_files``, each file read once and written to ``path``, or to the scratch folder."""
+    staged = stage_files(fewer_tasks(files))
+    if path is None:
+        return persist_table(staged, "ingest-staged", compression="zstd")
+    staged.write.mode("overwrite").parquet(path, compression="zstd")
+    return files.sparkSession.read.parquet(path)
 
 
 def split_staged(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,7 +93,12 @@ def split_ingest(files: DataFrame, top: int = 0) -> tuple[DataFrame, DataFrame]:
     Files are read once and staged in the scratch folder.  Ids are the numbers above ``top`` in the order of
     ``(project_name, path)``, which names one file; only these keys are range-partitioned.
     """
-    good, bad = split_staged(staged_table(files))
+    return number_staged(staged_table(files), top)
+
+
+def number_staged(staged: DataFrame, top: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``split_ingest`` of staged files."""
+    good, bad = split_staged(staged)
     order = ["project_name", "path"]
     ids = sequence_number(good.select(*order), [], order, name="_n")
     return (good.join(ids, order).select((F.col("_n") + F.lit(top)).alias("interview_id"), "project_name", "path", "content"), bad)

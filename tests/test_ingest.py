@@ -55,6 +55,29 @@ def test_stream_ingest_each_file_once(spark, tmp_dir):
     assert got == [("p1", "one"), ("p1", "two"), ("p2", "three")]
 
 
+def test_stream_ingest_in_bounded_batches(spark, tmp_dir, monkeypatch):
+    import fieldwork.streaming.ingest as SI
+    from fieldwork.session import ensure_checkpoint_dir, local_path
+    monkeypatch.setattr(SI, "FILES_PER_BATCH", 2, raising=False)
+    root = os.path.join(tmp_dir, "raw")
+    for i in range(7):
+        _write(f"{root}/project=p{i % 2}/f{i}.txt", b" \n" if i == 3 else f"text {i}".encode())
+    table, ckpt = os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "ck")
+    scratch = f"{local_path(ensure_checkpoint_dir(spark))}/fieldwork-scratch"
+    before = set(os.listdir(scratch)) if os.path.exists(scratch) else set()
+    stream_ingest(spark, root, table, ckpt)
+    rows = read_ingested(spark, table).collect()
+    assert sorted(r["content"] for r in rows) == [f"text {i}" for i in range(7) if i != 3]
+    assert sorted(r["interview_id"] for r in rows) == [*range(1, 7)]
+    assert spark.read.parquet(f"{table}/rejects").count() == 1
+    assert max(sum(r["batch_id"] == b for r in rows) for b in range(4)) <= 2 and {r["batch_id"] for r in rows} <= set(range(4))
+    tops = [max((r["interview_id"] for r in rows if r["batch_id"] <= b), default=0) for b in range(4)]
+    assert all(r["interview_id"] > tops[r["batch_id"] - 1] for r in rows if r["batch_id"])  # ids follow those of the batches before
+    assert not [f for f in set(os.listdir(scratch)) - before if f.startswith("ingest-staged")]
+    stream_ingest(spark, root, table, ckpt)  # nothing new
+    assert read_ingested(spark, table).count() == 6
+
+
 def test_validate_rows_split(spark):
     rows = spark.createDataFrame(
         [(1, "ok", "m", " prompt "), (1, "interview", None, "p"), (1, "interview", "m", "   ")],
